@@ -35,13 +35,14 @@ for _p, _t in ((R.HTML_DROP, ""), (R.HTML_CELL, " | "), (R.HTML_OPEN, "\x01\\1\x
 _t = X.rr("string_split(p, '\x02')[-1]", "<[^>]*>", "")
 for _n, _c in R.ENTITIES:
     _t = f"replace({_t}, {X.lit(_n)}, {X.lit(_c)})"
-sql("html_blocks", f"""with p as (select page_id, unnest(ps) as p, generate_subscripts(ps, 1) as i
+SQL_BLOCKS = (f"""with p as (select page_id, unnest(ps) as p, generate_subscripts(ps, 1) as i
   from (select page_id, string_split({_h}, '\x01') as ps from pages)),
 b as (select page_id, i, lower(string_split(p, '\x02')[1]) as tag, {X.collapse(_t)} as text from p where contains(p, '\x02'))
 select page_id, (row_number() over (partition by page_id order by i) - 1)::bigint as block_no,
   case when tag like 'h%' then 'heading' when tag = 'li' then 'bullet' when tag = 'tr' then 'table' else 'paragraph' end as kind,
   case when tag like 'h%' then substr(tag, 2, 1)::bigint else 0 end as heading_level, text
 from b where text <> ''""")
+sql("html_blocks", SQL_BLOCKS)
 _kw = X.collapse(X.rr("trim(part)", r"^[-*\x{2022}]\s*", ""))
 sql("read_keywords", f"""with p as (select doc_id, unnest(ps) as part, generate_subscripts(ps, 1) - 1 as pos
   from (select doc_id, regexp_split_to_array(text, '[,;|\\n\\r\\t]+') as ps from documents)),
