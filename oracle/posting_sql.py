@@ -119,7 +119,7 @@ sql("term_views", f"with {TERMS} " + " union all ".join(f"select posting_id, ter
 sql("years_required", """with y as (select o_orderkey as posting_id, o_orderkey % 50 as years, '' as context from orders
  union select o_orderkey, least(o_orderkey % 7, o_orderkey % 5), '' from orders union select o_orderkey, o_orderkey % 9, '' from orders
  union select o_orderkey, o_orderkey % 11, lower(o_orderstatus) || ' trade desks' from orders
- union select o_orderkey, o_orderkey % 9, 'proven experience and' from orders)
+ union select o_orderkey, o_orderkey % 5, 'proven experience and' from orders)
 select posting_id, years::bigint as years, context from y where years between 1 and 45""")
 sql("cert_mentions", f"with {PL}, {CERTS} select distinct posting_id, term from certs")
 sql("soft_skill_mentions", f"with {PL}, {SOFT} select distinct posting_id, term from soft")

@@ -52,8 +52,8 @@ def compare(spark, con, sf_dir: str, fn, sql: str | None):
     if got_cols != want_cols:
         return False, len(got), f"columns {got_cols} / {want_cols}"
     if got != want:
-        a = [x for x in got if x not in set(want)][:3] if len(got) < 300000 else []
-        b = [x for x in want if x not in set(got)][:3] if len(want) < 300000 else []
+        sg, sw = set(got), set(want)
+        a, b = [x for x in got if x not in sw][:3], [x for x in want if x not in sg][:3]
         return False, len(got), f"rows {len(got)}/{len(want)}; spark only {a}; sql only {b}"
     return True, len(got), ""
 
