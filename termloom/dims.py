@@ -233,6 +233,20 @@ CLEANUP_RULES = [
 ]
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """An inline table: Spark knows its size, so joins with it can be planned as broadcasts."""
+    def lit(v: object) -> str:
+        return str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    cols = [c.strip().split(" ") for c in schema.split(",")]
+    if not rows:
+        return spark.createDataFrame([], schema)
+    values = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    names = ", ".join(c for c, _ in cols)
+    casts = ", ".join(f"cast({c} as {t}) as {c}" for c, t in cols)
+    return spark.sql(f"select {casts} from values {values} as t({names})")
+
+
 def verb_words() -> list[str]:
     return LEADING_VERBS
 
@@ -245,28 +259,28 @@ def alias_dim(spark: SparkSession, aliases: dict[str, list[str]] | None = None)
             if name not in seen:
                 seen.add(name)
                 rows.append((name, section, len(rows)))
-    return spark.createDataFrame(rows, "alias string, section_id string, alias_order int")
+    return small_table(spark, rows, "alias string, section_id string, alias_order int")
 
 
 def synonym_dim(spark: SparkSession, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
     rows = [(t, s, i) for t, vs in (synonyms or SYNONYMS).items() for i, s in enumerate(vs)]
-    return spark.createDataFrame(rows, "term string, synonym string, ord int")
+    return small_table(spark, rows, "term string, synonym string, ord int")
 
 
 def substitution_dim(spark: SparkSession, pairs: dict[str, list[str]] | None = None) -> DataFrame:
     rows = [(s, t) for s, ts in (pairs or SUBSTITUTIONS).items() for t in ts]
-    return spark.createDataFrame(rows, "source string, target string")
+    return small_table(spark, rows, "source string, target string")
 
 
 def credential_dim(spark: SparkSession, creds: dict[str, str] | None = None) -> DataFrame:
-    return spark.createDataFrame(list((creds or CREDENTIALS).items()), "acronym string, full_name string")
+    return small_table(spark, list((creds or CREDENTIALS).items()), "acronym string, full_name string")
 
 
 def word_dim(spark: SparkSession, words: list[str]) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in dict.fromkeys(words)], "word string")
+    return small_table(spark, [(w,) for w in dict.fromkeys(words)], "word string")
 
 
 def canonical_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(s, i) for i, s in enumerate(SECTION_ORDER)], "section_id string, canonical_pos int"
+    return small_table(
+        spark, [(s, i) for i, s in enumerate(SECTION_ORDER)], "section_id string, canonical_pos int"
     )

@@ -14,6 +14,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, fn) -> Column:
+    """fn(value) with value evaluated once, also inside lambdas and below pushed-down filters."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def normalize_text(c: Column | str) -> Column:
     c = F.regexp_replace(col(c), r"\r\n?", "\n")
     c = F.translate(c, " ‘’‛“”–—", " '''\"\"--")
@@ -24,13 +29,18 @@ def normalize_text(c: Column | str) -> Column:
     return F.regexp_replace(c, r"^[ \n]+|[ \n]+$", "")
 
 
+SPACES = "\t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def collapse_ws(c: Column | str) -> Column:
-    return F.trim(F.regexp_replace(col(c), fv.WS + "+", " "))
+    # translate is generated code; the regular expression then only sees real runs
+    return F.trim(F.regexp_replace(F.translate(col(c), SPACES, " " * len(SPACES)), " {2,}", " "))
 
 
 def soft_normalize(c: Column | str) -> Column:
     """Lower case, possessive removed, white space collapsed; also the keyword key."""
-    c = F.regexp_replace(F.lower(col(c)), "[’']s([^a-z0-9_]|$)", "$1")
+    c = F.lower(col(c))
+    c = F.when(c.contains("'s") | c.contains("’s"), F.regexp_replace(c, "[’']s([^a-z0-9_]|$)", "$1")).otherwise(c)
     return collapse_ws(c)
 
 
@@ -292,13 +302,18 @@ def term_key(c: Column | str) -> Column:
     return F.array_join(F.flatten(word_pieces(c)), " ")
 
 
-def _grams(words: Column, n: int) -> Column:
-    out = words
-    for k in range(1, n):
-        left, right = F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.slice(words, F.lit(k + 1), F.greatest(F.size(words) - k, F.lit(0)))
-        out = F.zip_with(left, right, lambda a, b: F.concat(a, F.lit(" "), b))
-    return out
+def grams_of(words: Column, max_n: int) -> Column:
+    """All 1..max_n grams of a word array, shorter ones first; each length is built from the one before."""
+    def step(shorter: Column, n: int, done: Column) -> Column:
+        if n > max_n:
+            return done
+        left = F.slice(shorter, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
+        right = F.slice(words, F.lit(n), F.greatest(F.size(words) - (n - 1), F.lit(0)))
+        return let(F.zip_with(left, right, lambda x, y: F.concat(x, F.lit(" "), y)),
+                   lambda g: step(g, n + 1, F.concat(done, g)))
+
+    return step(words, 2, words)
 
 
 def word_grams(c: Column | str, max_n: int = 3) -> Column:
-    return F.flatten(F.transform(word_pieces(c), lambda ws: F.concat(*[_grams(ws, n) for n in range(1, max_n + 1)])))
+    return F.flatten(F.transform(word_pieces(c), lambda ws: grams_of(ws, max_n)))

@@ -88,8 +88,7 @@ def _gram_words(c: Column, stop_words: Sequence[str]) -> Column:
 
 
 def _candidate_grams(c: Column, stop_words: Sequence[str], banned: Sequence[str], max_n: int) -> Column:
-    words = _gram_words(c, stop_words)
-    grams = F.concat(*[T._grams(words, n) for n in range(1, max_n + 1)])
+    grams = T.let(_gram_words(c, stop_words), lambda words: T.grams_of(words, max_n))
     return F.filter(grams, lambda g: ~g.contains(GAP) & g.rlike("^[^ ]{2,}") & ~g.isin(list(banned)))
 
 
@@ -98,10 +97,11 @@ def top_grams(c: Column, stop_words: Sequence[str], banned: Sequence[str], max_n
 
     For clauses and titles; whole documents go through ``ngrams``.
     """
-    all_ = _candidate_grams(c, stop_words, banned, max_n)
-    scored = F.transform(F.array_distinct(all_), lambda g, i: F.struct(
-        (-F.size(F.filter(all_, lambda x: x == g))).alias("neg_count"), (-F.length(g)).alias("neg_len"), i.alias("pos"), g.alias("term")))
-    return F.slice(F.array_sort(scored), 1, limit)
+    def score(all_: Column) -> Column:
+        return F.transform(F.array_distinct(all_), lambda g, i: F.struct(
+            (-F.size(F.filter(all_, lambda x: x == g))).alias("neg_count"), (-F.length(g)).alias("neg_len"), i.alias("pos"), g.alias("term")))
+
+    return F.slice(F.array_sort(T.let(_candidate_grams(c, stop_words, banned, max_n), score)), 1, limit)
 
 
 def ngrams(df: DataFrame, key: str, text: str, stop_words: Sequence[str], banned: Sequence[str] = (), max_n: int = 4,
@@ -147,7 +147,10 @@ def trim_filler(term: Column | str, filler: Sequence[str]) -> Column:
 
 
 def is_noise(term: Column | str, cfg: PostingConfig) -> Column:
-    t = T.col(term)
+    return T.let(T.col(term), lambda t: _noise_test(t, cfg))
+
+
+def _noise_test(t: Column, cfg: PostingConfig) -> Column:
     words = F.split(t, " ")
     return (
         ~F.length(t).between(2, 46)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from termloom import dims
 from termloom import fixed_values as fv
 from termloom.operators import lines as L
+from termloom.session import write_once
 from termloom.sources.readers import read_docs
 
 STOPS = dims.STOP_WORDS
@@ -53,8 +54,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_docs(spark, f"{sf_dir}/{name}.parquet")
 
 
+_stored: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived table several queries share, written once per application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        _stored[key] = write_once(build(), name)
+    return _stored[key]
+
+
+def forget() -> None:
+    """Drop the memory of stored tables, so the next query builds its own (benchmarks)."""
+    _stored.clear()
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core work where a small table arrives in fewer splits than cores.
+
+    A table of cluster size has more splits than that and is left as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:

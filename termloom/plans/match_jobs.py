@@ -12,6 +12,7 @@ from termloom.plans import corpus as D
 from termloom.plans.posting_jobs import CFG, terms
 from termloom.plans.registry import query
 from termloom.plans.structure_jobs import segmented
+from termloom.session import write_once
 from termloom.plans.text_jobs import _long, _vocabulary
 
 MAX_WORDS = 4
@@ -31,10 +32,19 @@ def expanded(spark, wanted):
     return M.expand_terms(wanted, dims.synonym_dim(spark, D.SYNONYMS), dims.credential_dim(spark, D.CREDENTIALS))
 
 
+def pool_evidence(spark, sf):
+    """Evidence for the whole target pool: the fact table of every later job."""
+    return D.stored(spark, sf, "evidence", lambda: evidence_of(spark, sf, pool(spark, sf)))
+
+
+def term_evidence(spark, sf):
+    return pool_evidence(spark, sf).join(terms(spark, sf).select("term").distinct(), "term", "left_semi")
+
+
 def evidence_of(spark, sf, wanted, docs=None, keys=("doc_id",)):
     """Evidence of the wanted terms in whole-word mode plus the any-order rule."""
     docs = docs if docs is not None else D.documents(spark, sf).select("doc_id", "text")
-    exp = expanded(spark, wanted)
+    exp = write_once(expanded(spark, wanted), "variants")
     variants = exp.select(F.col("variant").alias("term")).distinct()
     hits = M.term_hits(docs, variants, MAX_WORDS, keys)
     unordered = M.term_hits_unordered(docs, variants, D.STOPS) if tuple(keys) == ("doc_id",) else None
@@ -71,7 +81,7 @@ def term_hits_unordered(spark, sf):
 
 def matches(spark, sf):
     p = pool(spark, sf)
-    ev = evidence_of(spark, sf, p)
+    ev = pool_evidence(spark, sf)
     return M.match_status(p, ev, M.candidate_pairs(p, ev))
 
 
@@ -84,7 +94,7 @@ def match_status(spark, sf):
 def missing_terms(spark, sf):
     jd = terms(spark, sf)
     p = pool(spark, sf, jd)
-    ev = evidence_of(spark, sf, p)
+    ev = pool_evidence(spark, sf)
     return M.missing_terms(p, ev, M.candidate_pairs(p, ev), jd).select("posting_id", "doc_id", "term", "category")
 
 
@@ -92,7 +102,7 @@ def missing_terms(spark, sf):
 def evidence_docs(spark, sf):
     jd = terms(spark, sf)
     docs = D.documents(spark, sf)
-    return M.evidence_docs(docs, evidence_of(spark, sf, jd), P.term_view(jd, "tools")).select("doc_id", "source")
+    return M.evidence_docs(docs, term_evidence(spark, sf), P.term_view(jd, "tools")).select("doc_id", "source")
 
 
 @query
@@ -120,7 +130,7 @@ def match_summary(spark, sf):
 
 @query
 def repeated_terms(spark, sf):
-    r = M.repeated_terms(evidence_of(spark, sf, terms(spark, sf)))
+    r = M.repeated_terms(term_evidence(spark, sf))
     return r.select("doc_id", "term", _long("mentions"), "level")
 
 
@@ -129,7 +139,7 @@ def term_demand(spark, sf):
     p = pool(spark, sf)
     docs = D.documents(spark, sf)
     total = docs.agg(F.count(F.lit(1)).alias("total"))
-    ev = evidence_of(spark, sf, p)
+    ev = pool_evidence(spark, sf)
     want = M.term_demand(p, ev, 0)
     # the document count is one row, joined as a scalar
     return want.join(total).select("term", _long("n_postings"), _long("n_docs"), (F.col("total") + F.col("n_missing")).cast("long").alias("n_missing"))

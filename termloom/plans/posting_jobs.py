@@ -22,7 +22,7 @@ def posting_lines(spark, sf):
 
 
 def terms(spark, sf):
-    return P.posting_terms(D.postings(spark, sf), CFG)
+    return D.stored(spark, sf, "posting_terms", lambda: P.posting_terms(D.postings(spark, sf), CFG))
 
 
 @query

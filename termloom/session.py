@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "termloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,3 +34,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def write_once(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several jobs read into the shared folder and read it back.
+
+    Cuts the lineage, survives lost executors, and gives later joins real sizes.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -43,10 +43,12 @@ def rows_of(cols: list[str], rows) -> tuple[list[str], list[tuple]]:
 
 
 def compare(spark, con, sf_dir: str, fn, sql: str | None):
+    t0 = time.time()
     df = fn(spark, sf_dir)
     got_cols, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    took = f"spark {time.time() - t0:.1f}s "
     if sql is None:
-        return True, len(got), "rows only"
+        return True, len(got), took + "rows only"
     cur = con.execute(sql)
     want_cols, want = rows_of([d[0] for d in cur.description], cur.fetchall())
     if got_cols != want_cols:
@@ -55,7 +57,7 @@ def compare(spark, con, sf_dir: str, fn, sql: str | None):
         sg, sw = set(got), set(want)
         a, b = [x for x in got if x not in sw][:3], [x for x in want if x not in sg][:3]
         return False, len(got), f"rows {len(got)}/{len(want)}; spark only {a}; sql only {b}"
-    return True, len(got), ""
+    return True, len(got), took
 
 
 def main(argv: list[str]) -> int:
