@@ -1 +1,247 @@
+"""Scores over (posting, document) pairs that share a term."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from termloom import dims
+from termloom import fixed_values as fv
+from termloom.functions import text as T
+from termloom.operators import entries as E
+from termloom.operators import lines as L
+from termloom.operators import match as M
+from termloom.operators import postings as P
+from termloom.operators import scores as S
+from termloom.operators import windows as W
+from termloom.plans import corpus as D
+from termloom.plans.match_jobs import pool, pool_evidence
+from termloom.plans.posting_jobs import posting_lines, terms
+from termloom.plans.registry import query
+from termloom.plans.structure_jobs import segmented
+from termloom.plans.text_jobs import _long
+
+PAIR = ["posting_id", "doc_id"]
+
+
+def flags(spark, sf):
+    return D.stored(spark, sf, "flags", lambda: S.term_flags(pool(spark, sf), terms(spark, sf), D.PRIORITY_WEIGHTS))
+
+
+def bullets(spark, sf):
+    lines = D.document_lines(spark, sf)
+    return lines.select("doc_id", F.lit("body").alias("section"), F.col("line_no").alias("bullet_no"), "text")
+
+
+def present(spark, sf):
+    return L.present_sections(L.sections(segmented(spark, sf)))
+
+
+def order_scores(spark, sf):
+    return L.canonical_order_score(present(spark, sf), dims.canonical_dim(spark))
+
+
+def skills(spark, sf):
+    return E.split_skills(segmented(spark, sf).filter("section_id = 'skills' and in_body"))
+
+
+def features(spark, sf):
+    build = lambda: S.doc_features(D.documents(spark, sf), bullets(spark, sf), present(spark, sf), order_scores(spark, sf), skills(spark, sf), D.VERBS)
+    return D.stored(spark, sf, "features", build)
+
+
+def roles(spark, sf):
+    """Short ASCII lines stand in for held roles."""
+    lines = D.document_lines(spark, sf)
+    return lines.filter((F.length("text") <= 40) & ~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", F.col("text").alias("role"))
+
+
+def titles(spark, sf):
+    t = D.postings(spark, sf).select("posting_id", P.posting_title("text").alias("title"))
+    return t.withColumn("title", F.when(F.col("title").rlike(r"[^\x00-\x7F]"), "").otherwise(F.col("title")))
+
+
+def wide(spark, sf):
+    def build():
+        hits = S.pair_hits(flags(spark, sf), pool_evidence(spark, sf))
+        duties = S.duty_words(posting_lines(spark, sf))
+        duty_total = duties.groupBy("posting_id").agg(F.sum("n").alias("t_duty"))
+        t = S.title_alignment(hits.select(*PAIR), titles(spark, sf), roles(spark, sf), D.STOPS)
+        return S.pair_features(hits, S.posting_totals(flags(spark, sf)), duty_total, S.duty_hits(duties, D.documents(spark, sf)), t, features(spark, sf))
+
+    return D.stored(spark, sf, "pair_features", build)
+
+
+def ats(spark, sf):
+    return S.components(wide(spark, sf), S.ats_components(), fv.ATS_WEIGHTS, "ats")
+
+
+def job(spark, sf):
+    return S.components(wide(spark, sf), S.job_components(), fv.JOB_WEIGHTS, "job")
+
+
+def _component(comps, name):
+    return comps.filter(F.col("component") == name).select(*PAIR, _long("value"))
+
+
+def _doc_component(spark, sf, col):
+    return features(spark, sf).select("doc_id", col.cast("long").alias("value"))
+
+
+@query
+def weighted_coverage(spark, sf):
+    return S.weighted_coverage(flags(spark, sf), pool_evidence(spark, sf), "w_ats").select(*PAIR, _long("coverage"))
+
+
+@query
+def required_coverage(spark, sf):
+    return _component(ats(spark, sf), "skillAlignment")
+
+
+@query
+def posting_language(spark, sf):
+    return _component(ats(spark, sf), "jdRelevance")
+
+
+@query
+def title_alignment(spark, sf):
+    return wide(spark, sf).select(*PAIR, _long("title_ats"), _long("title_job"))
+
+
+@query
+def verb_share(spark, sf):
+    return _doc_component(spark, sf, S.verb_share())
+
+
+@query
+def readability(spark, sf):
+    return _doc_component(spark, sf, S.readability())
+
+
+@query
+def section_order(spark, sf):
+    return order_scores(spark, sf).select("doc_id", _long("order_score"))
+
+
+@query
+def structure_score(spark, sf):
+    return _doc_component(spark, sf, S.structure_score())
+
+
+@query
+def overused_words(spark, sf):
+    return S.overused_words(bullets(spark, sf)).select("doc_id", "section", "word", _long("n"), "severity")
+
+
+@query
+def duplicate_bullets(spark, sf):
+    return S.duplicate_bullets(bullets(spark, sf)).select("doc_id", "bullet_key", _long("first_no"), _long("n_extra"))
+
+
+@query
+def duplicate_score(spark, sf):
+    return _doc_component(spark, sf, S.duplicate_score())
+
+
+@query
+def missing_score(spark, sf):
+    return _component(ats(spark, sf), "missingKeywords")
+
+
+@query
+def unsupported_score(spark, sf):
+    return _component(ats(spark, sf), "unsupportedKeywords")
+
+
+@query
+def evidence_strength(spark, sf):
+    return _doc_component(spark, sf, S.evidence_strength())
+
+
+@query
+def ats_score(spark, sf):
+    return S.overall(ats(spark, sf), fv.ATS_BANDS, "weak").select(*PAIR, _long("score"), "band")
+
+
+@query
+def job_match_score(spark, sf):
+    s = S.overall(job(spark, sf), fv.JOB_BANDS, "low")
+    return s.select(*PAIR, _long("score"), "band", S.verdict(F.col("band")).alias("verdict"))
+
+
+@query
+def doc_metrics(spark, sf):
+    m = S.doc_metrics(features(spark, sf))
+    return m.select("doc_id", *[_long(c) for c in ("n_bullets", "n_skills", "n_sections", "mean_words", "n_metric", "n_words")])
+
+
+@query
+def corpus_rollup(spark, sf):
+    s = S.overall(job(spark, sf), fv.JOB_BANDS, "low")
+    facts = s.join(D.documents(spark, sf).select("doc_id", "lang"), "doc_id").join(
+        D.table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    r = S.corpus_rollup(facts, ["lang", "quality"])
+    return r.select("lang", "quality", _long("level"), _long("n"), "mean_score")
+
+
+@query
+def rank_docs(spark, sf):
+    """Top five documents per posting by weighted term coverage."""
+    c = S.weighted_coverage(flags(spark, sf), pool_evidence(spark, sf))
+    return S.rank_docs(c, 5, "coverage").select("posting_id", _long("rank"), "doc_id", F.col("coverage").cast("long").alias("score"))
+
+
+@query
+def weakest_component(spark, sf):
+    w = W.weakest_component(ats(spark, sf), PAIR)
+    return w.select(*PAIR, "component", _long("value"))
+
+
+@query
+def top_gaps(spark, sf):
+    p, ev = pool(spark, sf), pool_evidence(spark, sf)
+    miss = M.missing_terms(p, ev, M.candidate_pairs(p, ev)).filter(F.col("priority").isin("HIGH", "MEDIUM"))
+    g = W.top_k(miss, PAIR, [F.col("priority"), F.col("term")], 20, "rank")
+    return g.select(*PAIR, _long("rank"), "term")
+
+
+@query
+def metric_first(spark, sf):
+    b = bullets(spark, sf).withColumn("has_metric", T.has_metric("text"))
+    return W.metric_first(b, ["doc_id"]).select("doc_id", _long("bullet_no"), _long("position"))
+
+
+@query
+def lookahead_header(spark, sf):
+    lines = D.document_lines(spark, sf)
+    h = W.lookahead_header(lines, T.any_word("text", ["from"]), ["doc_id"])
+    return h.select("doc_id", _long("line_no"), "soon_date", "next_short")
+
+
+@query
+def first_seen_dedupe(spark, sf):
+    t = D.table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    return E.first_seen(t, ["user_id", "event_type"], "event_id")
+
+
+def customer_entries(spark, sf):
+    d = D.dated_lines(spark, sf)
+    y = T.date_years("dates")
+    return d.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("entry_no"), F.get(y, F.lit(0)).alias("start_year"),
+                    F.when(F.size(y) > 0, F.get(y, F.size(y) - 1)).alias("end_year"), T.is_current("dates").alias("is_current"),
+                    F.concat(F.lit("Role "), "o_orderkey").alias("role"), F.lit("").alias("company"))
+
+
+@query
+def experience_span(spark, sf):
+    return W.experience_span(customer_entries(spark, sf), 2024).select("doc_id", _long("span"), _long("years"))
+
+
+@query
+def current_role(spark, sf):
+    return W.current_role(customer_entries(spark, sf))
+
+
+@query
+def keep_last_12(spark, sf):
+    r = D.table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), "ts", F.col("event_id").alias("version_id"))
+    return W.keep_last(r, fv.VERSIONS_KEPT).select("doc_id", "version_id", _long("age"), "is_current")
