@@ -70,8 +70,17 @@ def occ(h: str, n: str) -> str:
     return f"(case when length({n}) > 0 then (length({h}) - length(replace({h}, {n}, ''))) // length({n}) else 0 end)"
 
 
+ACCENTS = "éèêëáàâäãåíìîïóòôöõúùûüñçßæœÿ"
+SINGLE = "".join(chr(c) for c in (*range(1, 9), *range(14, 32), 127, 94, 95, 96, 126))[: len(ACCENTS)]
+
+
+def one_byte(x: str) -> str:
+    """levenshtein counts bytes there; give each accented letter a byte of its own."""
+    return f"translate({x}, {lit(ACCENTS)}, {lit(SINGLE)})"
+
+
 def similarity(a: str, b: str) -> str:
-    x, y = f"trim(lower({a}))", f"trim(lower({b}))"
+    x, y = one_byte(f"trim(lower({a}))"), one_byte(f"trim(lower({b}))")
     return (
         f"(case when {x} = '' or {y} = '' then 0.0 when {x} = {y} then 1.0 "
         f"else 1.0::double - levenshtein({x}, {y})::double / greatest(length({x}), length({y})) end)"

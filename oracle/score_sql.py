@@ -31,7 +31,6 @@ _dw = X.rr("w", WORD_EDGE, "")
 DUTY = f"""du0 as (select posting_id, {_dw} as word from (select posting_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9+#/.-]+')) as w from pl where bucket = 'responsibilities')),
 du as (select posting_id, word, count(*) as n from du0 where length(word) > 5 group by 1, 2), dt0 as (select posting_id, sum(n) as t_duty from du group by 1),
 dh as (select posting_id, doc_id, sum(n) as h_duty from du join (select distinct doc_id, w from grams_w) g on g.w = du.word group by 1, 2)"""
-ASCII = "not regexp_matches({}, '[^\\x00-\\x7F]')"
 
 
 def mentions(h: str, n: str) -> str:
@@ -41,8 +40,8 @@ def mentions(h: str, n: str) -> str:
             f"len(list_filter({toks}, lambda tk: list_contains({ws}, tk) or list_contains({ws}, {X.singular('tk')}))) = len({toks}))))")
 
 
-TITLE = f"""roles as (select doc_id, {X.soft('text')} as r from lines where length(text) <= 40 and {ASCII.format('text')}),
-ti as (select posting_id, case when {ASCII.format('title')} then {X.soft('title')} else '' end as t from titles),
+TITLE = f"""roles as (select doc_id, {X.soft('text')} as r from lines where length(text) <= 40),
+ti as (select posting_id, {X.soft('title')} as t from titles),
 tj as (select ph.posting_id, ph.doc_id, t, r from ph left join ti using (posting_id) left join (select * from roles where r <> '') ro on ro.doc_id = ph.doc_id),
 tn as (select *, {mentions('r', 't')} or {mentions('t', 'r')} as near, {X.similarity('r', 't')} as sim from tj),
 ta as (select posting_id, doc_id, max(case when r = t then 100.0::double when near then 88.0::double else sim * 70 end) as a,

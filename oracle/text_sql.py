@@ -63,8 +63,7 @@ _tok = f"list_filter(string_split(needle, ' '), lambda t: length(t) > 1 and t no
 sql("text_mentions", f"""with {_base}, w as (select *, string_split(hay, ' ') as ws, {_tok} as toks from v)
 select doc_id, term, (contains(hay, needle) or contains(hay, sg) or contains(hay, pl) or
  (len(toks) > 1 and len(list_filter(toks, lambda t: list_contains(ws, t) or list_contains(ws, {X.singular('t')}))) = len(toks))) as mentioned from w""")
-sql("similarity", f"""with {lines_cte()}, a as (select * from lines where not regexp_matches(text, '[^\\x00-\\x7F]')),
-p as (select doc_id, line_no, text, lag(text) over (partition by doc_id order by line_no) as prev from a)
+sql("similarity", f"""with {lines_cte()}, p as (select doc_id, line_no, text, lag(text) over (partition by doc_id order by line_no) as prev from lines)
 select doc_id, line_no::bigint as line_no, round({X.similarity('prev', 'text')}, 6) as sim from p where prev is not null""")
 sql("clamp_pct", f"select value, count(*)::bigint as n from (select {X.clamp('(l_extendedprice::double / 400.0::double - 20.25::double)')}::bigint as value from lineitem) group by 1")
 sql("bullet_prefix", f"""with {lines_cte()} select doc_id, line_no::bigint as line_no, {X.bullet('text', 'marker')} as marker,

@@ -50,14 +50,13 @@ def features(spark, sf):
 
 
 def roles(spark, sf):
-    """Short ASCII lines stand in for held roles."""
+    """Short lines stand in for held roles."""
     lines = D.document_lines(spark, sf)
-    return lines.filter((F.length("text") <= 40) & ~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", F.col("text").alias("role"))
+    return lines.filter(F.length("text") <= 40).select("doc_id", F.col("text").alias("role"))
 
 
 def titles(spark, sf):
-    t = D.postings(spark, sf).select("posting_id", P.posting_title("text").alias("title"))
-    return t.withColumn("title", F.when(F.col("title").rlike(r"[^\x00-\x7F]"), "").otherwise(F.col("title")))
+    return D.postings(spark, sf).select("posting_id", P.posting_title("text").alias("title"))
 
 
 def wide(spark, sf):
