@@ -1 +1,172 @@
+"""Clean-up, findings and report jobs."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from termloom import dims
+from termloom import fixed_values as fv
+from termloom.functions import text as T
+from termloom.operators import findings as N
+from termloom.operators import match as M
+from termloom.operators import rewrite as R
+from termloom.operators import scores as S
+from termloom.operators import windows as W
+from termloom.plans import corpus as D
+from termloom.plans.match_jobs import matches, pool, pool_evidence
+from termloom.plans.posting_jobs import terms
+from termloom.plans.registry import query
+from termloom.plans.score_jobs import ats, bullets, job, roles, skills, titles, wide
+from termloom.plans.text_jobs import _long
+
+PAIR = ["posting_id", "doc_id"]
+
+
+def duty_bullets(spark, sf):
+    """Bullets written from the orders table, with weak openers, tense and spelling to fix."""
+    o = D.table(spark, sf, "orders")
+    openers = ["Responsible for", "Handled", "Worked on the", "helped with", "Manage", "Dealt with", "I recieve a", "In order to plan"]
+    k = F.col("o_orderkey")
+    return o.select(
+        F.col("o_custkey").alias("doc_id"), k.alias("bullet_no"), (k % 2 == 0).alias("is_current"),
+        F.concat(F.element_at(F.array(*[F.lit(x) for x in openers]), (k % len(openers) + 1).cast("int")), F.lit(" order "), F.lower("o_orderpriority"),
+                 F.lit(" , prior to managment review")).alias("text"))
+
+
+@query
+def clean_bullets(spark, sf):
+    lines = bullets(spark, sf).select("doc_id", "bullet_no", "text")
+    return R.clean_bullets(lines).select("doc_id", _long("bullet_no"), "clean")
+
+
+@query
+def upgrade_verbs(spark, sf):
+    rows, advice = R.upgrade_verbs(duty_bullets(spark, sf))
+    return rows.join(advice.select("doc_id", "bullet_no", "advice"), ["doc_id", "bullet_no"], "left").select("doc_id", "bullet_no", "upgraded", "advice")
+
+
+@query
+def normalize_tense(spark, sf):
+    return R.normalize_tense(duty_bullets(spark, sf)).select("doc_id", "bullet_no", "tensed")
+
+
+@query
+def change_log(spark, sf):
+    rows, _ = R.upgrade_verbs(duty_bullets(spark, sf))
+    rows = R.clean_bullets(R.normalize_tense(rows))
+    return R.change_log(rows, ["doc_id", "bullet_no"], [("action-verb", "text", "upgraded"), ("tense", "text", "tensed"), ("grammar", "text", "clean")]).select(
+        "doc_id", "bullet_no", "type", "advice", "from", "to")
+
+
+@query
+def change_summary(spark, sf):
+    return R.change_summary(change_log(spark, sf)).select("type", "advice", _long("n"))
+
+
+@query
+def drop_short(spark, sf):
+    return R.drop_short(bullets(spark, sf)).select("doc_id", _long("bullet_no"))
+
+
+def insertable(spark, sf):
+    m = matches(spark, sf)
+    pairs = m.filter("status <> 'MISSING'").select(F.col("resume_term").alias("source"), F.col("term").alias("target")).distinct()
+    ok = M.can_substitute(pairs, dims.substitution_dim(spark, {"thing": ["edth"], "thti": ["hation"]}), dims.synonym_dim(spark, D.SYNONYMS))
+    ok = ok.filter("allowed").select(F.col("source").alias("resume_term"), F.col("target").alias("term"), F.lit(True).alias("_i"))
+    rank = terms(spark, sf).select("posting_id", "term", "rank")
+    return m.join(ok, ["resume_term", "term"], "left").withColumn("can_insert", F.coalesce("_i", F.lit(False))).drop("_i").join(
+        rank, ["posting_id", "term"], "left").withColumn("rank", F.coalesce("rank", F.lit(100)))
+
+
+@query
+def align_terms(spark, sf):
+    swaps = insertable(spark, sf).filter("can_insert and status = 'SYNONYM'").select("doc_id", F.col("resume_term").alias("source"), F.col("term").alias("target")).distinct()
+    a = R.align_terms(bullets(spark, sf).select("doc_id", "bullet_no", "text"), swaps)
+    return a.filter("aligned <> text").select("doc_id", _long("bullet_no"), "aligned")
+
+
+@query
+def substitution_gain(spark, sf):
+    c = insertable(spark, sf).filter("can_insert and status = 'SYNONYM'").select(*PAIR, F.col("resume_term").alias("source"), F.col("term").alias("target"))
+    g = R.substitution_gain(D.documents(spark, sf), c, pool(spark, sf), D.STOPS)
+    return g.select(*PAIR, "source", "target", _long("gain"), _long("rank"))
+
+
+@query
+def skills_by_demand(spark, sf):
+    m = insertable(spark, sf)
+    s = m.select(*PAIR).distinct().join(skills(spark, sf), "doc_id")
+    return R.skills_by_demand(s, m).select(*PAIR, _long("group_no"), "item", _long("demand"), _long("position"))
+
+
+@query
+def promote_skills(spark, sf):
+    docs = D.documents(spark, sf)
+    tok = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9+#/]+"))).alias("token"))
+    p = R.promote_skills(insertable(spark, sf), pool_evidence(spark, sf).filter("mentions > 0"), skills(spark, sf), roles(spark, sf), tok)
+    return p.select(*PAIR, "term", "promoted", "reason")
+
+
+@query
+def draft_summary(spark, sf):
+    r = roles(spark, sf).groupBy("doc_id").agg(F.min("role").alias("role"))
+    return R.draft_summary(r, insertable(spark, sf))
+
+
+def feature_row(spark, sf):
+    m = insertable(spark, sf)
+    cat = terms(spark, sf).select("posting_id", "term", "category", "required")
+    per = m.join(cat, ["posting_id", "term"], "left")
+    gone = F.col("status") == "MISSING"
+    counts = per.groupBy(*PAIR).agg(
+        F.count_if(gone).alias("n_missing"), F.count_if(gone & ((F.col("priority") == "HIGH") | (F.col("source") == "user"))).alias("n_missing_high"),
+        F.count_if(gone & (F.col("category") == "technology")).alias("n_unsupported_tech"),
+        F.count_if(gone & F.coalesce("required", F.lit(False))).alias("n_absent_required"),
+        F.count_if(F.col("status") == "MATCHED").alias("n_literal"), F.count_if(F.col("status") == "SYNONYM").alias("n_synonym"),
+        F.count_if((F.col("status") == "SYNONYM") & F.col("can_insert")).alias("n_insertable_synonym"))
+    a = S.overall(ats(spark, sf), fv.ATS_BANDS, "weak").select(*PAIR, F.col("score").alias("ats_score"))
+    j = S.overall(job(spark, sf), fv.JOB_BANDS, "low").select(*PAIR, F.col("score").alias("job_score"))
+    weak = W.weakest_component(ats(spark, sf), PAIR).select(*PAIR, F.col("value").alias("weakest_value"))
+    w = wide(spark, sf).withColumn("verb_pct", S.verb_share()).withColumn("readability", S.readability())
+    for part in (counts, a, j, weak):
+        w = w.join(part, PAIR)
+    return N.complete(w)
+
+
+@query
+def recommendations(spark, sf):
+    return N.recommendations(feature_row(spark, sf)).select(*PAIR, "rule", "severity", "evidence")
+
+
+@query
+def swot_findings(spark, sf):
+    return N.swot_findings(feature_row(spark, sf)).select(*PAIR, "quadrant", "rule", "severity", "evidence")
+
+
+@query
+def top_findings(spark, sf):
+    t = N.top_findings(N.swot_findings(feature_row(spark, sf)), 3)
+    return t.select(*PAIR, "quadrant", _long("rank"), "rule")
+
+
+@query
+def years_gap(spark, sf):
+    """Customers as documents, orders as postings: span of the entries against the years asked."""
+    from termloom.plans.score_jobs import customer_entries
+    from termloom.operators import postings as P
+
+    o = D.table(spark, sf, "orders").select(F.col("o_orderkey").alias("posting_id"), F.col("o_custkey").alias("doc_id"), F.concat(
+        F.lit("At least "), F.col("o_orderkey") % 12, F.lit(" years")).alias("text"))
+    spans = W.experience_span(customer_entries(spark, sf), 2024)
+    g = N.years_gap(P.years_required(o), spans, o.select(*PAIR))
+    return g.select(*PAIR, _long("years_required"), _long("years_shown"))
+
+
+@query
+def write_report(spark, sf):
+    """Nested report rows as JSON text, the form the sink writes."""
+    comps = ats(spark, sf).unionByName(job(spark, sf)).withColumn("before", F.col("value")).withColumn("after", F.col("value")).withColumn("delta", F.lit(0))
+    a = S.overall(ats(spark, sf), fv.ATS_BANDS, "weak").select(*PAIR, F.col("score").alias("ats_score"))
+    scores = S.overall(job(spark, sf), fv.JOB_BANDS, "low").join(a, PAIR)
+    r = N.build_report(scores, comps, N.top_findings(N.swot_findings(feature_row(spark, sf))), matches(spark, sf), titles(spark, sf))
+    return r.select(*PAIR, F.to_json(F.struct(*[c for c in r.columns if c not in PAIR])).alias("report"))
