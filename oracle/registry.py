@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 SQL: dict[str, str] = {}
-MODULES = ("text_sql", "structure_sql", "posting_sql", "match_sql", "score_sql", "version_sql", "rewrite_sql")
+MODULES = ("text_sql", "structure_sql", "posting_sql", "match_sql", "score_sql", "version_sql", "rewrite_sql", "stream_sql")
 
 
 def sql(name: str, text: str) -> None:

@@ -25,12 +25,15 @@ def entities(x: str) -> str:
     return f"list_distinct(list_transform(regexp_extract_all({x}, {X.lit(V.ENTITY)}, 1), lambda e: {X.soft('e')}))"
 
 
-def new(f, name: str) -> str:
-    return f"{name} as (select conv_id, turn, unnest(list_filter({f('after')}, lambda v: not list_contains({f('before')}, v))) as term from turns)"
+def new(f, name: str, src: str = "turns") -> str:
+    return f"{name} as (select conv_id, turn, unnest(list_filter({f('after')}, lambda v: not list_contains({f('before')}, v))) as term from {src})"
 
 
-sql("new_numbers", f"with {TURNS}, {new(numbers, 'n')} select conv_id, turn, 'new-number' as rule, 'critical' as severity, term from n")
-sql("new_entities", f"with {TURNS}, {new(entities, 'n')} select conv_id, turn, 'new-term' as rule, 'warning' as severity, term from n")
+ALL = f"{TURNS}, versions as (select * from turns union all select a.doc_id, -1, a.text, b.text from documents a join documents b on b.doc_id = a.doc_id + 1)"
+
+
+sql("new_numbers", f"with {ALL}, {new(numbers, 'n', 'versions')} select conv_id, turn, 'new-number' as rule, 'critical' as severity, term from n")
+sql("new_entities", f"with {ALL}, {new(entities, 'n', 'versions')} select conv_id, turn, 'new-term' as rule, 'warning' as severity, term from n")
 _hits = word_hits("conversations", "conv_id, turn", "dt")
 LEAK = f"""{TERMS}, dt as (select distinct term from terms), {TURNS}, {_hits},
 leak as (select h.conv_id, h.turn - 1 as turn, h.term from hits h join turns t on t.conv_id = h.conv_id and t.turn = h.turn - 1

@@ -1 +1,41 @@
+"""Stream jobs over the stored events: user = document, event = revision."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from termloom.operators import match as M
+from termloom.operators import scores as S
+from termloom.plans import corpus as D
+from termloom.plans.match_jobs import MAX_WORDS, pool
+from termloom.plans.registry import query
+from termloom.plans.score_jobs import flags
+from termloom.plans.text_jobs import _long
+from termloom.streaming import streams as ST
+
+
+def revisions(spark, sf):
+    return ST.read_revisions(spark, sf, "events.parquet")
+
+
+@query
+def stream_versions(spark, sf):
+    return ST.stream_versions(revisions(spark, sf)).select("doc_id", "version_id", _long("age"), "is_current")
+
+
+@query
+def stream_activity(spark, sf):
+    a = ST.stream_activity(revisions(spark, sf), every="1 day")
+    return a.select("doc_id", F.date_format("start", "yyyy-MM-dd").alias("day"), _long("n"))
+
+
+@query
+def stream_rescore(spark, sf):
+    wanted = flags(spark, sf)
+    variants = pool(spark, sf).select("term").distinct()
+
+    def score(docs):
+        return S.weighted_coverage(wanted, M.term_hits(docs, variants, MAX_WORDS))
+
+    docs = D.documents(spark, sf).select("doc_id", "text")
+    return ST.stream_rescore(revisions(spark, sf), docs, score).select("posting_id", "doc_id", _long("coverage"))

@@ -22,14 +22,22 @@ def turns(spark, sf):
     return V.consecutive(D.table(spark, sf, "conversations"), "conv_id", "turn")
 
 
+def all_versions(spark, sf):
+    """Turns, and successive documents of the store as versions -1 of each other."""
+    docs = D.documents(spark, sf).select("doc_id", "text", F.col("doc_id").alias("conv_id"))
+    succ = docs.select("conv_id", F.col("text").alias("before")).join(
+        docs.select((F.col("conv_id") - 1).alias("conv_id"), F.col("text").alias("after")), "conv_id")
+    return turns(spark, sf).unionByName(succ.withColumn("turn", F.lit(-1).cast("long")))
+
+
 @query
 def new_numbers(spark, sf):
-    return V.new_numbers(turns(spark, sf), K)
+    return V.new_numbers(all_versions(spark, sf), K)
 
 
 @query
 def new_entities(spark, sf):
-    return V.new_entities(turns(spark, sf), K)
+    return V.new_entities(all_versions(spark, sf), K)
 
 
 def leaked(spark, sf):
