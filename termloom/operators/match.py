@@ -171,18 +171,19 @@ def term_hits_unordered(docs: DataFrame, terms: DataFrame, stop_words: Sequence[
     """
     toks = F.array_distinct(F.filter(F.split("term", " "), lambda t: (F.length(t) > 1) & ~t.isin(list(stop_words))))
     multi = terms.select("term").distinct().withColumn("toks", toks).filter(F.size("toks") > 1)
-    words = docs.select(key, F.array_distinct(F.flatten(T.word_pieces(text))).alias("words"))
     forms = multi.select("term", F.explode("toks").alias("tok")).select(
         "term", "tok", F.explode(F.array_distinct(F.array("tok", T.singularize("tok")))).alias("word"))
-    df = words.select(F.explode("words").alias("word")).join(forms.select("word").distinct(), "word", "left_semi").groupBy("word").agg(
-        F.count(F.lit(1)).alias("df"))
-    tok_df = forms.join(df, "word", "left").groupBy("term", "tok").agg(F.sum(F.coalesce("df", F.lit(0))).alias("df"))
-    anchor = tok_df.groupBy("term").agg(F.min_by("tok", F.struct("df", "tok")).alias("tok"))
+    flat = F.flatten(T.word_pieces(text))
+    words = docs.select(key, F.explode(flat).alias("word"))
+    freq = words.join(forms.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    tok_freq = forms.join(freq, "word", "left").groupBy("term", "tok").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    anchor = tok_freq.groupBy("term").agg(F.min_by("tok", F.struct("n", "tok")).alias("tok"))
     probes = forms.join(anchor, ["term", "tok"], "left_semi").select("term", "word")
-    cand = words.select(key, F.explode("words").alias("word")).join(probes, "word").select(key, "term").distinct()
-    checked = cand.join(multi, "term").join(words, key)
-    ok = F.forall("toks", lambda t: F.array_contains("words", t) | F.array_contains("words", T.singularize(t)))
-    return checked.filter(ok).select(key, "term")
+    cand = words.join(probes, "word").select(key, "term").distinct()
+    hay = docs.select(key, F.concat(F.lit(" "), F.array_join(flat, " "), F.lit(" ")).alias("hay"))
+    has = lambda w: F.col("hay").contains(F.concat(F.lit(" "), w, F.lit(" ")))
+    checked = cand.join(multi, "term").join(hay, key)
+    return checked.filter(F.forall("toks", lambda t: has(t) | has(T.singularize(t)))).select(key, "term")
 
 
 # --------------------------------------------------------------------- evidence
