@@ -323,7 +323,7 @@ def layout_profile(blocks: DataFrame, key: str = "doc_id", order: str = "block_n
         F.max(F.coalesce(F.col("columns"), F.lit(1)) if "columns" in blocks.columns else F.lit(1)).alias("columns"))
     med = lambda a: F.get(F.array_sort(a), F.floor(F.size(a) / 2).cast("int"))
     out = sizes.withColumn("_a", F.transform("_z", lambda z: z["s"])).withColumn("base_size", med(F.col("_a")))
-    bigger = lambda f: F.filter("_a", lambda s: s > F.col("base_size") * f)
+    bigger = lambda f: T.let(F.col("base_size"), lambda m: F.filter("_a", lambda s: s > m * f))
     out = out.withColumn("heading_size", F.coalesce(med(bigger(1.12)), F.col("base_size") * 1.14))
     out = out.withColumn("name_size", F.coalesce(F.array_max(F.slice(bigger(1.45), 1, 3)), F.col("base_size") * 2.1)).drop("_z", "_a")
     for c in ("font", "align", "color"):

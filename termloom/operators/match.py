@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from termloom import fixed_values as fv
 from termloom.functions import text as T
+from termloom.session import write_once
 
 PRIORITY_RANK = {"HIGH": 0, "MEDIUM": 1, "LOW": 2}
 
@@ -165,25 +166,23 @@ def term_hits_substring(docs: DataFrame, terms: DataFrame, key: str = "doc_id",
 def term_hits_unordered(docs: DataFrame, terms: DataFrame, stop_words: Sequence[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, term) where every significant word of a multi-word term occurs, in any order.
 
-    Candidates come from the rarest word of each term only, so a frequent word
-    does not pair its documents with all terms that contain it; the other words
-    are then tested inside the document row.
+    The texts are read once, down to the (doc, word) pairs the terms can use.
+    Candidates then come from the rarest word of each term only, so a frequent
+    word does not pair its documents with all terms that contain it, and the
+    other words are semi-joined.
     """
     toks = F.array_distinct(F.filter(F.split("term", " "), lambda t: (F.length(t) > 1) & ~t.isin(list(stop_words))))
     multi = terms.select("term").distinct().withColumn("toks", toks).filter(F.size("toks") > 1)
-    forms = multi.select("term", F.explode("toks").alias("tok")).select(
-        "term", "tok", F.explode(F.array_distinct(F.array("tok", T.singularize("tok")))).alias("word"))
-    flat = F.flatten(T.word_pieces(text))
-    words = docs.select(key, F.explode(flat).alias("word"))
-    freq = words.join(forms.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    tok_freq = forms.join(freq, "word", "left").groupBy("term", "tok").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
-    anchor = tok_freq.groupBy("term").agg(F.min_by("tok", F.struct("n", "tok")).alias("tok"))
-    probes = forms.join(anchor, ["term", "tok"], "left_semi").select("term", "word")
-    cand = words.join(probes, "word").select(key, "term").distinct()
-    hay = docs.select(key, F.concat(F.lit(" "), F.array_join(flat, " "), F.lit(" ")).alias("hay"))
-    has = lambda w: F.col("hay").contains(F.concat(F.lit(" "), w, F.lit(" ")))
-    checked = cand.join(multi, "term").join(hay, key)
-    return checked.filter(F.forall("toks", lambda t: has(t) | has(T.singularize(t)))).select(key, "term")
+    wanted = multi.select("term", F.size("toks").alias("n"), F.explode("toks").alias("tok"))
+    forms = wanted.select("tok").distinct().select(
+        "tok", F.explode(F.array_distinct(F.array("tok", T.singularize("tok")))).alias("word"))
+    words = docs.select(key, F.explode(F.flatten(T.word_pieces(text))).alias("word"))
+    seen = write_once(words.join(forms, "word").select(key, "tok").distinct(), "token_hits")
+    freq = seen.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    anchor = wanted.join(freq, "tok").groupBy("term").agg(F.min_by("tok", F.struct("df", "tok")).alias("tok"))
+    cand = seen.join(anchor, "tok").select(key, "term", F.col("tok").alias("anchor"))
+    others = cand.join(wanted, "term").filter("tok <> anchor").join(seen, [key, "tok"], "left_semi")
+    return others.groupBy(key, "term", "n").agg(F.count(F.lit(1)).alias("k")).filter("k = n - 1").select(key, "term")
 
 
 # --------------------------------------------------------------------- evidence

@@ -176,8 +176,8 @@ def padded(c: Column | str) -> Column:
 
 def phrase_hits(c: Column | str, phrases: Sequence[str]) -> Column:
     """Array of the phrases (a short argument list) the text contains as whole words."""
-    hay = padded(c)
-    return F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: hay.contains(F.concat(F.lit(" "), p, F.lit(" "))))
+    known = F.array(*[F.lit(p) for p in phrases])
+    return T.let(padded(c), lambda hay: F.filter(known, lambda p: hay.contains(F.concat(F.lit(" "), p, F.lit(" ")))))
 
 
 def cert_mentions(postings: DataFrame, credentials: dict[str, str], key: str = "posting_id") -> DataFrame:

@@ -161,23 +161,28 @@ def pair_bullets(pairs: DataFrame, keys: Sequence[str], threshold: float = 0.34)
     return df.select(*keys, F.explode(F.concat(F.transform("a", to_row), gone)).alias("r")).select(*keys, "r.*")
 
 
-GRAM = 3
+GRAM = 5
+TO_LOW, FROM_LOW = 1, 2
 
 
-def _probes(s: Column, n: Column) -> Column:
-    """Grams of which two texts with similarity above 0.9 share at least one.
+def _probes(s: Column, n: Column, low_mark: int, any_mark: int) -> Column:
+    """Gram hashes of which two texts with similarity above 0.9 share at least one.
 
     A pair within the bound differs in at most n/9 edits, each destroying at
     most GRAM grams, so the smallest GRAM*ceil(n/9)+1 grams under any common
-    order must meet.  Texts too repetitive for that argument (few distinct
-    grams) get a length mark instead and are compared with those near in length.
+    order must meet (a hash collision can only add a candidate).  The argument
+    needs more distinct grams than that; a text too repetitive carries
+    ``low_mark`` and meets the ``any_mark`` every text of the other side carries.
     """
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - (GRAM - 1), F.lit(1))), lambda i: F.substring(s, i, F.lit(GRAM))))
+    # characters once as an array: substring would walk the text again for every gram
+    grams = T.let(F.split(s, ""), lambda ch: F.array_distinct(F.transform(
+        F.sequence(F.lit(0), F.greatest(n - GRAM, F.lit(0))), lambda i: F.xxhash64(*[F.get(ch, i + k) for k in range(GRAM)]))))
+    keep = (F.ceil(n / 9) * GRAM).cast("int")
+    mark = lambda m: F.array(F.lit(m).cast("long"))
 
     def pick(g: Column) -> Column:
-        ordered = F.array_sort(F.transform(g, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("g"))))
-        head = F.transform(F.slice(ordered, F.lit(1), (F.ceil(n / 9) * GRAM + 1).cast("int")), lambda x: x["g"])
-        return F.when(F.size(g) <= 2 * GRAM * F.ceil(n / 8.0), F.concat(head, F.array(F.lit("\x01")))).otherwise(head)
+        head = F.concat(F.slice(F.sort_array(g), F.lit(1), keep + 1), mark(any_mark))
+        return F.when(F.size(g) <= keep, F.concat(head, mark(low_mark))).otherwise(head)
 
     return T.let(grams, pick)
 
@@ -199,11 +204,12 @@ def near_dup_bullets(bullets: DataFrame, keys: Sequence[str] = ("doc_id",), orde
     b = b.join(by_key, [*keys, "_key"], "left").join(by_prefix, [*keys, "_p"], "left")
     b = b.withColumn("_d", (F.col("_key") != "") & ((F.col("_rank") < F.col("_best_key")) | F.coalesce(F.col("_rank") < F.col("_best_p"), F.lit(False))))
     n = F.length("_s")
-    rows = b.filter(n > 10).select(*keys, F.col(order).alias("no"), n.alias("n"), "_rank", "_d", "_s")
-    tok = rows.select(*keys, "no", "n", "_rank", "_d", F.explode(_probes(F.col("_s"), F.col("n"))).alias("tok"))
-    x = tok.filter(~F.col("_d")).select(*keys, F.col("no").alias("x"), F.col("n").alias("xn"), F.col("_rank").alias("xr"), "tok")
-    y = tok.select(*keys, F.col("no").alias("y"), F.col("n").alias("yn"), F.col("_rank").alias("yr"), "tok")
-    cand = x.join(y, [*keys, "tok"]).filter((F.col("yr") > F.col("xr")) & (F.least("xn", "yn") > F.greatest("xn", "yn") * threshold))
+    rows = b.filter(n > 10).select(*keys, F.col(order).alias("no"), n.alias("n"), F.length("text").alias("len"), "_d", "_s")
+    probe = lambda lo, al: F.explode(_probes(F.col("_s"), F.col("n"), lo, al)).alias("tok")
+    x = rows.filter(~F.col("_d")).select(*keys, F.col("no").alias("x"), F.col("n").alias("xn"), F.col("len").alias("xl"), probe(FROM_LOW, TO_LOW))
+    y = rows.select(*keys, F.col("no").alias("y"), F.col("n").alias("yn"), F.col("len").alias("yl"), probe(TO_LOW, FROM_LOW))
+    better = (F.col("yl") > F.col("xl")) | ((F.col("yl") == F.col("xl")) & (F.col("y") < F.col("x")))
+    cand = x.join(y, [*keys, "tok"]).filter(better & (F.least("xn", "yn") > F.greatest("xn", "yn") * threshold))
     cand = cand.select(*keys, "x", "y").distinct()
     t1 = rows.select(*keys, F.col("no").alias("x"), F.col("_s").alias("xs"))
     t2 = rows.select(*keys, F.col("no").alias("y"), F.col("_s").alias("ys"))

@@ -33,7 +33,7 @@ def bullets(spark, sf):
 
 
 def present(spark, sf):
-    return L.present_sections(L.sections(segmented(spark, sf)))
+    return D.stored(spark, sf, "present", lambda: L.present_sections(L.sections(segmented(spark, sf))))
 
 
 def order_scores(spark, sf):

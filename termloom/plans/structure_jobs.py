@@ -14,8 +14,12 @@ from termloom.sources import readers as R
 
 
 def segmented(spark, sf):
-    lines = D.document_lines(spark, sf)
-    return L.segment_sections(lines, D.aliases_from_lines(lines), D.WEAK_HEADINGS)
+    """Lines with their section, written once: sections, skills and locations all start here."""
+    def build():
+        lines = D.document_lines(spark, sf)
+        return L.segment_sections(lines, D.aliases_from_lines(lines), D.WEAK_HEADINGS)
+
+    return D.stored(spark, sf, "segmented", build)
 
 
 def page_lines(spark, sf):
