@@ -3,7 +3,7 @@
 Pre-tokens are coded against a dictionary of their block of documents (bounded by characters), so that
 what is shuffled by word is one row per block and distinct word instead of one per occurrence. The words
 meet on their hash, each is encoded once, its ids go back to the block, and the documents of the block
-are put together from their code sequences. Texts themselves are never shuffled.
+are put together from their code sequences. Neither texts nor code sequences are shuffled.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from termloom.llm.common import stored
+from termloom.llm.common import bucketed
 
 # A space before a white-space character or at the end: only there does a cut before a space depend on what follows.
 ODD_SPACE = regex.compile(r" (?=\s|$)")
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 12_000_000
 
 
 @lru_cache(4)
@@ -105,116 +106,137 @@ class _Block(dict):
 PLAIN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers by byte planes: small ones leave the upper planes empty."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()) if len(x) else b""
+
+
+def opened(x: bytes) -> np.ndarray:
+    if not x:
+        return np.empty(0, np.int64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def packed(parts: list[bytes]) -> tuple[bytes, bytes]:
+    """Lengths and joined bytes, both compressed."""
+    return squeezed(np.fromiter(map(len, parts), np.int64, len(parts))), zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+
+
+def unpacked(lens: bytes, flat: bytes) -> list[bytes]:
+    n = opened(lens)
+    data = zstandard.ZstdDecompressor().decompress(flat)
+    ends = np.cumsum(n)
+    return [data[a:b] for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+
+
 def encode(docs: DataFrame, keys: list[str], text: str, ranks: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Encode every whole text. Returns the keys, n_tokens (long) and ids (binary: ids as little-endian unsigned 32-bit).
 
     Null and empty texts have no tokens. Repeated rows and null or repeated keys stay rows of their own:
-    a row is addressed by block and place, never by key. Other columns of docs are not looked at, so
-    clashing names do no harm. The chunk cuts hold for patterns in which a space before a non-space
-    starts a pre-token and letter runs, digits and other runs alternate, as in PLAIN_PATTERN; any other
-    pattern is applied to whole texts.
+    a row is addressed by its block, never by key. Other columns of docs are not looked at, so clashing
+    names do no harm. The cuts of _Block hold for PLAIN_PATTERN; any other pattern is applied to whole texts.
+
+    A block's distinct words are exploded into rows by hash bucket (block, bucket, words, places); the rows
+    of a bucket meet in one task, which encodes each distinct word once and sends the ids back to the block.
+    Documents wait in a table bucketed by block, so that their code sequences are written once and not
+    shuffled. A word has one entry per block at most, however often it occurs.
     """
+    spark = docs.sparkSession
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = 4 * n_parts
     simple = pattern == PLAIN_PATTERN
     src = docs.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(text).cast("string").alias("text"))
     key_fields = src.schema.fields[:-1]
     kinds = ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(key_fields))
-    head = "block long, kind byte, place int, load binary"
+    names = ["block", "bucket", "codes", "places", "lens", "words", *[f"k{i}" for i in range(len(keys))]]
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        next_id = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        block, chars = _Block(pattern), 0
         types: list[pa.DataType] = []
-        state: dict = {}
-
-        def fresh() -> None:
-            nonlocal part
-            state.update(block=_Block(pattern), id=part, chars=0, place=0)
-            part += 1
 
         def dictionary() -> Iterator[pa.RecordBatch]:
-            words = [w.encode() for w in state["block"].words]
-            for at in range(0, len(words), 50_000):
-                some = words[at : at + 50_000]
-                n = len(some)
+            words = [w.encode() for w in block.words]
+            bucket = np.fromiter(map(crc32, words), np.int64, len(words)) % n_buckets
+            order = np.argsort(bucket, kind="stable")
+            some, start = np.unique(bucket[order], return_index=True)
+            rows = []
+            for b, at in zip(some.tolist(), np.split(order, start[1:]), strict=True):
+                rows.append((next_id, b, squeezed(np.diff(at, prepend=0)), *packed([words[i] for i in at.tolist()])))
+            if rows:
+                block_, bucket_, places, lens, flat = zip(*rows, strict=True)
+                n = len(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([state["id"]] * n, pa.int64()), pa.array([0] * n, pa.int8()), pa.array(range(at, at + n), pa.int32()), pa.array(some, pa.binary()), *[pa.nulls(n, t) for t in types]],
-                    ["block", "kind", "place", "load", *[f"k{i}" for i in range(len(types))]])
+                    [pa.array(block_, pa.int64()), pa.array(bucket_, pa.int32()), pa.nulls(n, pa.binary()), pa.array(places, pa.binary()), pa.array(lens, pa.binary()), pa.array(flat, pa.binary()), *[pa.nulls(n, t) for t in types]], names)
 
-        fresh()
         for b in batches:
             types = [c.type for c in b.columns[:-1]]
             texts = b.column(b.num_columns - 1)
             sizes = np.fromiter((len(t) if t else 0 for t in texts.to_pylist()), np.int64, b.num_rows)
             at = 0
             while at < b.num_rows:
-                room = block_chars - state["chars"]
-                n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), room, "right")))
-                some = texts.slice(at, n).to_pylist()
+                n = min(b.num_rows - at, max(1, int(np.searchsorted(np.cumsum(sizes[at:]), block_chars - chars, "right"))))
+                some = [t or "" for t in texts.slice(at, n).to_pylist()]
                 if simple:
-                    codes = state["block"].code([t or "" for t in some])
+                    codes = block.code(some)
                 else:
-                    block = state["block"]
-                    codes = [np.array([block.words.setdefault(w, len(block.words)) for w in block.find(t or "")], np.int64) for t in some]
-                load = [squeeze(c.astype("<u4").tobytes()) for c in codes]
-                n = len(some)
+                    codes = [np.array([block.words.setdefault(w, len(block.words)) for w in block.find(t)], np.int64) for t in some]
+                none = pa.nulls(n, pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([state["id"]] * n, pa.int64()), pa.array([1] * n, pa.int8()), pa.array(range(state["place"], state["place"] + n), pa.int32()), pa.array(load, pa.binary()), *[c.slice(at, n) for c in b.columns[:-1]]],
-                    ["block", "kind", "place", "load", *[f"k{i}" for i in range(len(types))]])
-                state["chars"] += int(sizes[at : at + n].sum())
-                state["place"] += n
+                    [pa.array([next_id] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.array([squeezed(c) for c in codes], pa.binary()), none, none, none, *[c.slice(at, n) for c in b.columns[:-1]]], names)
+                chars += int(sizes[at : at + n].sum())
                 at += n
-                if state["chars"] >= block_chars:
+                if chars >= block_chars:
                     yield from dictionary()
-                    fresh()
-        if state["place"]:
+                    next_id, block, chars = next_id + 1, _Block(pattern), 0
+        if types:
             yield from dictionary()
 
-    coded = stored(src.mapInArrow(to_blocks, f"{head}, {kinds}"), "bpe")
+    coded = src.mapInArrow(to_blocks, f"block long, bucket int, codes binary, places binary, lens binary, words binary, {kinds}")
+    waiting = bucketed(coded, "bpe", n_parts, "block")
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks, pattern)
-        last, ids = None, b""
+        last, known = None, {}
         for b in batches:
             out = []
-            for w in b.column(2).to_pylist():
-                if w != last:
-                    last, ids = w, np.array(enc.encode_ordinary(w.decode()), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["block", "place", "load"])
-
-    n = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    words = coded.where("kind = 0").select("block", "place", "load")
-    by_word = words.repartition(int(n), F.xxhash64("load")).sortWithinPartitions("load")
-    back = by_word.mapInArrow(encode_words, "block long, place int, load binary")
-    none = [F.lit(None).cast(f.dataType).alias(f"k{i}") for i, f in enumerate(key_fields)]
-    both = back.select("block", F.lit(0).cast("byte").alias("kind"), "place", "load", *none).unionByName(coded.where("kind = 1"))
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_up = zstandard.ZstdDecompressor().decompress
-        current, parts, flat, starts, lens = None, [], None, None, None
-        for b in batches:
-            blocks = b.column(0).to_numpy()
-            kinds_ = b.column(1).to_numpy()
-            cuts = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kinds_) != 0)) + 1
-            for s, e in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
-                if s == e:
-                    continue
-                if blocks[s] != current:
-                    current, parts, flat = blocks[s], [], None
-                if kinds_[s] == 0:
-                    parts.append(b.column(3).slice(s, e - s))
-                    continue
-                if flat is None:
-                    loads = [x for p in parts for x in p.to_pylist()]
-                    lens = np.fromiter(map(len, loads), np.int64, len(loads)) // 4
-                    starts, flat, parts = np.cumsum(lens) - lens, np.frombuffer(b"".join(loads), "<u4"), []
-                ids = [gather(flat, starts, lens, np.frombuffer(open_up(x), "<u4").astype(np.int64)) if len(x) else b"" for x in b.column(3).slice(s, e - s).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*[c.slice(s, e - s) for c in b.columns[4:]], pa.array([len(i) for i in ids], pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())],
-                    [*[f"k{i}" for i in range(b.num_columns - 4)], "n_tokens", "ids"])
-
-    placed = both.repartition(int(n), "block").sortWithinPartitions("block", "kind", "place")
-    out = placed.mapInArrow(assemble, f"{kinds}, n_tokens long, ids binary")
+            for bucket, lens, words in zip(*(c.to_pylist() for c in b.columns[1:2] + b.columns[3:]), strict=True):
+                if bucket != last:
+                    last, known = bucket, {}
+                ids = []
+                for w in unpacked(lens, words):
+                    got = known.get(w)
+                    if got is None:
+                        known[w] = got = np.array(enc.encode_ordinary(w.decode()), "<u4").tobytes()
+                    ids.append(got)
+                flat = np.frombuffer(b"".join(ids), "<u4")
+                out.append((squeezed(np.fromiter(map(len, ids), np.int64, len(ids)) // 4), squeezed(flat)))
+            lens, ids = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(lens, pa.binary()), pa.array(ids, pa.binary())], ["block", "places", "lens", "ids"])
+
+    by_word = waiting.where("bucket is not null").select("block", "bucket", "places", "lens", "words").repartition(n_parts, "bucket").sortWithinPartitions("bucket")
+    back = by_word.mapInArrow(encode_words, "block long, places binary, lens binary, ids binary")
+
+    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        places = [np.cumsum(opened(x)) for x in right.column("places").to_pylist()]
+        lens_of = [opened(x) for x in right.column("lens").to_pylist()]
+        flat_of = [opened(x) for x in right.column("ids").to_pylist()]
+        n = sum(map(len, places))
+        lens, starts = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        at = 0
+        for p, k, f in zip(places, lens_of, flat_of, strict=True):
+            lens[p] = k
+            starts[p] = at + np.cumsum(k) - k
+            at += len(f)
+        flat = np.concatenate([*flat_of, np.empty(0, np.int64)]).astype("<u4")
+        ids = [gather(flat, starts, lens, opened(x)) for x in left.column("codes").to_pylist()]
+        return pa.table(
+            [*[left.column(f"k{i}") for i in range(len(keys))], pa.array([len(i) for i in ids], pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())],
+            [*[f"k{i}" for i in range(len(keys))], "n_tokens", "ids"])
+
+    texts = waiting.where("bucket is null").select("block", "codes", *[f"k{i}" for i in range(len(keys))])
+    out = texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(assemble, f"{kinds}, n_tokens long, ids binary")
     return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "n_tokens", "ids")
 
 

@@ -36,6 +36,14 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, n: int, column: str) -> DataFrame:
+    """Like stored, but bucketed: a later grouping or join by the column needs no shuffle of this side."""
+    spark = df.sparkSession
+    at = f"llm_{name}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{at}").bucketBy(n, column).format("parquet").saveAsTable(at)
+    return spark.read.table(at)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
