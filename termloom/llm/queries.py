@@ -17,6 +17,15 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termloom.llm.mixing import copies, mix
+
+    sizes, plan = mix(table(spark, sf_dir, "documents"))
+    rows = sizes.select("key", "group", "size", "h").join(plan.select("group", "total", "target", "floor", "cut", "fills"), "group")
+    return rows.select(F.col("key").alias("doc_id"), "size", F.col("total").alias("source_size"), "target", (copies() * F.col("size")).alias("taken"))
+
+
 @query
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from termloom.llm.simhash import near_groups
@@ -24,6 +33,30 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+@query
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termloom.llm.htmlcrf import extract
+
+    return extract(table(spark, sf_dir, "pages"), "html", ["page_id", "url"]).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termloom.llm.quality import fit, held_out, score
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")), carry=["doc_id"])
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op5_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termloom.llm.voronoi import quantised, top_k
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", quantised("embedding").alias("whole"))
+    return top_k(rows, "vec_id", "whole", k=10, query=F.col("vec_id") % 100 == 0)
+
+
 @query
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -33,3 +66,36 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     tokens = encode(table(spark, sf_dir, "documents"), ["doc_id"], "text", ranks, public_tokenizers.PATTERN)
     return decode(tokens, ranks).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termloom.llm.warc import archive_folder, read_archives, train_dictionary, with_owners, write_archives
+
+    pages = table(spark, sf_dir, "pages")
+    written = write_archives(with_owners(pages, "page_id", "html"), archive_folder(spark), train_dictionary(pages, "html"))
+    return read_archives(written, with_payload=False).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op8_crosspolytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termloom.llm.crosspolytope import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
+@query
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termloom.llm.passages import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termloom.llm.secrets import BASE, has_kind, scan, span_list
+
+    found = scan(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    base = [r.kind for r in BASE]
+    counts = [F.size(F.filter("spans", has_kind(k))).cast("long").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(span_list("spans", base), 256).alias("base_sha256"), span_list("spans").alias("spans"))
