@@ -1,5 +1,57 @@
-"""SQL twins of the operators that SQL can express."""
+"""SQL twins (DuckDB) of the operators that SQL can express.
+
+Fingerprints (XXH64), boosted trees, the conditional random field, BPE, seeded copies, chains and matches
+with code-point offsets have no SQL form; tests/llm holds those queries against brute force.
+"""
 
 from __future__ import annotations
 
 SQL: dict[str, str] = {}
+
+SQL["op5_voronoi"] = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s
+)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10
+"""
+
+SQL["op7_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages
+), o AS (
+  SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS owner FROM p
+)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN owner = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN owner = page_id THEN NULL ELSE owner END AS refers_to
+FROM o
+"""
+
+SQL["op8_crosspolytope"] = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b
+  FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93
+), reach AS (
+  SELECT vec_id AS node, vec_id AS other FROM embeddings
+  UNION
+  SELECT r.node, l.b FROM reach r JOIN l ON r.other = l.a
+), c AS (
+  SELECT node, min(other) AS component_id FROM reach GROUP BY node
+), n AS (
+  SELECT a, count(*) AS n_links FROM l GROUP BY a
+)
+SELECT m.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, m.vec_id = c.component_id AS kept
+FROM embeddings m JOIN c ON c.node = m.vec_id LEFT JOIN n ON n.a = m.vec_id
+"""
