@@ -158,17 +158,18 @@ def encode(docs: DataFrame, keys: list[str], text: str, ranks: str, pattern: str
 
         def dictionary() -> Iterator[pa.RecordBatch]:
             words = [w.encode() for w in block.words]
+            if not words:
+                return
             bucket = np.fromiter(map(crc32, words), np.int64, len(words)) % n_buckets
             order = np.argsort(bucket, kind="stable")
             some, start = np.unique(bucket[order], return_index=True)
             rows = []
             for b, at in zip(some.tolist(), np.split(order, start[1:]), strict=True):
                 rows.append((next_id, b, squeezed(np.diff(at, prepend=0)), *packed([words[i] for i in at.tolist()])))
-            if rows:
-                block_, bucket_, places, lens, flat = zip(*rows, strict=True)
-                n = len(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(block_, pa.int64()), pa.array(bucket_, pa.int32()), pa.nulls(n, pa.binary()), pa.array(places, pa.binary()), pa.array(lens, pa.binary()), pa.array(flat, pa.binary()), *[pa.nulls(n, t) for t in types]], names)
+            block_, bucket_, places, lens, flat = zip(*rows, strict=True)
+            n = len(rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block_, pa.int64()), pa.array(bucket_, pa.int32()), pa.nulls(n, pa.binary()), pa.array(places, pa.binary()), pa.array(lens, pa.binary()), pa.array(flat, pa.binary()), *[pa.nulls(n, t) for t in types]], names)
 
         for b in batches:
             types = [c.type for c in b.columns[:-1]]

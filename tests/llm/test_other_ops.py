@@ -25,7 +25,7 @@ def test_warc_round_trip(spark):
     for k, _, h in rows:
         b = (h or "").encode()
         ref = owner[h] if h in owner and owner[h] != k else None
-        want.append((k, len(b), hashlib.sha1(b).hexdigest(), "response" if ref is None else "revisit", ref, None if ref is not None else bytearray(b)))
+        want.append((k, len(b), hashlib.sha1(b).hexdigest(), "response" if ref is None else "revisit", ref, None if ref is not None else bytes(b)))
     assert sorted(map(repr, want)) == sorted(repr((r.key, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.payload)) for r in got)
     none = write_archives(with_owners(pages.limit(0), "page_id", "html"), archive_folder(spark), train_dictionary(pages.limit(0), "html"))
     assert read_archives(none).count() == 0
