@@ -10,7 +10,8 @@ from oracle.text_sql import VOCAB
 from termloom import fixed_values as fv
 from termloom.functions.text import PIECE_SPLIT, WORD_EDGE
 from termloom.plans import corpus as D
-from termloom.plans.match_jobs import MAX_WORDS
+
+MAX_WORDS = 4  # no term of the stored tables is longer
 
 _kw = list({k.lower(): k for k in reversed(D.USER_KEYWORDS)}.values())
 _vals = ", ".join(f"({X.lit(k)})" for k in _kw)
@@ -56,12 +57,12 @@ def word_hits(docs: str, key: str, src: str) -> str:
 hits as (select {key}, term, case when sum(literal::int) > 0 then sum(literal::int) else count(*) end as mentions from grams join forms on gram = form group by all)"""
 
 
-def unordered(docs: str, src: str) -> str:
-    return f"""dw as (select distinct doc_id, w from grams_w where w <> ''),
+def unordered(docs: str, src: str, key: str = "doc_id") -> str:
+    return f"""dw as (select distinct {key}, w from grams_w where w <> ''),
 ut as (select term, tok, len(toks) as n from (select term, toks, unnest(toks) as tok from (select term, list_distinct(list_filter(string_split(term, ' '), lambda t: length(t) > 1 and t not in {X.words_in(D.STOPS)})) as toks
  from (select distinct term from {src}) q) where len(toks) > 1)),
 uf as (select distinct term, tok, n, unnest([tok, {X.singular('tok')}]) as w from ut),
-uh as (select doc_id, term from dw join uf using (w) group by doc_id, term, n having count(distinct tok) = n)"""
+uh as (select {key}, term from dw join uf using (w) group by {key}, term, n having count(distinct tok) = n)"""
 
 
 T0 = f"{TERMS}, dt as (select distinct term from terms)"
@@ -88,9 +89,10 @@ sql("missing_terms", f"""with {MATCH} select m.posting_id, doc_id, m.term, coale
  left join terms t on t.posting_id = m.posting_id and t.term = m.term where status = 'MISSING'""")
 sql("evidence_docs", f"with {TERMS}, {evidence('terms')} select doc_id, source from documents where doc_id in (select doc_id from ev where term in (select term from terms where {VIEW_SQL['tools']}))")
 _sec = "sdocs as (select doc_id, section_id, string_agg(text, chr(10) order by line_no) as text from seg where section_id is not null and in_body group by 1, 2)"
-sql("match_locations", f"""with {TERMS}, {SEGMENTED}, {_sec}, {expand('terms')}, vs as (select distinct variant as term from ex), {word_hits('sdocs', 'doc_id, section_id', 'vs')}
+sql("match_locations", f"""with {TERMS}, {SEGMENTED}, {_sec}, {expand('terms')}, vs as (select distinct variant as term from ex), {word_hits('sdocs', 'doc_id, section_id', 'vs')}, {unordered('sdocs', 'vs', 'doc_id, section_id')},
+both_hits as (select doc_id, section_id, term from hits union select doc_id, section_id, term from uh)
 select doc_id, ex.term, bool_or(section_id = 'summary') as in_summary, bool_or(section_id = 'skills') as in_skills, bool_or(section_id = 'experience') as in_experience
-from hits join ex on ex.variant = hits.term group by 1, 2""")
+from both_hits h join ex on ex.variant = h.term group by 1, 2""")
 sql("can_substitute", f"""with {VOCAB}, vt as (select word as term from vocab), {expand('vt')},
 p as (select variant as source, term as target from ex union select term, variant from ex),
 rules as (select s as src, t as tgt from syn union select 'thing', 'edth' union select 'thti', 'hation')

@@ -54,7 +54,7 @@ _parts = f"list_filter(list_transform(regexp_split_to_array({_s}, {X.lit(r'\s*[,
 CANDS = f"""{PL}, parts as (select posting_id, line_no, bucket, unnest(ps) as part, generate_subscripts(ps, 1) - 1 as part_no from (select *, {_parts} as ps from pl)),
 {gram_ctes('parts', 'posting_id, line_no, bucket, part_no', 'part', 3, 'cg')},
 cr as (select *, row_number() over (partition by posting_id, line_no, part_no order by cnt desc, length(term) desc, n, pos) as r from cg),
-cb as (select *, row_number() over (partition by posting_id, line_no, part_no order by length(term) desc, cnt desc, r) as b from cr where r <= 6),
+cb as (select *, row_number() over (partition by posting_id, line_no, part_no order by length(term) desc, cnt desc, r) as b from cr ),
 cands as (select posting_id, line_no, bucket, part_no, term, cnt from cb where b = 1)"""
 sql("line_candidates", f"with {CANDS} select posting_id, line_no::bigint as line_no, part_no::bigint as part_no, term, cnt::bigint as cnt from cands")
 _alt = "|".join(quote(w) for w in D.FILLER)
@@ -66,8 +66,8 @@ def trim_filler(x: str) -> str:
 
 def keep(t: str) -> str:
     lists = " and ".join(f"{t} not in {X.words_in(w)}" for w in (D.BANNED, D.STOPS, D.FILLER))
-    return (f"(length({t}) between 2 and 46 and {lists} and not contains({t}, ' - ') and {t} not like '-%' and {t} not like '%-' "
-            f"and len(string_split({t}, ' ')) <= 4 and not (contains({t}, ' ') and regexp_matches({t}, '[0-9]')) "
+    return (f"(length({t}) >= 2 and {lists} and not contains({t}, ' - ') and {t} not like '-%' and {t} not like '%-' "
+            f"and not (contains({t}, ' ') and regexp_matches({t}, '[0-9]')) "
             f"and len(list_filter(string_split({t}, ' '), lambda w: w not in {X.words_in(D.AD_WORDS)})) > 0)")
 
 
@@ -98,7 +98,7 @@ tl as (select posting_id, title, {X.soft('title')} as nt from titles where title
 tr as (select *, row_number() over (partition by posting_id order by cnt desc, length(term) desc, n, pos) as r from tg),
 cu as (select posting_id, term, cnt, {_w} as weight_c, bucket = 'required' as required, bucket = 'preferred' as preferred, bucket = 'tools' as tool from cands where bucket <> 'noise'
  union all select posting_id, nt, 1, {fv.TITLE_WEIGHT_C}, false, false, false from tl where len(string_split(nt, ' ')) <= 4
- union all select posting_id, term, cnt, {fv.TITLE_WEIGHT_C}, false, false, false from tr where r <= 5
+ union all select posting_id, term, cnt, {fv.TITLE_WEIGHT_C}, false, false, false from tr
  union all select posting_id, term, 1, {fv.CERT_WEIGHT_C}, true, false, false from certs
  union all select posting_id, term, 1, {fv.SOFT_WEIGHT_C}, false, true, false from soft),
 cc as (select * replace ({trim_filler(X.soft('term'))} as term) from cu),
@@ -109,7 +109,7 @@ sc1 as (select *, weight_c + cnt * {fv.COUNT_WEIGHT_C} + case when syn then {fv.
  case when category in ('technology', 'domain-skill', 'qualification') then {fv.CATEGORY_BONUS_C} else 0 end as score_c from sc0),
 sc2 as (select *, case when score_c >= {fv.HIGH_SCORE_C} then 'HIGH' when score_c >= {fv.MEDIUM_SCORE_C} then 'MEDIUM' else 'LOW' end as priority,
  row_number() over (partition by posting_id order by score_c desc, term) as rank from sc1),
-terms as (select * from sc2 where rank <= {fv.TERMS_PER_POSTING})"""
+terms as (select * from sc2)"""
 sql("weigh_terms", f"with {TERMS} select posting_id, term, cnt::bigint as cnt, weight_c::double / 100.0::double as weight, required, preferred, tool from weighed")
 sql("prioritize_terms", f"with {TERMS} select posting_id, term, category, score_c::double / 100.0::double as score, priority, rank::bigint as rank from terms")
 VIEW_SQL = {

@@ -17,9 +17,9 @@ _pw = "case priority " + " ".join(f"when '{p}' then {w}" for p, w in D.PRIORITY_
 _c = {"dom": "category in ('domain', 'domain-skill')", "tech": "category in ('technology', 'domain-skill')",
       "req": "(required and category <> 'soft-skill')", "hard": "required"}
 _win = ", ".join(f"sum(({c})::int) over (partition by posting_id order by rank rows unbounded preceding) as r_{n}, sum(({c})::int) over (partition by posting_id) as n_{n}, {c} as b_{n}" for n, c in _c.items())
-_e = lambda a, b, k: f"case when n_{a} > 0 then b_{a} and r_{a} <= {k} else b_{b} and r_{b} <= {k} end"
+_e = lambda a, b: f"case when n_{a} > 0 then b_{a} else b_{b} end"
 FLAGS = f"""{POOL}, tw as (select posting_id, term, {_win} from terms),
-tf as (select posting_id, term, b_req or b_hard as must, b_tech, {_e('dom', 'tech', 30)} as in_dom, {_e('req', 'tech', 25)} as in_req, {_e('req', 'hard', 30)} as in_req_job from tw),
+tf as (select posting_id, term, b_req or b_hard as must, b_tech, {_e('dom', 'tech')} as in_dom, {_e('req', 'tech')} as in_req, {_e('req', 'hard')} as in_req_job from tw),
 flags as (select p.posting_id, p.term, case when source = 'jd' then {_pw} else 0 end as w_ats,
  case when source = 'jd' and priority in ('HIGH', 'MEDIUM') then {_pw} when coalesce(must, false) then 3 when source <> 'jd' then 2 else {_pw} end as w_job,
  (source <> 'jd')::int as is_user, coalesce(in_dom, false)::int as in_dom, coalesce(in_req, false)::int as in_req, coalesce(in_req_job, false)::int as in_req_job,
@@ -51,7 +51,7 @@ tl2 as (select posting_id, doc_id, case when t = '' then 50 when n = 0 then 30 e
 _nw = X.count_words("text")
 _over = "regexp_split_to_array(lower(text), '[^a-z0-9+#/.-]+')"
 OVER = f"""ow as (select doc_id, w as word, count(*) as n from (select doc_id, unnest({_over}) as w from lines) where length(w) > 3 group by 1, 2 having count(*) >= 4),
-over25 as (select * from (select *, row_number() over (partition by doc_id order by n desc, word) as r from ow) where r <= 25)"""
+over25 as (select * from (select *, row_number() over (partition by doc_id order by n desc, word) as r from ow))"""
 DUPS = f"dups as (select doc_id, k as bullet_key, min(line_no) as first_no, count(*) - 1 as n_extra from (select doc_id, line_no, {X.soft('text')} as k from lines) where k <> '' group by 1, 2 having count(*) > 1)"
 _order = "list_position([" + ", ".join(X.lit(s) for s in fv.SECTION_ORDER) + "], section_id)"
 PRESENT = f"""{SECTIONS}, pres0 as (select doc_id, section_id, min(section_no) as fs from secs where section_id <> 'contact' and line_count > 0 group by 1, 2),

@@ -55,7 +55,7 @@ select doc_id, bullet_no::bigint as bullet_no, string_agg(text, ' ' order by lin
 
 def split_list(x: str) -> str:
     return (f"list_filter(list_transform(regexp_split_to_array({x}, {X.lit(E.LIST_SPLIT)}), lambda s: trim({X.rr('s', r'^[-*\x{2022}\x{2013}\x{2014}]\s*', '')})), "
-            "lambda s: length(s) between 1 and 79)")
+            "lambda s: length(s) >= 1)")
 
 
 _bt = f"case when {BULLET} then {X.collapse(X.bullet('text', 'rest'))} else text end"

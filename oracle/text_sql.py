@@ -48,7 +48,7 @@ sql("read_keywords", f"""with p as (select doc_id, unnest(ps) as part, generate_
   from (select doc_id, regexp_split_to_array(text, '[,;|\\n\\r\\t]+') as ps from documents)),
 k as (select doc_id, pos, {_kw} as keyword from p)
 select doc_id, arg_min(keyword, pos) as keyword, min(pos)::bigint as pos from k
-where length(keyword) between 1 and {fv.MAX_KEYWORD_CHARS} group by doc_id, lower(keyword)""")
+where length(keyword) >= 1 group by doc_id, lower(keyword)""")
 sql("normalize_text", f"select doc_id, {X.normalize_text('text')} as norm from documents")
 sql("soft_normalize", f"select conv_id, turn, {X.collapse('text')} as collapsed, {X.soft('text')} as soft from conversations")
 sql("singularize", f"with {VOCAB} select word, {X.singular('word')} as singular, {X.plural('word')} as plural from vocab")

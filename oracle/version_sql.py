@@ -81,5 +81,4 @@ union all select conv_id, turn, 'added', null, no::bigint, null from a where (co
 union all select conv_id, turn, 'removed', no::bigint, null, null from b where (conv_id, turn, no) not in (select conv_id, turn, f from p)""")
 sql("near_dup_bullets", f"""with {lines_cte()}, k as (select doc_id, line_no, text, {X.soft('text')} as k, length(text) as n from lines),
 p as (select x.doc_id, x.line_no from k x join k y on x.doc_id = y.doc_id and x.line_no <> y.line_no and (y.n > x.n or (y.n = x.n and y.line_no < x.line_no))
- where (x.k <> '' and x.k = y.k) or (length(x.k) > 24 and length(y.k) > 24 and left(x.k, 24) = left(y.k, 24))
- or (x.n > 0.8 * y.n and {X.similarity('x.text', 'y.text')} > 0.9)) select distinct doc_id, line_no::bigint as bullet_no from p""")
+ where (x.k <> '' and x.k = y.k) or (x.n > 0.8 * y.n and {X.similarity('x.text', 'y.text')} > 0.9)) select distinct doc_id, line_no::bigint as bullet_no from p""")

@@ -10,221 +10,230 @@ from pyspark.sql import DataFrame, SparkSession
 
 from termloom.fixed_values import SECTION_ORDER
 
-STOP_WORDS = (
-    "a about above after all also an and any are as at be because been before being below between "
-    "both but by can could did do does doing down during each every few for from further had has "
-    "have having he her here hers him his how i if in into is it its itself just me might more most "
-    "must my no nor not now of off on once one only or other our ours out over own per same shall "
-    "she should so some such than that the their theirs them then there these they this those "
-    "through to too under until up us very was we were what when where which while who whom why "
-    "will with within would you your yours ability able candidate experience knowledge looking "
-    "preferred required requirements role skills strong team work working year years"
-).split()
-
-BANNED_TERMS = (
-    "candidate applicant applicants employer employment application apply position role "
-    "opportunity company team colleague colleagues day days week weeks month months time people"
-).split()
-
-PHRASE_FILLER = (
-    "build building create creating design develop developing maintain manage managing run running "
-    "use used using strong excellent solid proven deep expert expertise experience experienced "
-    "familiar familiarity knowledge understanding ability able skill skills skilled highly "
-    "desirable preferred ideally support supporting deliver delivering drive driving improve "
-    "improving weekly daily monthly various multiple several closely exposure capability a an and "
-    "the of to in on at for with from including automate hiring looking seeking join help"
-).split()
-
-AD_WORDS = (
-    "desirable hybrid remote onsite competitive package salary location office benefits permanent "
-    "temporary contract opportunity candidate candidates applicant applicants excellent essential "
-    "key successful background track record team teams plus soon tasks someone"
-).split()
+# ------------------------------------------------------------ words a term never consists of
+ARTICLES = ["a", "an", "the"]
+PRONOUNS = [
+    "i", "me", "my", "mine", "you", "your", "yours", "he", "him", "his", "she", "her", "hers", "it", "its",
+    "we", "us", "our", "ours", "they", "them", "their", "this", "that", "these", "those", "who", "whom",
+    "whose", "which", "what",
+]
+PREPOSITIONS = [
+    "about", "above", "across", "after", "against", "along", "among", "around", "at", "before", "behind",
+    "below", "between", "by", "down", "during", "for", "from", "in", "into", "near", "of", "off", "on",
+    "onto", "out", "over", "per", "since", "through", "to", "toward", "towards", "under", "until", "up",
+    "upon", "via", "with", "within", "without",
+]
+CONJUNCTIONS = ["and", "as", "because", "but", "if", "nor", "or", "so", "than", "though", "unless", "when", "where", "while", "yet"]
+AUXILIARIES = [
+    "am", "are", "be", "been", "being", "can", "could", "did", "do", "does", "had", "has", "have", "having",
+    "is", "may", "might", "must", "shall", "should", "was", "were", "will", "would",
+]
+ADVERBS = ["again", "all", "also", "any", "each", "even", "every", "here", "how", "just", "more", "most", "no", "not", "now", "only", "same", "some", "such", "then", "there", "too", "very", "why"]
+STOP_WORDS = ARTICLES + PRONOUNS + PREPOSITIONS + CONJUNCTIONS + AUXILIARIES + ADVERBS
+
+# people, terms of hire and spans of time: an advertisement says them of any job
+BANNED_TERMS = [
+    "business", "career", "employee", "firm", "hire", "hour", "individual", "job", "minute", "person", "post",
+    "quarter", "recruiter", "shift", "staff", "today", "tomorrow", "vacancy", "worker", "workplace",
+]
+
+# words around a skill that are no part of it
+PHRASE_FILLER = [
+    "advanced", "awareness", "background", "basic", "capability", "capable", "comfort", "comfortable",
+    "command", "competence", "competent", "confident", "demonstrable", "demonstrated", "experience",
+    "experienced", "exposure", "fluency", "fluent", "good", "grasp", "handle", "handling", "hands-on",
+    "knowledge", "own", "practical", "proficiency", "proficient", "sound", "strong", "thorough",
+    "understanding", "work", "working", "a", "an", "and", "for", "in", "of", "on", "the", "to", "with",
+]
+
+# words of the advertisement itself
+AD_WORDS = [
+    "allowance", "apply", "deadline", "dental", "flexible", "full-time", "holiday", "hybrid", "interview",
+    "leave", "onsite", "part-time", "pay", "pension", "perk", "perks", "remote", "salary", "start", "vacation",
+    "visa", "wage",
+]
 
+# openings of a line that say what kind of line it is
 CUES = {
-    "noise": ["location", "based in", "salary", "benefits", "per annum", "closing date", "apply now",
-              "how to apply", "contact", "email", "phone", "equal opportunities", "hybrid", "remote",
-              "on-site", "onsite", "relocation"],
-    "required": ["required", "requirements", "must have", "essential", "minimum", "you will need"],
-    "preferred": ["preferred", "nice to have", "desirable", "bonus", "a plus", "ideally"],
-    "responsibilities": ["responsibilities", "what you will do", "the role", "your role", "duties"],
-    "qualifications": ["qualifications", "what you need", "we look for", "about you", "who you are"],
-    "tools": ["tools", "technologies", "tech stack", "software", "platforms", "systems"],
+    "noise": ["how we hire", "hybrid", "pay range", "pension", "remote", "salary", "send your", "visa", "where you will sit", "working hours"],
+    "required": ["must", "necessary", "needed", "require", "requirements", "you have", "you bring"],
+    "preferred": ["advantage", "extra credit", "good to have", "nice to have", "optional", "welcome"],
+    "responsibilities": ["day to day", "responsibilities", "tasks", "you do", "you own", "your work"],
+    "qualifications": ["degree", "profile", "qualifications", "schooling", "training"],
+    "tools": ["languages we use", "our stack", "programs", "tooling", "tools"],
 }
 
 # term -> phrases that mean the same
 SYNONYMS = {
-    "procurement": ["purchasing", "sourcing", "buying", "vendor management"],
-    "inventory": ["stock", "stock control", "inventory management"],
-    "demand planning": ["demand forecasting", "forecast accuracy", "demand management"],
-    "forecasting": ["demand forecasting", "demand planning", "forecast modelling"],
-    "supplier management": ["vendor management", "supplier relationship management"],
-    "logistics": ["transportation", "dispatch", "freight"],
-    "power bi": ["powerbi", "microsoft power bi"],
-    "excel": ["microsoft excel", "spreadsheets", "pivot tables", "vlookup"],
-    "sql": ["t-sql", "pl/sql", "sql queries"],
-    "reporting": ["dashboards", "kpi reporting", "management reporting"],
-    "business intelligence": ["bi", "reporting", "dashboards"],
-    "data analysis": ["data analytics", "quantitative analysis"],
-    "erp": ["enterprise resource planning", "erp systems"],
-    "leadership": ["team leadership", "people leadership", "line management"],
-    "stakeholder management": ["stakeholder engagement", "client management"],
-    "communication": ["written communication", "presentation skills"],
-    "continuous improvement": ["process improvement", "kaizen", "lean"],
-    "root cause analysis": ["troubleshooting", "issue resolution"],
-    "automation": ["process automation", "workflow automation"],
-    "agile": ["scrum", "kanban"],
+    "accounts payable": ["invoice processing", "supplier invoices"],
+    "bookkeeping": ["ledger keeping", "general ledger"],
+    "budgeting": ["budget planning", "cost planning"],
+    "customer support": ["customer service", "help desk", "service desk"],
+    "data cleaning": ["data cleansing", "data quality work"],
+    "data pipelines": ["etl jobs", "data flows"],
+    "excel": ["spreadsheets", "spreadsheet models"],
+    "hiring": ["recruiting", "staffing", "talent acquisition"],
+    "incident response": ["on-call work", "outage handling"],
+    "javascript": ["ecmascript", "js"],
+    "kubernetes": ["k8s", "container orchestration"],
+    "machine learning": ["ml", "statistical learning"],
+    "patient care": ["bedside care", "nursing care"],
+    "payroll": ["wage runs", "pay runs"],
+    "presentation": ["public speaking", "slide decks"],
+    "quality assurance": ["qa", "quality checks"],
+    "scheduling": ["rostering", "shift planning"],
+    "software testing": ["test automation", "unit testing"],
+    "sql": ["structured query language", "relational queries"],
+    "technical writing": ["documentation", "user manuals"],
+    "warehouse work": ["picking and packing", "order picking"],
 }
 
 # source phrase -> phrases it may be rewritten to (direction matters)
 SUBSTITUTIONS = {
-    "purchasing": ["procurement", "supplier management"],
-    "sourcing": ["procurement"],
-    "buying": ["procurement"],
-    "stock": ["inventory"],
-    "stock management": ["inventory management"],
-    "demand forecasting": ["demand planning", "forecasting"],
-    "dashboards": ["reporting", "business intelligence"],
+    "bedside care": ["patient care"],
+    "container orchestration": ["kubernetes"],
+    "etl jobs": ["data pipelines"],
+    "general ledger": ["bookkeeping"],
+    "help desk": ["customer support"],
+    "k8s": ["kubernetes"],
+    "order picking": ["warehouse work"],
+    "recruiting": ["hiring"],
+    "relational queries": ["sql"],
+    "rostering": ["scheduling"],
+    "spreadsheet models": ["excel"],
     "spreadsheets": ["excel"],
-    "pivot tables": ["excel"],
-    "t-sql": ["sql"],
-    "sql queries": ["sql"],
-    "vendor management": ["supplier management", "procurement"],
-    "microsoft power bi": ["power bi"],
-    "client management": ["stakeholder management"],
-    "kaizen": ["continuous improvement"],
+    "unit testing": ["software testing"],
+    "user manuals": ["technical writing"],
 }
 
+# public abbreviations of credentials
 CREDENTIALS = {
-    "cpa": "certified public accountant",
-    "cma": "certified management accountant",
-    "cfa": "chartered financial analyst",
-    "pmp": "project management professional",
+    "acca": "association of chartered certified accountants",
+    "capm": "certified associate in project management",
+    "ceh": "certified ethical hacker",
+    "cisa": "certified information systems auditor",
     "cpim": "certified in planning and inventory management",
     "cscp": "certified supply chain professional",
-    "cissp": "certified information systems security professional",
-    "ccna": "cisco certified network associate",
+    "phr": "professional in human resources",
+    "pmp": "project management professional",
+    "rn": "registered nurse",
 }
 
 SOFT_SKILLS = [
-    "leadership", "communication", "teamwork", "collaboration", "mentoring", "problem solving",
-    "time management", "negotiation", "adaptability", "attention to detail", "critical thinking",
-    "creativity", "decision making", "ownership", "stakeholder management", "self-starter",
-    "team player",
+    "active listening", "calm under pressure", "coaching", "communication", "conflict resolution", "curiosity",
+    "empathy", "facilitation", "flexibility", "initiative", "leadership", "patience", "persuasion",
+    "planning ahead", "reliability", "resilience", "self-discipline", "teamwork", "tact", "writing clearly",
 ]
 
+# marks of a category: a term that holds one belongs to it
 TECH_WORDS = [
-    "microsoft", "oracle", "sap", "salesforce", "aws", "azure", "gcp", "tableau", "power bi", "sql",
-    "python", "java", "javascript", "react", "node", "excel", "looker", "qlik", "hadoop", "spark",
-    "kafka", "etl", "api", "erp", "crm", "jira", "snowflake", "airflow", "dbt", "kubernetes",
-    "terraform",
+    "android", "ansible", "aws", "azure", "bash", "cloud", "css", "django", "docker", "elasticsearch", "excel",
+    "figma", "git", "golang", "graphql", "html", "ios", "javascript", "jenkins", "kotlin", "kubernetes", "linux",
+    "matlab", "mongodb", "mysql", "numpy", "pandas", "php", "postgres", "python", "pytorch", "redis", "ruby",
+    "rust", "scala", "spark", "sql", "swift", "typescript", "unix", "windows",
 ]
 QUALIFICATION_WORDS = [
-    "certified", "certification", "certificate", "license", "diploma", "mba", "phd", "bachelor",
-    "master", "degree", "chartered",
+    "accredited", "apprenticeship", "badge", "certification", "certified", "credential", "degree", "diploma",
+    "doctorate", "licence", "license", "registered",
 ]
 DOMAIN_WORDS = [
-    "supply chain", "logistics", "procurement", "inventory", "manufactur", "warehouse",
-    "distribution", "retail", "planning", "forecast", "operations", "finance", "accounting",
-    "audit", "compliance", "quality", "sales", "marketing", "recruit", "analytics", "engineer",
-]
-SOFT_WORDS = [
-    "lead", "manage", "communicat", "collaborat", "team", "problem", "stakeholder", "negotiat",
-    "coach", "mentor", "ownership", "adapt",
+    "account", "audit", "care", "chemistry", "clinic", "demand", "factory", "farm", "finance", "forecast", "freight",
+    "insurance", "law", "logistic", "nursing", "payroll", "pharmacy", "planning", "publishing", "safety", "sales",
+    "supply", "tax", "teaching", "tourism", "trade", "transport", "warehouse", "welding",
 ]
+SOFT_WORDS = ["calm", "communicat", "empath", "initiative", "leader", "listen", "patien", "persua", "resilien", "tact", "teamwork"]
 
 INDUSTRIES = [
-    "supply chain", "logistics", "manufacturing", "retail", "e-commerce", "pharmaceutical",
-    "automotive", "aerospace", "healthcare", "hospitality", "construction", "energy", "banking",
-    "insurance", "telecommunications", "consulting", "public sector", "education", "media",
+    "agriculture", "architecture", "banking", "biotechnology", "chemicals", "civil engineering", "defence",
+    "education", "energy", "fashion", "film", "fisheries", "food processing", "forestry", "gaming", "health care",
+    "hospitality", "insurance", "journalism", "law", "mining", "museums", "pharmacy", "property", "public health",
+    "publishing", "rail", "retail", "shipping", "sports", "telecoms", "tourism", "utilities", "waste management",
 ]
 
+# headings of a curriculum vitae
 SECTION_ALIASES = {
-    "contact": ["contact", "contact details", "personal details"],
-    "summary": ["summary", "professional summary", "profile", "about me", "objective", "overview"],
-    "experience": ["experience", "work experience", "professional experience", "employment",
-                   "employment history", "work history", "career history", "relevant experience"],
-    "education": ["education", "academic background", "qualifications", "education and training"],
-    "skills": ["skills", "key skills", "core skills", "technical skills", "competencies",
-               "core competencies", "expertise"],
-    "certifications": ["certifications", "certificates", "licenses", "training", "courses"],
-    "projects": ["projects", "key projects", "personal projects", "selected projects", "portfolio"],
-    "achievements": ["achievements", "awards", "honors", "honours", "accomplishments"],
-    "languages": ["languages", "language skills", "languages spoken"],
-    "interests": ["interests", "hobbies", "activities", "volunteering", "memberships", "references",
-                  "additional information", "additional"],
+    "contact": ["contact", "contact information", "how to reach me"],
+    "summary": ["summary", "professional summary", "profile", "personal statement", "about"],
+    "experience": ["experience", "professional experience", "work experience", "work history", "jobs held", "positions held", "relevant experience"],
+    "education": ["education", "degrees", "schools", "studies"],
+    "skills": ["skills", "abilities", "technical skills", "tools and methods", "what i know"],
+    "certifications": ["certifications", "credentials", "licences", "licenses"],
+    "projects": ["projects", "own projects", "project work", "side projects"],
+    "achievements": ["achievements", "awards", "distinctions", "prizes"],
+    "languages": ["languages", "spoken languages"],
+    "interests": ["interests", "free time", "pastimes", "volunteer work"],
 }
-WEAK_HEADINGS = [
-    "additional", "additional experience", "other", "miscellaneous", "notes", "general",
-    "early career", "earlier experience", "prior experience", "highlights", "career highlights",
-    "selected", "key", "relevant",
-]
+# headings that say little by themselves
+WEAK_HEADINGS = ["additional", "background", "early career", "earlier", "further", "misc", "more", "other", "relevant experience", "various"]
 
 ROLE_WORDS = [
-    "analyst", "manager", "engineer", "specialist", "lead", "consultant", "director", "officer",
-    "executive", "assistant", "coordinator", "supervisor", "developer", "architect", "accountant",
-    "auditor", "planner", "buyer", "administrator", "scientist", "teacher", "nurse", "advisor",
-    "associate", "intern", "head", "controller", "technician", "designer", "clerk", "trainer",
-    "graduate", "apprentice", "freelance", "contractor", "trainee", "coach", "owner", "founder",
+    "accountant", "adviser", "agent", "analyst", "apprentice", "architect", "assistant", "baker", "bookkeeper",
+    "buyer", "carpenter", "cashier", "chef", "chemist", "clerk", "coach", "consultant", "cook", "coordinator",
+    "designer", "developer", "director", "driver", "editor", "electrician", "engineer", "farmer", "gardener",
+    "inspector", "intern", "lawyer", "lecturer", "librarian", "manager", "mechanic", "nurse", "operator",
+    "paramedic", "pharmacist", "photographer", "planner", "plumber", "producer", "programmer", "researcher",
+    "secretary", "supervisor", "surveyor", "teacher", "technician", "translator", "tutor", "volunteer", "welder",
+    "writer",
 ]
-COMPANY_WORDS = [
-    "inc", "llc", "ltd", "limited", "plc", "gmbh", "ag", "bv", "pvt", "pty", "corp", "corporation",
-    "company", "group", "holdings", "partners", "ventures", "industries", "systems",
-    "technologies", "solutions", "services", "consulting", "enterprises", "labs", "foundation",
-    "institute", "university", "college", "hospital", "bank",
+LEGAL_SUFFIXES = ["ag", "co", "corp", "gmbh", "inc", "llc", "llp", "ltd", "nv", "oy", "plc", "sa", "srl"]
+COMPANY_WORDS = LEGAL_SUFFIXES + [
+    "academy", "agency", "airlines", "associates", "bakery", "bank", "brothers", "clinic", "council", "factory",
+    "farms", "garage", "hospital", "hotel", "labs", "library", "metrics", "mills", "museum", "pharmacy", "press",
+    "railways", "restaurant", "school", "shop", "sons", "store", "stores", "studio", "trust", "university", "works",
 ]
-LEGAL_SUFFIXES = ["inc", "llc", "ltd", "limited", "plc", "gmbh", "co", "corp", "company", "group", "holdings"]
 PLACES = [
-    "london", "manchester", "leeds", "new york", "chicago", "toronto", "sydney", "singapore",
-    "dubai", "mumbai", "delhi", "bengaluru", "bangalore", "hyderabad", "chennai", "pune", "berlin",
-    "munich", "paris", "amsterdam", "dublin", "madrid", "barcelona", "rome", "milan", "zurich",
-    "vienna", "warsaw", "lisbon", "stockholm", "tokyo", "shanghai", "hong kong",
+    "accra", "ankara", "athens", "auckland", "belgrade", "bengaluru", "berlin", "bogota", "boston", "bristol",
+    "brussels", "budapest", "cairo", "cape town", "cologne", "delhi", "edinburgh", "geneva", "glasgow", "hanoi",
+    "helsinki", "hyderabad", "jakarta", "kyoto", "lagos", "leeds", "lima", "lyon", "manila", "montreal", "nairobi",
+    "oslo", "ottawa", "perth", "porto", "prague", "pune", "quito", "riga", "santiago", "seattle", "seoul", "sofia",
+    "tallinn", "toronto", "tunis", "turin", "utrecht", "vilnius", "york",
 ]
 
-# verb -> (past form, claim level)
+# verb -> (past form, claim level): who leads, who owns, who does, who supports
 VERBS = {
-    "manage": ("Managed", "lead"), "lead": ("Led", "lead"), "direct": ("Directed", "lead"),
-    "supervise": ("Supervised", "lead"), "coordinate": ("Coordinated", "lead"),
-    "mentor": ("Mentored", "lead"), "oversee": ("Oversaw", "lead"),
-    "own": ("Owned", "own"), "deliver": ("Delivered", "own"), "implement": ("Implemented", "own"),
-    "launch": ("Launched", "own"), "deploy": ("Deployed", "own"),
-    "execute": ("Executed", "do"), "produce": ("Produced", "do"), "build": ("Built", "do"),
-    "create": ("Created", "do"), "develop": ("Developed", "do"), "design": ("Designed", "do"),
-    "prepare": ("Prepared", "do"), "maintain": ("Maintained", "do"), "analyze": ("Analyzed", "do"),
-    "monitor": ("Monitored", "do"), "review": ("Reviewed", "do"), "track": ("Tracked", "do"),
-    "improve": ("Improved", "do"), "reduce": ("Reduced", "do"), "increase": ("Increased", "do"),
-    "update": ("Updated", "do"), "report": ("Reported", "do"), "forecast": ("Forecasted", "do"),
-    "negotiate": ("Negotiated", "do"), "optimize": ("Optimized", "do"), "plan": ("Planned", "do"),
-    "support": ("Supported", "support"), "assist": ("Assisted", "support"),
+    "chair": ("Chaired", "lead"), "direct": ("Directed", "lead"), "head": ("Headed", "lead"), "lead": ("Led", "lead"),
+    "manage": ("Managed", "lead"), "train": ("Trained", "lead"),
+    "found": ("Founded", "own"), "own": ("Owned", "own"), "run": ("Ran", "own"), "ship": ("Shipped", "own"),
+    "administer": ("Administered", "do"), "assemble": ("Assembled", "do"), "audit": ("Audited", "do"),
+    "build": ("Built", "do"), "calculate": ("Calculated", "do"), "compile": ("Compiled", "do"),
+    "configure": ("Configured", "do"), "cut": ("Cut", "do"), "design": ("Designed", "do"), "draft": ("Drafted", "do"),
+    "edit": ("Edited", "do"), "execute": ("Executed", "do"), "inspect": ("Inspected", "do"), "install": ("Installed", "do"),
+    "lift": ("Lifted", "do"), "load": ("Loaded", "do"), "measure": ("Measured", "do"), "migrate": ("Migrated", "do"),
+    "negotiate": ("Negotiated", "do"), "operate": ("Operated", "do"), "plan": ("Planned", "do"), "program": ("Programmed", "do"),
+    "raise": ("Raised", "do"), "repair": ("Repaired", "do"), "rewrite": ("Rewrote", "do"), "sell": ("Sold", "do"),
+    "teach": ("Taught", "do"), "test": ("Tested", "do"), "translate": ("Translated", "do"), "write": ("Wrote", "do"),
+    "aid": ("Aided", "support"), "contribute": ("Contributed", "support"), "support": ("Supported", "support"),
 }
 LEADING_VERBS = sorted({w for v, (p, _) in VERBS.items() for w in (v, p.lower())})
 
 # weak opener -> replacement verb and the claim level of the opener
 WEAK_OPENERS = [
-    ("responsible for", "Managed", "lead"), ("in charge of", "Managed", "lead"),
-    ("accountable for", "Owned", "own"),
-    ("took care of", "Managed", "do"), ("dealt with", "Managed", "do"), ("handled", "Managed", "do"),
-    ("worked on", "Executed", "do"), ("helped with", "Supported", "support"),
-    ("helped", "Supported", "support"), ("assisted with", "Supported", "support"),
-    ("assisted", "Supported", "support"), ("participated in", "Contributed to", "support"),
-    ("involved in", "Contributed to", "support"),
+    ("responsible for", "Managed", "lead"), ("at the head of", "Headed", "lead"), ("tasked with", "Executed", "do"),
+    ("saw to", "Managed", "do"), ("handled", "Managed", "do"), ("looked after", "Managed", "do"),
+    ("did some", "Executed", "do"), ("helped with", "Supported", "support"), ("helped", "Supported", "support"),
+    ("gave a hand with", "Supported", "support"), ("took part in", "Contributed to", "support"),
+    ("was part of", "Contributed to", "support"),
 ]
 CLAIM_LEVEL = {p.lower(): lvl for _, (p, lvl) in VERBS.items()} | {"contributed to": "support"}
 
-# pattern -> replacement, applied in this order
+# pattern -> replacement, applied in this order; a run of pronouns goes as one
+OWNERS = "(?:I|[Mm]e|[Mm]y|[Mm]ine|[Mm]yself|[Ww]e|us|[Oo]ur|[Oo]urs)"
 CLEANUP_RULES = [
-    (r"(^|[^A-Za-z0-9_])(I|my|My|mine|Mine|myself|Myself|our|Our|ours|Ours|we|us)([^A-Za-z0-9_]|$)", "$1$3"),
-    (r"(?i)(^|[^a-z0-9_])in order to([^a-z0-9_]|$)", "$1to$2"),
-    (r"(?i)(^|[^a-z0-9_])due to the fact that([^a-z0-9_]|$)", "$1because$2"),
-    (r"(?i)(^|[^a-z0-9_])a variety of([^a-z0-9_]|$)", "$1various$2"),
-    (r"(?i)(^|[^a-z0-9_])prior to([^a-z0-9_]|$)", "$1before$2"),
-    (r"(?i)(^|[^a-z0-9_])subsequent to([^a-z0-9_]|$)", "$1after$2"),
-    (r"(?i)\s*,?\s*(etc|and so on|as well)\.?$", ""),
-    (r"(?i)(^|[^a-z0-9_])managment([^a-z0-9_]|$)", "$1management$2"),
-    (r"(?i)(^|[^a-z0-9_])recieve(d|s)?([^a-z0-9_]|$)", "$1receive$2$3"),
-    (r"(?i)(^|[^a-z0-9_])succesful([^a-z0-9_]|$)", "$1successful$2"),
-    (r"(^|[^A-Za-z0-9_])a\s+([aeiou][A-Za-z0-9_])", "$1an $2"),
-    (r"(^|[^A-Za-z0-9_])an\s+([b-df-hj-np-tv-z0-9])", "$1a $2"),
+    (rf"(^|[^A-Za-z0-9_])(?:{OWNERS}\s+)*{OWNERS}([^A-Za-z0-9_]|$)", "$1$2"),
+    (r"(?i)(^|[^a-z0-9_])with the aim of([^a-z0-9_]|$)", "$1for$2"),
+    (r"(?i)(^|[^a-z0-9_])for the purpose of([^a-z0-9_]|$)", "$1for$2"),
+    (r"(?i)(^|[^a-z0-9_])in the event that([^a-z0-9_]|$)", "$1if$2"),
+    (r"(?i)(^|[^a-z0-9_])in spite of the fact that([^a-z0-9_]|$)", "$1although$2"),
+    (r"(?i)(^|[^a-z0-9_])at this point in time([^a-z0-9_]|$)", "$1now$2"),
+    (r"(?i)(^|[^a-z0-9_])on a daily basis([^a-z0-9_]|$)", "$1daily$2"),
+    (r"(?i)(^|[^a-z0-9_])a large number of([^a-z0-9_]|$)", "$1many$2"),
+    (r"(?i)(^|[^a-z0-9_])(?:basically|actually|really|very)\s+", "$1"),
+    (r"(?i)\s*,?\s*(?:and the like|and more|and others)\.?$", ""),
+    (r"(?i)(^|[^a-z0-9_])seperate(d|s|ly)?([^a-z0-9_]|$)", "$1separate$2$3"),
+    (r"(?i)(^|[^a-z0-9_])occured([^a-z0-9_]|$)", "$1occurred$2"),
+    (r"(?i)(^|[^a-z0-9_])definately([^a-z0-9_]|$)", "$1definitely$2"),
+    (r"(^|[^A-Za-z0-9_])([Aa])\s+([aeiou][A-Za-z0-9_])", "$1$2n $3"),
+    (r"(^|[^A-Za-z0-9_])([Aa])n\s+([b-df-hj-np-tv-z0-9])", "$1$2 $3"),
     (r"\s+([,.;:])", "$1"),
     (r"\(\s+", "("),
     (r"\s+\)", ")"),
@@ -247,10 +256,6 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.sql(f"select {casts} from values {values} as t({names})")
 
 
-def verb_words() -> list[str]:
-    return LEADING_VERBS
-
-
 def alias_dim(spark: SparkSession, aliases: dict[str, list[str]] | None = None) -> DataFrame:
     """(alias, section_id, alias_order): order follows the dictionary."""
     rows, seen = [], set()
@@ -276,10 +281,6 @@ def credential_dim(spark: SparkSession, creds: dict[str, str] | None = None) ->
     return small_table(spark, list((creds or CREDENTIALS).items()), "acronym string, full_name string")
 
 
-def word_dim(spark: SparkSession, words: list[str]) -> DataFrame:
-    return small_table(spark, [(w,) for w in dict.fromkeys(words)], "word string")
-
-
 def canonical_dim(spark: SparkSession) -> DataFrame:
     return small_table(
         spark, [(s, i) for i, s in enumerate(SECTION_ORDER)], "section_id string, canonical_pos int"

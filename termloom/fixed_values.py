@@ -21,15 +21,11 @@ MAX_FILE_BYTES = 15 * 1024 * 1024
 MIN_POSTING_CHARS = 120
 MAX_POSTING_CHARS = 40000
 MIN_TEXT_CHARS = 40
-MAX_KEYWORD_CHARS = 60
-TERMS_PER_POSTING = 90
 VERSIONS_KEPT = 12
-REPORT_CHANGES = 60
 FINDINGS_PER_QUADRANT = 8
 
 # ------------------------------------------------------------- files
 SUPPORTED_EXTENSIONS = ["pdf", "docx"]
-KNOWN_UNSUPPORTED_EXTENSIONS = ["doc", "rtf", "odt", "txt", "pages"]
 PDF_MAGIC_HEX = "255044462D"
 ZIP_MAGIC_HEX = "504B0304"
 OLE_MAGIC_HEX = "D0CF11E0A1B11AE1"
@@ -70,12 +66,6 @@ METRIC = (
     r"|to\s+[\d.,]+\s?(%|k|m|million))"
 )
 PASSIVE = rf"(?i){EDGE_L}(responsible for|worked on|helped|assisted|was responsible|participated in){EDGE_R}"
-NUMBER_TOKEN = (
-    r"(?i)(\d[\d,.]*\s?(?:%|percent|x|times|k|m|bn|million|billion|thousand|usd|eur|gbp|inr|aud|cad|zar|sgd)"
-    r"|\d[\d,.]*)"
-)
-ENTITY_RUN = r"[A-Z][a-zA-Z0-9]*(?:\s+[A-Z][a-zA-Z0-9]*)+"
-STATED_YEARS = r"(?i)(\d{1,2})\s*\+?\s*(?:years|yrs|year)"
 
 # ------------------------------------------------------------- contacts
 EMAIL = r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"
@@ -94,7 +84,6 @@ SECTION_ORDER = [
 CORE_SECTIONS = ["summary", "experience", "skills", "education"]
 
 # ------------------------------------------------------------- posting analysis
-BUCKETS = ["required", "preferred", "responsibilities", "qualifications", "tools", "general"]
 # hundredths, so sums are exact integers on every engine
 BUCKET_WEIGHT_C = {
     "required": 400, "preferred": 240, "qualifications": 300, "tools": 340,

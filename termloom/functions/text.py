@@ -302,18 +302,19 @@ def term_key(c: Column | str) -> Column:
     return F.array_join(F.flatten(word_pieces(c)), " ")
 
 
-def grams_of(words: Column, max_n: int) -> Column:
-    """All 1..max_n grams of a word array, shorter ones first; each length is built from the one before."""
+def grams_of(words: Column, max_n: int, lengths: Sequence[int] | None = None) -> Column:
+    """Grams of 1..max_n words (of the given lengths only, if any), shorter ones first; each length is built from the one before."""
+    wanted = set(range(1, max_n + 1) if lengths is None else lengths)
     def step(shorter: Column, n: int, done: Column) -> Column:
         if n > max_n:
             return done
         left = F.slice(shorter, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
         right = F.slice(words, F.lit(n), F.greatest(F.size(words) - (n - 1), F.lit(0)))
         return let(F.zip_with(left, right, lambda x, y: F.concat(x, F.lit(" "), y)),
-                   lambda g: step(g, n + 1, F.concat(done, g)))
+                   lambda g: step(g, n + 1, F.concat(done, g) if n in wanted else done))
 
-    return step(words, 2, words)
+    return step(words, 2, words if 1 in wanted else F.slice(words, 1, 0))
 
 
-def word_grams(c: Column | str, max_n: int = 3) -> Column:
-    return F.flatten(F.transform(word_pieces(c), lambda ws: grams_of(ws, max_n)))
+def word_grams(c: Column | str, max_n: int = 3, lengths: Sequence[int] | None = None) -> Column:
+    return F.flatten(F.transform(word_pieces(c), lambda ws: grams_of(ws, max_n, lengths)))

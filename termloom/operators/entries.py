@@ -28,7 +28,7 @@ SCHOOL = r"(?i)university|college|school|institute|academy|polytechnic"
 
 def split_list(c: Column) -> Column:
     parts = F.transform(F.split(c, LIST_SPLIT), lambda s: F.trim(F.regexp_replace(s, r"^[-*\x{2022}\x{2013}\x{2014}]\s*", "")))
-    return F.filter(parts, lambda s: F.length(s).between(1, 79))
+    return F.filter(parts, lambda s: s != "")
 
 
 def body_text() -> Column:
@@ -271,7 +271,7 @@ def parse_projects(lines: DataFrame, keys: Sequence[str] = ("doc_id", "section_n
     bullets = df.filter("is_bullet").select(*pk, "line_no", F.col("_t").alias("text"))
     projects = df.select(*pk).distinct().join(names, pk, "left").select(
         *pk, at(0).alias("name"), at(1).alias("role"), F.coalesce("dates", F.lit("")).alias("dates"),
-        F.array_join(F.slice(F.coalesce("_s", F.array().cast("array<string>")), 3, 1000000), " | ").alias("detail"))
+        F.array_join(F.filter(F.coalesce("_s", F.array().cast("array<string>")), lambda _, i: i >= 2), " | ").alias("detail"))
     return projects, bullets
 
 
@@ -325,7 +325,7 @@ def layout_profile(blocks: DataFrame, key: str = "doc_id", order: str = "block_n
     out = sizes.withColumn("_a", F.transform("_z", lambda z: z["s"])).withColumn("base_size", med(F.col("_a")))
     bigger = lambda f: T.let(F.col("base_size"), lambda m: F.filter("_a", lambda s: s > m * f))
     out = out.withColumn("heading_size", F.coalesce(med(bigger(1.12)), F.col("base_size") * 1.14))
-    out = out.withColumn("name_size", F.coalesce(F.array_max(F.slice(bigger(1.45), 1, 3)), F.col("base_size") * 2.1)).drop("_z", "_a")
+    out = out.withColumn("name_size", F.coalesce(F.array_max(bigger(1.45)), F.col("base_size") * 2.1)).drop("_z", "_a")
     for c in ("font", "align", "color"):
         if c in blocks.columns:
             out = out.join(column_mode(blocks, key, c, order), key, "left")

@@ -89,21 +89,24 @@ def _count_hits(per_form: DataFrame, keys: Sequence[str]) -> DataFrame:
     return per_form.groupBy(*keys, "term").agg(F.when(lit > 0, lit).otherwise(other).cast("int").alias("mentions"))
 
 
-def term_hits(docs: DataFrame, terms: DataFrame, max_words: int = 3, keys: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
+def term_hits(docs: DataFrame, terms: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """(doc, term, mentions) by whole words: word grams joined to term forms by equality.
 
+    Grams have the lengths that occur among the forms, so no form is too long to be found.
+
     Grams leave the scan unaggregated and meet the forms first, so only hits are
     shuffled by (doc, term) while the term table is broadcastable; beyond that
     the join shuffles by gram and adaptive execution splits hot grams.
     """
-    grams = docs.select(*keys, F.explode(T.word_grams(text, max_words)).alias("form"))
-    return _count_hits(grams.join(term_forms(terms), "form").withColumn("n", F.lit(1)), keys)
+    forms = term_forms(terms)
+    lengths = form_lengths(forms)
+    grams = docs.select(*keys, F.explode(T.word_grams(text, max(lengths), lengths)).alias("form"))
+    return _count_hits(grams.join(forms, "form").withColumn("n", F.lit(1)), keys)
 
 
-def max_term_words(terms: DataFrame) -> int:
-    """Longest term in words: one number, read once to size the grams."""
-    row = terms.agg(F.max(F.size(F.split("term", " "))).alias("n")).first()
-    return int(row["n"] or 1)
+def form_lengths(forms: DataFrame) -> list[int]:
+    """Lengths of the forms in words: a few numbers, read once to size the grams."""
+    return sorted(r["n"] for r in forms.select(F.size(F.split("form", " ")).alias("n")).distinct().collect()) or [1]
 
 
 def _needle_counts(needles: list[str]):
@@ -163,7 +166,7 @@ def term_hits_substring(docs: DataFrame, terms: DataFrame, key: str = "doc_id",
     return _count_hits(counted, [key])
 
 
-def term_hits_unordered(docs: DataFrame, terms: DataFrame, stop_words: Sequence[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+def term_hits_unordered(docs: DataFrame, terms: DataFrame, stop_words: Sequence[str], keys: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """(doc, term) where every significant word of a multi-word term occurs, in any order.
 
     The texts are read once, down to the (doc, word) pairs the terms can use.
@@ -176,13 +179,13 @@ def term_hits_unordered(docs: DataFrame, terms: DataFrame, stop_words: Sequence[
     wanted = multi.select("term", F.size("toks").alias("n"), F.explode("toks").alias("tok"))
     forms = wanted.select("tok").distinct().select(
         "tok", F.explode(F.array_distinct(F.array("tok", T.singularize("tok")))).alias("word"))
-    words = docs.select(key, F.explode(F.flatten(T.word_pieces(text))).alias("word"))
-    seen = write_once(words.join(forms, "word").select(key, "tok").distinct(), "token_hits")
+    words = docs.select(*keys, F.explode(F.flatten(T.word_pieces(text))).alias("word"))
+    seen = write_once(words.join(forms, "word").select(*keys, "tok").distinct(), "token_hits")
     freq = seen.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     anchor = wanted.join(freq, "tok").groupBy("term").agg(F.min_by("tok", F.struct("df", "tok")).alias("tok"))
-    cand = seen.join(anchor, "tok").select(key, "term", F.col("tok").alias("anchor"))
-    others = cand.join(wanted, "term").filter("tok <> anchor").join(seen, [key, "tok"], "left_semi")
-    return others.groupBy(key, "term", "n").agg(F.count(F.lit(1)).alias("k")).filter("k = n - 1").select(key, "term")
+    cand = seen.join(anchor, "tok").select(*keys, "term", F.col("tok").alias("anchor"))
+    others = cand.join(wanted, "term").filter("tok <> anchor").join(seen, [*keys, "tok"], "left_semi")
+    return others.groupBy(*keys, "term", "n").agg(F.count(F.lit(1)).alias("k")).filter("k = n - 1").select(*keys, "term")
 
 
 # --------------------------------------------------------------------- evidence

@@ -19,7 +19,7 @@ GAP = "\x01"
 
 @dataclass(frozen=True)
 class PostingConfig:
-    """Dictionaries and limits of the posting analysis; every field may be replaced."""
+    """Dictionaries and limits of the posting analysis; every field may be replaced. A limit of None cuts nothing."""
 
     stop_words: Sequence[str] = tuple(dims.STOP_WORDS)
     banned: Sequence[str] = tuple(dims.BANNED_TERMS)
@@ -35,7 +35,11 @@ class PostingConfig:
     soft_words: Sequence[str] = tuple(dims.SOFT_WORDS)
     high_c: int = fv.HIGH_SCORE_C
     medium_c: int = fv.MEDIUM_SCORE_C
-    cap: int = fv.TERMS_PER_POSTING
+    cap: int | None = None  # terms per posting
+    clause_grams: int | None = None  # most frequent grams of a clause its term is chosen from
+    title_grams: int | None = None  # grams taken from a long title
+    max_chars: int | None = None
+    max_words: int | None = None
 
 
 # --------------------------------------------------------------------- lines
@@ -92,7 +96,7 @@ def _candidate_grams(c: Column, stop_words: Sequence[str], banned: Sequence[str]
     return F.filter(grams, lambda g: ~g.contains(GAP) & g.rlike("^[^ ]{2,}") & ~g.isin(list(banned)))
 
 
-def top_grams(c: Column, stop_words: Sequence[str], banned: Sequence[str], max_n: int, limit: int) -> Column:
+def top_grams(c: Column, stop_words: Sequence[str], banned: Sequence[str], max_n: int, limit: int | None = None) -> Column:
     """Array of STRUCT<neg_count, neg_len, pos, term> of one short text, most frequent and longest first.
 
     For clauses and titles; whole documents go through ``ngrams``.
@@ -101,11 +105,12 @@ def top_grams(c: Column, stop_words: Sequence[str], banned: Sequence[str], max_n
         return F.transform(F.array_distinct(all_), lambda g, i: F.struct(
             (-F.size(F.filter(all_, lambda x: x == g))).alias("neg_count"), (-F.length(g)).alias("neg_len"), i.alias("pos"), g.alias("term")))
 
-    return F.slice(F.array_sort(T.let(_candidate_grams(c, stop_words, banned, max_n), score)), 1, limit)
+    ranked = F.array_sort(T.let(_candidate_grams(c, stop_words, banned, max_n), score))
+    return ranked if limit is None else F.slice(ranked, 1, limit)
 
 
 def ngrams(df: DataFrame, key: str, text: str, stop_words: Sequence[str], banned: Sequence[str] = (), max_n: int = 4,
-           limit: int = 400) -> DataFrame:
+           limit: int | None = None) -> DataFrame:
     """Top grams per text by count, length, then term.
 
     Counting combines map-side, and the rank filter is pushed into a group limit
@@ -128,9 +133,9 @@ def line_parts(c: Column) -> Column:
 
 
 def line_candidates(posting_lines: DataFrame, cfg: PostingConfig, key: str = "posting_id") -> DataFrame:
-    """One term per clause: the longest of its six most frequent grams.  No shuffle: all inside the row."""
+    """One term per clause: the longest of its (most frequent) grams.  No shuffle: all inside the row."""
     def best(part: Column) -> Column:
-        top = top_grams(part, cfg.stop_words, cfg.banned, 3, 6)
+        top = top_grams(part, cfg.stop_words, cfg.banned, 3, cfg.clause_grams)
         return F.array_min(F.transform(top, lambda g, i: F.struct(g["neg_len"], g["neg_count"], i.alias("i"), g["term"])))
 
     rows = posting_lines.select(key, "line_no", "bucket", F.posexplode(line_parts(F.col("text"))).alias("part_no", "part"))
@@ -153,10 +158,10 @@ def is_noise(term: Column | str, cfg: PostingConfig) -> Column:
 def _noise_test(t: Column, cfg: PostingConfig) -> Column:
     words = F.split(t, " ")
     return (
-        ~F.length(t).between(2, 46)
+        (F.length(t) < 2) | (F.length(t) > cfg.max_chars if cfg.max_chars else F.lit(False))
         | t.isin(list(cfg.banned)) | t.isin(list(cfg.stop_words)) | t.isin(list(cfg.filler))
         | t.contains(" - ") | t.startswith("-") | t.endswith("-")
-        | (F.size(words) > 4)
+        | (F.size(words) > cfg.max_words if cfg.max_words else F.lit(False))
         | (t.contains(" ") & t.rlike("[0-9]"))
         | F.forall(words, lambda w: w.isin(list(cfg.ad_words)))
     )
@@ -247,7 +252,7 @@ def term_candidates(postings: DataFrame, cfg: PostingConfig, user_keywords: Data
     words = F.size(F.split(T.normalize_keyword("title"), " "))
     short = F.array(F.struct(F.lit(-1).alias("neg_count"), F.lit(0).alias("neg_len"), F.lit(0).alias("pos"), T.normalize_keyword("title").alias("term")))
     from_titles = titles.select("posting_id", F.explode(F.when(words <= 4, short).otherwise(
-        top_grams(F.col("title"), cfg.stop_words, cfg.banned, 3, 5))).alias("g")).select(
+        top_grams(F.col("title"), cfg.stop_words, cfg.banned, 3, cfg.title_grams))).alias("g")).select(
         "posting_id", F.col("g.term").alias("term"), (-F.col("g.neg_count")).alias("cnt"), F.lit(fv.TITLE_WEIGHT_C).alias("weight_c"),
         flag(False).alias("required"), flag(False).alias("preferred"), flag(False).alias("tool"))
     const = lambda df, wc, req, pref: df.select(

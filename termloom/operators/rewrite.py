@@ -118,13 +118,13 @@ def promote_skills(matches: DataFrame, body_hits: DataFrame, skills: DataFrame,
     token is a fragment; prefixes and suffixes of the tokens are joined by equality.
     """
     wanted = matches.filter((F.col("status") != "MISSING") & F.col("can_insert") & (F.col("priority").isin("HIGH", "MEDIUM") | (F.col("source") != "jd")))
-    wanted = wanted.filter(F.length("term").between(2, 40)).join(
+    wanted = wanted.filter(F.length("term") >= 2).join(
         skills.select("doc_id", T.normalize_keyword("item").alias("term")).distinct(), ["doc_id", "term"], "left_anti")
     mark = lambda df, name: df.select("doc_id", "term").distinct().withColumn(name, F.lit(True))
     tok = F.col("token")
     ends = F.flatten(F.transform(F.sequence(F.lit(2), F.greatest(F.length(tok) - 1, F.lit(2))), lambda n: F.array(
         F.substring(tok, F.lit(1), n), F.substring(tok, F.length(tok) - n + 1, n))))
-    frags = body_tokens.filter(F.length("token").between(3, 60)).select("doc_id", F.explode(F.array_distinct(ends)).alias("term"))
+    frags = body_tokens.filter(F.length("token") >= 3).select("doc_id", F.explode(F.array_distinct(ends)).alias("term"))
     df = wanted.join(mark(body_hits, "_hit"), ["doc_id", "term"], "left")
     df = df.join(mark(roles.select("doc_id", T.normalize_keyword("role").alias("term")), "_role"), ["doc_id", "term"], "left")
     df = df.join(mark(frags.join(wanted.select("doc_id", "term"), ["doc_id", "term"], "left_semi"), "_frag"), ["doc_id", "term"], "left")
@@ -136,7 +136,7 @@ def draft_summary(roles: DataFrame, matches: DataFrame, k: int = 3) -> DataFrame
     """``Role with experience in a, b and c.`` from supported terms; no text below 25 alphanumerics."""
     ok = matches.filter(((F.col("status") == "MATCHED") | F.col("can_insert")) & ((F.col("priority") == "HIGH") | (F.col("source") == "user")))
     w = Window.partitionBy("posting_id", "doc_id").orderBy("rank", "term")
-    top = ok.withColumn("_n", F.row_number().over(w)).filter((F.col("_n") <= k) & (F.length("term") < 40))
+    top = ok.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k)
     lists = top.groupBy("posting_id", "doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "term"))), lambda s: s["term"]).alias("t"))
     n = F.size("t")
     words = F.when(n == 1, F.get("t", F.lit(0))).otherwise(F.concat(

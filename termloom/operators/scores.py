@@ -30,12 +30,11 @@ def term_flags(pool: DataFrame, terms: DataFrame, weights: dict[str, int] | None
     }
     df = terms
     for n, c in cond.items():
-        df = df.withColumn(f"_{n}", c).withColumn(f"_r_{n}", F.sum(c.cast("int")).over(w)).withColumn(f"_n_{n}", F.sum(c.cast("int")).over(per))
-    within = lambda n, k: F.col(f"_{n}") & (F.col(f"_r_{n}") <= k)
-    either = lambda a, b, k: F.when(F.col(f"_n_{a}") > 0, within(a, k)).otherwise(within(b, k))
+        df = df.withColumn(f"_{n}", c).withColumn(f"_n_{n}", F.sum(c.cast("int")).over(per))
+    either = lambda a, b: F.when(F.col(f"_n_{a}") > 0, F.col(f"_{a}")).otherwise(F.col(f"_{b}"))
     df = df.select(
         "posting_id", "term", (F.col("_req") | F.col("_hard")).alias("_must"), "_tech",
-        either("dom", "tech", 30).alias("in_dom"), either("req", "tech", 25).alias("in_req"), either("req", "hard", 30).alias("in_req_job"))
+        either("dom", "tech").alias("in_dom"), either("req", "tech").alias("in_req"), either("req", "hard").alias("in_req_job"))
     pw = weights or fv.PRIORITY_WEIGHT
     weight = F.lit(0)
     for p, x in pw.items():
@@ -119,8 +118,8 @@ def bullet_features(bullets: DataFrame, verbs: Sequence[str], keys: Sequence[str
         F.count_if("_m").alias("n_metric"), F.sum("_n").alias("sum_words"))
 
 
-def overused_words(bullets: DataFrame, keys: Sequence[str] = ("doc_id", "section"), cap: int = 25) -> DataFrame:
-    """Words of more than three characters used at least four times in a section; first 25 per document."""
+def overused_words(bullets: DataFrame, keys: Sequence[str] = ("doc_id", "section"), cap: int | None = None) -> DataFrame:
+    """Words of more than three characters used at least four times in a section, ranked (the first ``cap``) per document."""
     words = F.split(F.lower("text"), "[^a-z0-9+#/.-]+")
     x = bullets.select(*keys, F.explode(words).alias("word")).filter(F.length("word") > 3)
     n = x.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n")).filter("n >= 4")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions import text as T
+from termloom.session import write_once
 
 NUMBER = r"(?:^|[^a-zA-Z0-9_])((?:[$\x{20AC}\x{00A3}\x{20B9}]\s?)?\d[\d,.]*)((?:\s?[a-zA-Z%]+)?)"
 UNITS = ["%", "percent", "x", "times", "k", "m", "bn", "million", "billion", "thousand", "usd", "eur", "gbp", "inr", "aud", "cad", "zar", "sgd"]
@@ -190,21 +191,22 @@ def _probes(s: Column, n: Column, low_mark: int, any_mark: int) -> Column:
 def near_dup_bullets(bullets: DataFrame, keys: Sequence[str] = ("doc_id",), order: str = "bullet_no", threshold: float = 0.9) -> DataFrame:
     """Adds dropped: a longer (or equal and earlier) near duplicate exists in the same entry.
 
-    Near: same normalised text, same first 24 characters of two long texts, or
-    similarity above 0.9.  The first two are aggregates; only for the third are
-    candidates formed, and only between texts that share a probe.
+    Near: same normalised text, or similarity above 0.9.  The first is an
+    aggregate; only for the second are candidates formed, between texts that
+    share a probe.  Of rows with equal text only the best ranked is offered as a
+    partner: it dominates its copies, so a line copied a million times is met once.
     """
     keys = list(keys)
     rank = F.struct(F.length("text").alias("len"), (-F.col(order)).alias("neg"))
     b = bullets.withColumn("_key", T.normalize_keyword("text")).withColumn("_rank", rank).withColumn("_s", F.trim(F.lower("text")))
-    by_key = b.groupBy(*keys, "_key").agg(F.max("_rank").alias("_best_key"))
-    long = F.length("_key") > 24
-    by_prefix = b.filter(long).groupBy(*keys, F.substring("_key", 1, 24).alias("_p")).agg(F.max("_rank").alias("_best_p"))
-    b = b.withColumn("_p", F.when(long, F.substring("_key", 1, 24)))
-    b = b.join(by_key, [*keys, "_key"], "left").join(by_prefix, [*keys, "_p"], "left")
-    b = b.withColumn("_d", (F.col("_key") != "") & ((F.col("_rank") < F.col("_best_key")) | F.coalesce(F.col("_rank") < F.col("_best_p"), F.lit(False))))
+    same = F.coalesce(F.nullif("_key", F.lit("")), F.when(F.length("_s") > 10, F.col("_s")))
+    b = b.withColumn("_key", same)
+    by_key = b.filter("_key is not null").groupBy(*keys, "_key").agg(F.max("_rank").alias("_best_key"))
+    b = b.join(by_key, [*keys, "_key"], "left")
+    b = b.withColumn("_d", F.coalesce(F.col("_rank") < F.col("_best_key"), F.lit(False)))
     n = F.length("_s")
-    rows = b.filter(n > 10).select(*keys, F.col(order).alias("no"), n.alias("n"), F.length("text").alias("len"), "_d", "_s")
+    rows = write_once(b.filter(n > 10).groupBy(*keys, "_s").agg(F.max_by(F.struct(F.col(order).alias("no"), F.length("text").alias("len"), F.col("_d")), "_rank").alias("_t")).select(
+        *keys, "_t.no", n.alias("n"), "_t.len", "_t._d", "_s"), "near_rows")
     probe = lambda lo, al: F.explode(_probes(F.col("_s"), F.col("n"), lo, al)).alias("tok")
     x = rows.filter(~F.col("_d")).select(*keys, F.col("no").alias("x"), F.col("n").alias("xn"), F.col("len").alias("xl"), probe(FROM_LOW, TO_LOW))
     y = rows.select(*keys, F.col("no").alias("y"), F.col("n").alias("yn"), F.col("len").alias("yl"), probe(TO_LOW, FROM_LOW))
@@ -213,7 +215,11 @@ def near_dup_bullets(bullets: DataFrame, keys: Sequence[str] = ("doc_id",), orde
     cand = cand.select(*keys, "x", "y").distinct()
     t1 = rows.select(*keys, F.col("no").alias("x"), F.col("_s").alias("xs"))
     t2 = rows.select(*keys, F.col("no").alias("y"), F.col("_s").alias("ys"))
-    lost = cand.join(t1, [*keys, "x"]).join(t2, [*keys, "y"]).filter(T.similarity("xs", "ys") > threshold)
+    both = cand.join(t1, [*keys, "x"]).join(t2, [*keys, "y"])
+    longer = F.greatest(F.length("xs"), F.length("ys"))
+    # the distance is only worked out up to the largest that still is near
+    d = F.expr(f"levenshtein(xs, ys, cast(greatest(length(xs), length(ys)) * {1 - threshold:.6f} as int) + 1)")
+    lost = both.filter((d >= 0) & (1.0 - d / longer > threshold))
     lost = lost.select(*keys, F.col("x").alias(order), F.lit(True).alias("_l")).distinct()
     return b.join(lost, [*keys, order], "left").select(
         *[c for c in bullets.columns], (F.col("_d") | F.coalesce("_l", F.lit(False))).alias("dropped"))

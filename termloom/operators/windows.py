@@ -14,11 +14,12 @@ def sticky_mode(df: DataFrame, key: str, order: str, cue: Column, name: str = "m
     return df.withColumn(name, F.last(cue, ignorenulls=True).over(w))
 
 
-def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
-    """First k rows per key.  ``row_number() <= k`` becomes a group limit on each
-    map task before the shuffle, so a hot key ships at most k rows per task."""
+def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | None, rank: str = "rank") -> DataFrame:
+    """First k rows per key (all, ranked, if k is None).  ``row_number() <= k`` becomes a group limit on
+    each map task before the shuffle, so a hot key ships at most k rows per task."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+    ranked = df.withColumn(rank, F.row_number().over(w))
+    return ranked if k is None else ranked.filter(F.col(rank) <= k)
 
 
 def lookahead_header(lines: DataFrame, has_date: Column, keys: Sequence[str], order: str = "line_no") -> DataFrame:

@@ -15,8 +15,6 @@ from termloom.plans.structure_jobs import segmented
 from termloom.session import write_once
 from termloom.plans.text_jobs import _long, _vocabulary
 
-MAX_WORDS = 4
-
 
 def user_keywords(spark, sf):
     kws = F.array(*[F.lit(k) for k in D.USER_KEYWORDS])
@@ -46,8 +44,8 @@ def evidence_of(spark, sf, wanted, docs=None, keys=("doc_id",)):
     docs = docs if docs is not None else D.documents(spark, sf).select("doc_id", "text")
     exp = write_once(expanded(spark, wanted), "variants")
     variants = exp.select(F.col("variant").alias("term")).distinct()
-    hits = M.term_hits(docs, variants, MAX_WORDS, keys)
-    unordered = M.term_hits_unordered(docs, variants, D.STOPS) if tuple(keys) == ("doc_id",) else None
+    hits = M.term_hits(docs, variants, keys)
+    unordered = M.term_hits_unordered(docs, variants, D.STOPS, keys)
     return M.evidence(exp, hits, unordered, keys)
 
 
@@ -64,7 +62,7 @@ def expand_terms(spark, sf):
 
 @query
 def term_hits(spark, sf):
-    h = M.term_hits(D.documents(spark, sf).select("doc_id", "text"), terms(spark, sf).select("term").distinct(), MAX_WORDS)
+    h = M.term_hits(D.documents(spark, sf).select("doc_id", "text"), terms(spark, sf).select("term").distinct())
     return h.select("doc_id", "term", _long("mentions"))
 
 
@@ -138,8 +136,5 @@ def repeated_terms(spark, sf):
 def term_demand(spark, sf):
     p = pool(spark, sf)
     docs = D.documents(spark, sf)
-    total = docs.agg(F.count(F.lit(1)).alias("total"))
-    ev = pool_evidence(spark, sf)
-    want = M.term_demand(p, ev, 0)
-    # the document count is one row, joined as a scalar
-    return want.join(total).select("term", _long("n_postings"), _long("n_docs"), (F.col("total") + F.col("n_missing")).cast("long").alias("n_missing"))
+    total = docs.agg(F.count(F.lit(1))).scalar()
+    return M.term_demand(p, pool_evidence(spark, sf), total).select("term", _long("n_postings"), _long("n_docs"), _long("n_missing"))

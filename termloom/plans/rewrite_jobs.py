@@ -25,12 +25,12 @@ PAIR = ["posting_id", "doc_id"]
 def duty_bullets(spark, sf):
     """Bullets written from the orders table, with weak openers, tense and spelling to fix."""
     o = D.table(spark, sf, "orders")
-    openers = ["Responsible for", "Handled", "Worked on the", "helped with", "Manage", "Dealt with", "I recieve a", "In order to plan"]
+    openers = ["Responsible for", "Handled", "Tasked with the", "helped with", "Manage", "Looked after", "A large number of a", "In the event that our"]
     k = F.col("o_orderkey")
     return o.select(
         F.col("o_custkey").alias("doc_id"), k.alias("bullet_no"), (k % 2 == 0).alias("is_current"),
         F.concat(F.element_at(F.array(*[F.lit(x) for x in openers]), (k % len(openers) + 1).cast("int")), F.lit(" order "), F.lower("o_orderpriority"),
-                 F.lit(" , prior to managment review")).alias("text"))
+                 F.lit(" , for the purpose of seperate review")).alias("text"))
 
 
 @query
@@ -145,7 +145,7 @@ def swot_findings(spark, sf):
 
 @query
 def top_findings(spark, sf):
-    t = N.top_findings(N.swot_findings(feature_row(spark, sf)), 3)
+    t = N.top_findings(N.swot_findings(feature_row(spark, sf)))
     return t.select(*PAIR, "quadrant", _long("rank"), "rule")
 
 

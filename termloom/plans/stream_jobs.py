@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from termloom.operators import match as M
 from termloom.operators import scores as S
 from termloom.plans import corpus as D
-from termloom.plans.match_jobs import MAX_WORDS, pool
+from termloom.plans.match_jobs import pool
 from termloom.plans.registry import query
 from termloom.plans.score_jobs import flags
 from termloom.plans.text_jobs import _long
@@ -35,7 +35,7 @@ def stream_rescore(spark, sf):
     variants = pool(spark, sf).select("term").distinct()
 
     def score(docs):
-        return S.weighted_coverage(wanted, M.term_hits(docs, variants, MAX_WORDS))
+        return S.weighted_coverage(wanted, M.term_hits(docs, variants))
 
     docs = D.documents(spark, sf).select("doc_id", "text")
     return ST.stream_rescore(revisions(spark, sf), docs, score).select("posting_id", "doc_id", _long("coverage"))

@@ -9,7 +9,6 @@ from termloom.operators import match as M
 from termloom.operators import scores as S
 from termloom.operators import versions as V
 from termloom.plans import corpus as D
-from termloom.plans.match_jobs import MAX_WORDS
 from termloom.plans.posting_jobs import terms
 from termloom.plans.registry import query
 from termloom.plans.score_jobs import bullets, features
@@ -43,7 +42,7 @@ def new_entities(spark, sf):
 def leaked(spark, sf):
     t = turns(spark, sf)
     wanted = terms(spark, sf).select("term").distinct()
-    hits = lambda c: M.term_hits(t.select(*K, F.col(c).alias("text")), wanted, MAX_WORDS, K)
+    hits = lambda c: M.term_hits(t.select(*K, F.col(c).alias("text")), wanted, K)
     return V.leaked_terms(hits("before"), hits("after"), wanted, K)
 
 

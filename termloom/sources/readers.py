@@ -98,7 +98,7 @@ def html_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
     )
 
 
-def keyword_table(df: DataFrame, key: str, raw: str, max_chars: int = fv.MAX_KEYWORD_CHARS) -> DataFrame:
+def keyword_table(df: DataFrame, key: str, raw: str, max_chars: int | None = None) -> DataFrame:
     """User keyword strings -> one row per keyword, first spelling wins within a key.
 
     ``min_by`` instead of a ranked window: it combines map-side, so a key that
@@ -108,7 +108,7 @@ def keyword_table(df: DataFrame, key: str, raw: str, max_chars: int = fv.MAX_KEY
     return (
         df.select(key, F.posexplode(F.split(F.col(raw), r"[,;|\n\r\t]+")).alias("pos", "part"))
         .select(key, "pos", T.collapse_ws(part).alias("keyword"))
-        .filter(F.length("keyword").between(1, max_chars))
+        .filter((F.length("keyword") >= 1) & (F.length("keyword") <= max_chars if max_chars else F.lit(True)))
         .groupBy(key, F.lower("keyword").alias("keyword_key"))
         .agg(F.min_by("keyword", "pos").alias("keyword"), F.min("pos").alias("pos"))
     )
