@@ -145,3 +145,12 @@ f as (select doc_id, line_no * 100000 + seg_no as o, case when {_isname} then te
   case when length(seg) <= 40 and {location('seg')} then seg end as location from sg)
 select doc_id, {', '.join(f"coalesce(arg_min({c}, o) filter (where {c} is not null), '') as {c}" for c in ('name', 'email', 'phone', 'linkedin', 'portfolio', 'location'))}
 from f group by doc_id""")
+_ext = "['.pdf', '.docx', '.PDF', '.txt', ''][page_id % 5 + 1]"
+_head = f"[{X.lit(fv.PDF_MAGIC_HEX)}, {X.lit(fv.ZIP_MAGIC_HEX)}, {X.lit(fv.OLE_MAGIC_HEX)}, '3C21'][page_id % 4 + 1]"
+sql("triage_files", f"""with f as (select 'in/' || page_id || {_ext} as path, lower(replace({_ext}, '.', '')) as ext, {_head} as head,
+ case when page_id % 11 = 0 then 0 when page_id % 13 = 0 then length({_head}) // 2 else length({_head}) // 2 + octet_length(encode(html)) end as n from pages),
+g as (select * from f)
+select path, ext, n::bigint as length, case when ext not in ('pdf', 'docx') then 'unsupported-format' when n = 0 then 'empty-file'
+ when n < {fv.MIN_FILE_BYTES} then 'file-too-small' when n > {fv.MAX_FILE_BYTES} then 'file-too-large'
+ when ext = 'pdf' and head = {X.lit(fv.PDF_MAGIC_HEX)} then 'ok' when ext = 'pdf' and head = {X.lit(fv.ZIP_MAGIC_HEX)} then 'wrong-format' when ext = 'pdf' then 'corrupt-pdf'
+ when head = {X.lit(fv.PDF_MAGIC_HEX)} then 'wrong-format' when head = {X.lit(fv.OLE_MAGIC_HEX)} then 'legacy-doc' when head = {X.lit(fv.ZIP_MAGIC_HEX)} then 'ok' else 'corrupt-docx' end as code from g""")

@@ -8,9 +8,8 @@ allows it and shuffles beyond, with skewed partitions split at run time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,61 +108,43 @@ def form_lengths(forms: DataFrame) -> list[int]:
     return sorted(r["n"] for r in forms.select(F.size(F.split("form", " ")).alias("n")).distinct().collect()) or [1]
 
 
-def _needle_counts(needles: list[str]):
-    """Function(text) -> {needle: non-overlapping occurrences}, one pass over the text."""
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: {n: c for n in needles if (c := text.count(n))}
-    machine = ahocorasick.Automaton()
-    for i, n in enumerate(needles):
-        machine.add_word(n, (i, len(n)))
-    machine.make_automaton()
-
-    def count(text: str) -> dict[str, int]:
-        found: dict[int, list[int]] = {}
-        for end, (i, size) in machine.iter(text):
-            last = found.setdefault(i, [0, -1])
-            if end - size >= last[1]:
-                last[0] += 1
-                last[1] = end
-        return {needles[i]: c for i, (c, _) in found.items()}
-
-    return count
-
-
-def term_hits_substring(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text",
-                        chunk_bytes: int = 2 << 20) -> DataFrame:
-    """The same table with literal substring semantics.
-
-    Containment is no equality, so instead of pairing documents with terms each
-    Arrow batch of texts is read once by an automaton of the needles.  Needles
-    ship in chunks of a fixed size; more needles mean more passes, never a
-    larger broadcast or a cut.
+def _short_grams(word: Column, most: int) -> Column:
+    """Distinct runs of 1..most characters of a word."""
+    chars = F.split(word, "")
+    runs = [chars]
+    for n in range(2, most + 1):
+        rest = F.slice(chars, n, F.greatest(F.size(chars) - (n - 1), F.lit(0)))
+        runs.append(F.zip_with(F.slice(runs[-1], F.lit(1), F.size(rest)), rest, lambda x, y: F.concat(x, y)))
+    return F.array_distinct(F.concat(*runs))
+
+
+def term_hits_substring(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same table with literal substring semantics, JVM-side and by equi-joins.
+
+    A text holds a needle only if one of its tokens holds the needle's longest
+    piece between spaces.  Pieces therefore meet the distinct tokens of the
+    corpus, by their first three characters, and tokens lead to the documents.
+    A needle without a space is counted from the tokens; one with spaces is
+    counted in the texts of its candidates, each text joined once.
     """
-    forms = term_forms(terms, word_mode=False)
-    size = forms.agg(F.sum(F.octet_length("form")).alias("b")).first()["b"] or 0
-    chunks = max(1, -(-int(size) // chunk_bytes))
-    key_type = docs.schema[key].dataType.simpleString()
+    forms = write_once(term_forms(terms, word_mode=False), "needles")
     hay = docs.select(key, T.soft_normalize(text).alias("hay"))
-    counted = None
-    for c in range(chunks):
-        part = forms.filter(F.pmod(F.xxhash64("form"), F.lit(chunks)) == c)
-        needles = [r["form"] for r in part.select("form").distinct().toLocalIterator()]
-
-        def scan(batches: Iterator[pd.DataFrame], needles=needles) -> Iterator[pd.DataFrame]:
-            count = _needle_counts(needles)
-            for b in batches:
-                rows = [(k, n, c) for k, t in zip(b[key], b["hay"]) if t for n, c in count(t).items()]
-                yield pd.DataFrame(rows, columns=[key, "form", "n"]).astype({"n": "int32"})
-
-        found = hay.mapInPandas(scan, f"{key} {key_type}, form string, n int") if needles else None
-        if found is not None:
-            hits = found.join(part, "form")
-            counted = hits if counted is None else counted.unionByName(hits)
-    if counted is None:
-        counted = hay.limit(0).select(key, F.lit("").alias("form"), F.lit(0).alias("n")).join(forms, "form")
-    return _count_hits(counted, [key])
+    pieces = F.filter(F.split("form", " "), lambda p: p != "")
+    longest = F.array_max(F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), p.alias("piece"))))["piece"]
+    needles = forms.select("form").distinct().withColumn("piece", longest).filter("piece is not null")
+    tokens = write_once(hay.select(key, F.explode(F.split("hay", " ")).alias("token")).filter("token <> ''").groupBy(key, "token").agg(
+        F.count(F.lit(1)).alias("n")), "tokens")
+    starts = needles.select("piece").distinct().withColumn("gram", F.substring("piece", 1, 3))
+    words = tokens.select("token").distinct().select("token", F.explode(_short_grams(F.col("token"), 3)).alias("gram"))
+    inside = words.join(starts, "gram").filter(F.expr("contains(token, piece)")).select("token", "piece")
+    seen = tokens.join(write_once(inside, "inside"), "token")
+    found = seen.join(needles.filter("not contains(form, ' ')"), "piece").groupBy(key, "form").agg(
+        F.sum(F.col("n") * T.count_occurrences("token", "form")).alias("n"))
+    spaced = seen.join(needles.filter("contains(form, ' ')"), "piece").select(key, "form").distinct()
+    lists = spaced.groupBy(key).agg(F.collect_list("form").alias("forms"))  # at most the needles per document
+    in_text = hay.join(lists, key).select(key, F.explode(F.transform("forms", lambda f: F.struct(
+        f.alias("form"), T.count_occurrences(F.col("hay"), f).alias("n")))).alias("x")).select(key, "x.form", "x.n").filter("n > 0")
+    return _count_hits(found.unionByName(in_text).join(forms, "form"), [key])
 
 
 def term_hits_unordered(docs: DataFrame, terms: DataFrame, stop_words: Sequence[str], keys: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:

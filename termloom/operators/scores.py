@@ -93,12 +93,15 @@ def title_alignment(pairs: DataFrame, titles: DataFrame, roles: DataFrame, stop_
     """Best held role against the target title, on the scale of both scores."""
     r, t = F.col("_r"), F.col("_t")
     wanted = titles.select("posting_id", T.normalize_keyword("title").alias("_t"))
-    held = roles.select("doc_id", T.normalize_keyword("role").alias("_r")).filter("_r <> ''")
-    j = pairs.join(wanted, "posting_id", "left").join(held, "doc_id", "left")
+    held = roles.select("doc_id", T.normalize_keyword("role").alias("_r")).filter("_r <> ''").distinct()
+    asked = pairs.join(wanted, "posting_id", "left").withColumn("_t", F.coalesce("_t", F.lit("")))
+    per_doc = asked.select("_t", "doc_id").distinct().join(held, "doc_id", "left")
+    # strings are compared once, however many documents hold the role and postings ask for the title
     near = T.mentioned_in(r, t, stop_words) | T.mentioned_in(t, r, stop_words)
-    best = lambda inside, f: F.max(F.when(r == t, F.lit(100.0)).when(near, F.lit(inside)).otherwise(T.similarity(r, t) * f))
-    agg = j.groupBy("posting_id", "doc_id").agg(
-        best(88.0, 70).alias("_a"), best(86.0, 72).alias("_j"), F.max(F.coalesce(t, F.lit(""))).alias("_t"), F.count("_r").alias("_n"))
+    value = lambda inside, f: F.when(r == t, F.lit(100.0)).when(near, F.lit(inside)).otherwise(T.similarity(r, t) * f)
+    strings = per_doc.select("_t", "_r").filter("_r is not null").distinct().withColumns({"_va": value(88.0, 70), "_vj": value(86.0, 72)})
+    best = per_doc.join(strings, ["_t", "_r"], "left").groupBy("_t", "doc_id").agg(F.max("_va").alias("_a"), F.max("_vj").alias("_j"), F.count("_r").alias("_n"))
+    agg = asked.join(best, ["_t", "doc_id"])
     none = F.col("_t") == ""
     return agg.select(
         "posting_id", "doc_id",

@@ -15,7 +15,7 @@ from termloom.streaming import streams as ST
 
 
 def revisions(spark, sf):
-    return ST.read_revisions(spark, sf, "events.parquet")
+    return ST.read_table_revisions(spark, sf, "events")
 
 
 @query

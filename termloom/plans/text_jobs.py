@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from termloom.functions import text as T
 from termloom.functions import terms as K
 from termloom.functions import contacts as C
+from termloom import fixed_values as fv
 from termloom.plans import corpus as D
 from termloom.plans.registry import query
 from termloom.sources import readers as R
@@ -25,8 +26,13 @@ def read_docs(spark, sf):
 
 @query
 def triage_files(spark, sf):
-    files = R.triage_files(R.read_binary_files(spark, sf))
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "ext", "length", "code")
+    """Landed files made from the stored pages: a name, a length and the first bytes, of all the shapes that occur."""
+    k = F.col("page_id")
+    name = F.concat(F.lit("in/"), k, F.element_at(F.array(*[F.lit(e) for e in (".pdf", ".docx", ".PDF", ".txt", "")]), (k % 5 + 1).cast("int")))
+    head = F.element_at(F.array(*[F.lit(h) for h in (fv.PDF_MAGIC_HEX, fv.ZIP_MAGIC_HEX, fv.OLE_MAGIC_HEX, "3C21")]), (k % 4 + 1).cast("int"))
+    body = F.when(k % 11 == 0, F.lit("")).when(k % 13 == 0, head).otherwise(F.concat(head, F.hex("html")))
+    files = D.table(spark, sf, "pages").select(name.alias("path"), F.unhex(body).alias("content"))
+    return R.triage_files(files.withColumn("length", F.octet_length("content").cast("long"))).select("path", "ext", _long("length"), "code")
 
 
 @query

@@ -49,8 +49,14 @@ def triage_files(files: DataFrame) -> DataFrame:
     return files.select("path", ext.alias("ext"), size.alias("length"), code.alias("code"))
 
 
-def read_binary_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "length", "content")
+def read_binary_files(spark: SparkSession, path: str, most: int = fv.MAX_FILE_BYTES) -> DataFrame:
+    """path, length and content of landed files; content only up to `most` bytes, so that one huge file fails nothing.
+
+    Listing reads no content: it is pruned from the first side, and the length filter reaches the scan of the second.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    small = files.filter(F.col("length") <= most).select("path", "content")
+    return files.select("path", "length").join(small, "path", "left")
 
 
 def triage_code(text: Column | str, lo: int = fv.MIN_POSTING_CHARS, hi: int = fv.MAX_POSTING_CHARS) -> Column:

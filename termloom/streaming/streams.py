@@ -29,6 +29,15 @@ def read_revisions(spark: SparkSession, folder: str, glob: str = "*.parquet", sc
                     F.from_json("props", "k int")["k"].alias("k"))
 
 
+def read_table_revisions(spark: SparkSession, folder: str, table: str, **more: str) -> DataFrame:
+    """A stored table as a stream, be it one file or a folder of part files."""
+    path = f"{folder}/{table}.parquet"
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(fs_path).isDirectory():
+        return read_revisions(spark, path, **more)
+    return read_revisions(spark, folder, f"{table}.parquet", **more)
+
+
 def unique_revisions(revisions: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """Redelivered revisions out; the watermark bounds the remembered ids."""
     return revisions.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["version_id"])
@@ -64,10 +73,10 @@ def latest(deltas: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, *[F.col(f"r.{c}").alias(c) for c in cols])
 
 
-def stream_versions(revisions: DataFrame, k: int = fv.VERSIONS_KEPT) -> DataFrame:
-    """Newest k versions per document after the stream has been read."""
+def stream_versions(revisions: DataFrame, k: int = fv.VERSIONS_KEPT, root: str | None = None) -> DataFrame:
+    """Newest k versions per document after the stream has been read; a given root is resumed where it stopped."""
     pick = lambda df: top_k(df.select("doc_id", "ts", "version_id"), ["doc_id"], [F.desc("ts"), F.desc("version_id")], k).drop("rank")
-    path = run_deltas(unique_revisions(revisions), pick, "versions")
+    path = run_deltas(unique_revisions(revisions), pick, "versions", root=root)
     return keep_last(revisions.sparkSession.read.parquet(path).drop("batch_id"), k)
 
 
@@ -77,11 +86,11 @@ def stream_activity(revisions: DataFrame, **window: str) -> DataFrame:
     return latest(revisions.sparkSession.read.parquet(path), ["doc_id", "start", "end"])
 
 
-def stream_rescore(revisions: DataFrame, documents: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def stream_rescore(revisions: DataFrame, documents: DataFrame, score: Callable[[DataFrame], DataFrame], root: str | None = None) -> DataFrame:
     """Scores of every revised document; posting terms stay as analysed, only touched documents are matched again."""
     def job(batch: DataFrame) -> DataFrame:
         touched = batch.select("doc_id").distinct()
         return score(documents.join(touched, "doc_id", "left_semi"))
 
-    path = run_deltas(unique_revisions(revisions), job, "rescore")
+    path = run_deltas(unique_revisions(revisions), job, "rescore", root=root)
     return latest(revisions.sparkSession.read.parquet(path), ["posting_id", "doc_id"])

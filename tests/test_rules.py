@@ -87,7 +87,7 @@ def test_word_hits_are_substring_hits(spark):
     docs = spark.createDataFrame([(1, "mysql and sql, stock plans. Planning stock"), (2, "plan")], "doc_id long, text string")
     terms = spark.createDataFrame([("sql",), ("stock plan",), ("plan",)], "term string")
     word = {(r.doc_id, r.term) for r in M.term_hits(docs, terms).collect()}
-    sub = {(r.doc_id, r.term): r.mentions for r in M.term_hits_substring(docs, terms, chunk_bytes=4).collect()}
+    sub = {(r.doc_id, r.term): r.mentions for r in M.term_hits_substring(docs, terms).collect()}
     assert word <= set(sub) and sub[(1, "sql")] == 2 and (1, "stock plan") in word
 
 
@@ -177,3 +177,43 @@ def test_report_is_written(spark, tmp_path):
     N.write_report(N.build_report(scores, comps, finds, m, titles, changes), str(tmp_path / "r"))
     back = spark.read.json(str(tmp_path / "r")).first()
     assert len(back.change_log) == 70 and back.components[0].delta == 10 and back.posting_id == "p"
+
+
+def test_nothing_is_cut(spark):
+    """Long credentials, skills, keywords and lists are found whole."""
+    from termloom.operators import entries as E
+    from termloom.operators import lines as L
+
+    docs = spark.createDataFrame([(1, "Certified in planning and inventory management since 2020"), (2, "one two three four five")], "doc_id long, text string")
+    exp = M.expand_terms(spark.createDataFrame([("cpim",)], "term string"), dims.synonym_dim(spark), dims.credential_dim(spark))
+    variants = exp.select(F.col("variant").alias("term"))
+    ev = M.evidence(exp, M.term_hits(docs, variants), M.term_hits_unordered(docs, variants, dims.STOP_WORDS)).collect()
+    assert [(r.doc_id, r.term, r.status) for r in ev] == [(1, "cpim", "SYNONYM")]
+    five = spark.createDataFrame([("one two three four five",)], "term string")
+    assert M.term_hits(docs, five).count() == 1
+    long = "x" * 100
+    lines = L.annotate_lines(spark.createDataFrame([("d", 0, long + ", sql")], "doc_id string, line_no int, text string"))
+    assert [r.item for r in E.split_skills(lines).collect()] == [long, "sql"]
+    kw = readers.keyword_table(spark.createDataFrame([(1, long)], "k int, raw string"), "k", "raw")
+    assert kw.first().keyword == long
+    c = spark.createDataFrame([("p", f"term{i:03d}", 1, 100 + i, False, False, False) for i in range(120)],
+                              "posting_id string, term string, cnt int, weight_c int, required boolean, preferred boolean, tool boolean")
+    assert P.prioritize_terms(P.weigh_terms(c), P.PostingConfig()).count() == 120
+
+
+def test_any_order_rule_holds_for_every_key(spark):
+    docs = spark.createDataFrame([(1, "a", "planning of stock"), (1, "b", "stock")], "doc_id int, part string, text string")
+    terms = spark.createDataFrame([("stock planning",)], "term string")
+    assert [(r.doc_id, r.part) for r in M.term_hits_unordered(docs, terms, dims.STOP_WORDS, ["doc_id", "part"]).collect()] == [(1, "a")]
+
+
+def test_one_line_copied_very_often(spark):
+    b = spark.range(100_000).select(F.lit(1).alias("doc_id"), F.col("id").alias("bullet_no"), F.lit("the quick brown fox jumps over the dog").alias("text"))
+    b = b.union(spark.createDataFrame([(1, 100_001, "the quick brown fox jumped over the dog")], "doc_id int, bullet_no long, text string"))
+    kept = V.near_dup_bullets(b).filter("not dropped").collect()
+    assert [r.bullet_no for r in kept] == [100_001]
+
+
+@pytest.mark.parametrize("raw,want", [("my my team", "Team."), ("I and our own plan", "And own plan."), ("A apple and an plan", "An apple and a plan."), ("ran it on a daily basis", "Ran it daily.")])
+def test_clean_bullets(spark, raw, want):
+    assert R.clean_bullets(spark.createDataFrame([(1, raw)], "bullet_no int, text string")).first().clean == want
