@@ -76,13 +76,14 @@ def _swap_first(text: Column, source: Column, target: Column) -> Column:
     return F.when(at > 0, swapped).otherwise(text)
 
 
-def align_terms(bullets: DataFrame, allowed: DataFrame, key: str = "doc_id") -> DataFrame:
+def align_terms(bullets: DataFrame, allowed: DataFrame, keys: Sequence[str] = ("doc_id",), on: str = "doc_id") -> DataFrame:
     """Allow-listed posting wording for the first whole-word occurrence of the source phrase.
 
-    ``allowed``: (doc, source, target), a short list per document.
+    ``allowed``: (keys, source, target), a short list per key. With the default key each bullet comes back
+    once; keyed by (posting, doc) a bullet comes back for each posting that has swaps for its document.
     """
-    swaps = allowed.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("source", "target"))).alias("_swaps"))
-    df = bullets.join(swaps, key, "left")
+    swaps = allowed.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("source", "target"))).alias("_swaps"))
+    df = bullets.join(swaps, on, "left" if list(keys) == [on] else "inner")
     none = F.array().cast("array<struct<source:string,target:string>>")
     out = F.aggregate(F.coalesce("_swaps", none), F.col("text"), lambda acc, s: _swap_first(acc, s["source"], s["target"]))
     return df.withColumn("aligned", out).drop("_swaps")
@@ -147,10 +148,32 @@ def draft_summary(roles: DataFrame, matches: DataFrame, k: int = 3) -> DataFrame
     return df.select("posting_id", "doc_id", text.alias("text")).filter(F.length(F.regexp_replace("text", "[^A-Za-z0-9]", "")) >= 25)
 
 
-def change_log(df: DataFrame, keys: Sequence[str], steps: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """One row per step (type, column before, column after) that changed a row."""
+def compose_bullets(bullets: DataFrame, clean_rules: Sequence[tuple[str, str]] = tuple(dims.CLEANUP_RULES)) -> tuple[DataFrame, DataFrame]:
+    """The rewrite of a bullet: stronger verb, then tense, then clean-up, each on what the step before left.
+
+    Returns the bullets with ``upgraded``, ``tensed`` and ``clean`` (the new text) beside the old ``text``,
+    and the advice rows of upgrades that would have claimed more.
+    """
+    rows, advice = upgrade_verbs(bullets)
+    rows = rows.withColumn("_old", F.col("text")).withColumn("text", F.col("upgraded"))
+    rows = normalize_tense(rows).withColumn("text", F.col("tensed"))
+    rows = clean_bullets(rows, clean_rules).withColumn("text", F.col("_old")).drop("_old")
+    return rows, advice
+
+
+COMPOSED_STEPS = (("action-verb", "text", "upgraded"), ("tense", "upgraded", "tensed"), ("grammar", "tensed", "clean"))
+
+
+def change_log(df: DataFrame, keys: Sequence[str], steps: Sequence[tuple[str, str, str]] = COMPOSED_STEPS, advice: DataFrame | None = None) -> DataFrame:
+    """One row per step (type, column before, column after) that changed a row.
+
+    ``advice`` (keys, text, advice) adds one row per upgrade left to the writer: from the text, to the opener it names.
+    """
     rows = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(False).alias("advice"), F.col(a).alias("from"), F.col(b).alias("to")) for t, a, b in steps])
-    return df.select(*keys, F.explode(F.filter(rows, lambda r: r["from"] != r["to"])).alias("c")).select(*keys, "c.*")
+    out = df.select(*keys, F.explode(F.filter(rows, lambda r: r["from"] != r["to"])).alias("c")).select(*keys, "c.*")
+    if advice is None:
+        return out
+    return out.unionByName(advice.select(*keys, F.lit("action-verb").alias("type"), F.lit(True).alias("advice"), F.col("text").alias("from"), F.col("advice").alias("to")))
 
 
 def change_summary(changes: DataFrame) -> DataFrame:

@@ -50,17 +50,19 @@ def normalize_tense(spark, sf):
     return R.normalize_tense(duty_bullets(spark, sf)).select("doc_id", "bullet_no", "tensed")
 
 
+def changes(spark, sf):
+    rows, advice = R.compose_bullets(duty_bullets(spark, sf))
+    return R.change_log(rows, ["doc_id", "bullet_no"], advice=advice)
+
+
 @query
 def change_log(spark, sf):
-    rows, _ = R.upgrade_verbs(duty_bullets(spark, sf))
-    rows = R.clean_bullets(R.normalize_tense(rows))
-    return R.change_log(rows, ["doc_id", "bullet_no"], [("action-verb", "text", "upgraded"), ("tense", "text", "tensed"), ("grammar", "text", "clean")]).select(
-        "doc_id", "bullet_no", "type", "advice", "from", "to")
+    return changes(spark, sf).select("doc_id", "bullet_no", "type", "advice", "from", "to")
 
 
 @query
 def change_summary(spark, sf):
-    return R.change_summary(change_log(spark, sf)).select("type", "advice", _long("n"))
+    return R.change_summary(changes(spark, sf)).select("type", "advice", _long("n"))
 
 
 @query
@@ -80,9 +82,9 @@ def insertable(spark, sf):
 
 @query
 def align_terms(spark, sf):
-    swaps = insertable(spark, sf).filter("can_insert and status = 'SYNONYM'").select("doc_id", F.col("resume_term").alias("source"), F.col("term").alias("target")).distinct()
-    a = R.align_terms(bullets(spark, sf).select("doc_id", "bullet_no", "text"), swaps)
-    return a.filter("aligned <> text").select("doc_id", _long("bullet_no"), "aligned")
+    swaps = insertable(spark, sf).filter("can_insert and status = 'SYNONYM'").select(*PAIR, F.col("resume_term").alias("source"), F.col("term").alias("target"))
+    a = R.align_terms(bullets(spark, sf).select("doc_id", "bullet_no", "text"), swaps, PAIR)
+    return a.filter("aligned <> text").select(*PAIR, _long("bullet_no"), "aligned")
 
 
 @query
