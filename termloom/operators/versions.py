@@ -93,14 +93,23 @@ def guard_verdict(pairs: DataFrame, issues: DataFrame, keys: Sequence[str]) -> D
 
 # --------------------------------------------------------------------- differences
 def word_diff_stats(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Words added and removed per pair, as multisets: linear in the text, sums combine map-side."""
+    """Words added and removed per pair, as multisets, inside the row: the signed words are sorted and folded in one pass."""
     words = lambda c: F.filter(F.split(T.collapse_ws(c), " "), lambda w: w != "")
-    signed = F.concat(F.transform(words("before"), lambda w: F.struct(w.alias("w"), F.lit(-1).alias("d"))),
-                      F.transform(words("after"), lambda w: F.struct(w.alias("w"), F.lit(1).alias("d"))))
-    per = pairs.select(*keys, F.explode(signed).alias("x")).groupBy(*keys, "x.w").agg(F.sum("x.d").alias("d"))
-    stats = per.groupBy(*keys).agg(F.sum(F.greatest("d", F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("removed"))
-    z = lambda c: F.coalesce(c, F.lit(0))
-    return pairs.select(*keys).join(stats, list(keys), "left").select(*keys, z("added").alias("added"), z("removed").alias("removed"))
+    signed = F.concat(F.transform(words(F.coalesce("before", F.lit(""))), lambda w: F.struct(w.alias("w"), F.lit(-1).alias("d"))),
+                      F.transform(words(F.coalesce("after", F.lit(""))), lambda w: F.struct(w.alias("w"), F.lit(1).alias("d"))))
+
+    def closed(acc: Column) -> tuple[Column, Column]:
+        return acc["added"] + F.greatest(acc["s"], F.lit(0)), acc["removed"] + F.greatest(-acc["s"], F.lit(0))
+
+    def step(acc: Column, x: Column) -> Column:
+        same = acc["w"] == x["w"]
+        added, removed = closed(acc)
+        return F.struct(x["w"].alias("w"), F.when(same, acc["s"] + x["d"]).otherwise(x["d"]).alias("s"),
+                        F.when(same, acc["added"]).otherwise(added).alias("added"), F.when(same, acc["removed"]).otherwise(removed).alias("removed"))
+
+    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("s"), F.lit(0).alias("added"), F.lit(0).alias("removed"))
+    folded = F.aggregate(F.array_sort(signed), start, step, lambda acc: F.struct(*[c.alias(n) for c, n in zip(closed(acc), ("added", "removed"))]))
+    return pairs.select(*keys, folded.alias("_d")).select(*keys, "_d.added", "_d.removed")
 
 
 def diff_totals(stats: DataFrame, key: str) -> DataFrame:
