@@ -141,9 +141,11 @@ _v = "case band " + " ".join(f"when '{k}' then {X.lit(v)}" for k, v in VERDICTS.
 sql("job_match_score", f"with {JOB_SC}, b as (select *, {_b} as band from sc) select posting_id, doc_id, score::bigint as score, band, {_v} as verdict from b")
 sql("doc_metrics", f"""with {FEATURES} select doc_id, coalesce(n_bullets, 0)::bigint as n_bullets, coalesce(n_skills, 0)::bigint as n_skills, coalesce(n_sections, 0)::bigint as n_sections,
  (case when coalesce(n_bullets, 0) > 0 then floor(sum_words * 1.0::double / n_bullets + 0.5) else 0 end)::bigint as mean_words, coalesce(n_metric, 0)::bigint as n_metric, doc_words::bigint as n_words from feat""")
-sql("corpus_rollup", f"""with {JOB_SC}, f as (select lang, coalesce(quality::varchar, 'none') as quality, score from sc join documents using (doc_id) left join labels using (doc_id)),
-c as (select lang, quality, grouping(lang, quality) as level, count(*) as n, sum(score) as s from f group by cube (lang, quality))
-select coalesce(lang, 'ALL') as lang, coalesce(quality, 'ALL') as quality, level::bigint as level, n::bigint as n, floor(s * 10000.0::double / n + 0.5) / 10000.0::double as mean_score from c""")
+sql("corpus_rollup", f"""with {JOB_SC}, f as (select posting_id::varchar as posting_id, lang, source, coalesce(quality::varchar, 'none') as quality, score from sc join documents using (doc_id) left join labels using (doc_id)),
+c as (select posting_id, lang, source, quality, grouping(posting_id, lang, source, quality) as level, count(*) as n, sum(score) as s, quantile_cont(score::double, 0.5) as p50, quantile_cont(score::double, 0.9) as p90
+ from f group by cube (posting_id, lang, source, quality))
+select coalesce(posting_id, 'ALL') as posting_id, coalesce(lang, 'ALL') as lang, coalesce(source, 'ALL') as source, coalesce(quality, 'ALL') as quality, level::bigint as level, n::bigint as n,
+ floor(s * 10000.0::double / n + 0.5) / 10000.0::double as mean_score, p50 as median, floor(p90 * 10000.0::double + 0.5) / 10000.0::double as p90 from c""")
 _un = " union all ".join(f"select posting_id, doc_id, {i} as ord, '{n}' as component, {v} as value from wide" for i, (n, v) in enumerate(ATS.items()))
 sql("weakest_component", f"with {WIDE}, u as ({_un}) select posting_id, doc_id, arg_min(component, value * 100 + ord) as component, min(value)::bigint as value from u group by 1, 2")
 sql("top_gaps", f"""with {MATCH}, r as (select posting_id, doc_id, term, row_number() over (partition by posting_id, doc_id order by priority, term) as rank from matches where status = 'MISSING' and priority in ('HIGH', 'MEDIUM'))

@@ -276,9 +276,14 @@ def verdict(band_col: Column) -> Column:
 
 
 def corpus_rollup(scores: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """Mean score and pair count over every combination of the dimensions, with subtotals."""
+    """Pair count, mean, median and 90th percentile over every combination of the dimensions, with subtotals.
+
+    Scores are whole numbers of 0 to 100, so the exact percentiles merge from at most 101 counts per group.
+    """
     names = [F.coalesce(F.col(d).cast("string"), F.lit("none")).alias(d) for d in dims]
     df = scores.select(*names, "score")
-    g = df.cube(*dims).agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("_s"), F.grouping_id().alias("level"))
+    g = df.cube(*dims).agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("_s"), F.percentile("score", F.lit(0.5)).alias("median"),
+                             F.percentile("score", F.lit(0.9)).alias("_p90"), F.grouping_id().alias("level"))
     return g.select(*[F.coalesce(d, F.lit("ALL")).alias(d) for d in dims], "level", "n",
-                    (F.floor(F.col("_s") * 10000.0 / F.col("n") + 0.5) / 10000.0).alias("mean_score"))
+                    (F.floor(F.col("_s") * 10000.0 / F.col("n") + 0.5) / 10000.0).alias("mean_score"),
+                    "median", (F.floor(F.col("_p90") * 10000.0 + 0.5) / 10000.0).alias("p90"))

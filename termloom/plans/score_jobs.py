@@ -176,10 +176,10 @@ def doc_metrics(spark, sf):
 @query
 def corpus_rollup(spark, sf):
     s = S.overall(job(spark, sf), fv.JOB_BANDS, "low")
-    facts = s.join(D.documents(spark, sf).select("doc_id", "lang"), "doc_id").join(
+    facts = s.join(D.documents(spark, sf).select("doc_id", "lang", "source"), "doc_id").join(
         D.table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
-    r = S.corpus_rollup(facts, ["lang", "quality"])
-    return r.select("lang", "quality", _long("level"), _long("n"), "mean_score")
+    r = S.corpus_rollup(facts, ["posting_id", "lang", "source", "quality"])
+    return r.select("posting_id", "lang", "source", "quality", _long("level"), _long("n"), "mean_score", "median", "p90")
 
 
 @query
