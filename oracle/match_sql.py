@@ -97,9 +97,10 @@ sql("can_substitute", f"""with {VOCAB}, vt as (select word as term from vocab),
 p as (select variant as source, term as target from ex union select term, variant from ex),
 rules as (select s as src, t as tgt from syn union select 'thing', 'edth' union select 'thti', 'hation')
 select source, target, source = target or (source, target) in (select src, tgt from rules) as allowed from p""")
-sql("match_summary", f"""with {MATCH} select posting_id, doc_id, count(*)::bigint as targets, count(*) filter (where status <> 'MISSING')::bigint as matched,
+sql("match_summary", f"""with {MATCH}, rules as (select s as src, t as tgt from syn union select 'thing', 'edth' union select 'thti', 'hation') select posting_id, doc_id, count(*)::bigint as targets, count(*) filter (where status <> 'MISSING')::bigint as matched,
  count(*) filter (where status = 'MATCHED')::bigint as literal, count(*) filter (where status = 'SYNONYM')::bigint as via_synonym, count(*) filter (where status = 'MISSING')::bigint as missing,
- floor(count(*) filter (where status <> 'MISSING') * 100.0::double / count(*) + 0.5)::bigint as coverage from matches group by 1, 2""")
+ floor(count(*) filter (where status <> 'MISSING') * 100.0::double / count(*) + 0.5)::bigint as coverage,
+ count(*) filter (where status = 'SYNONYM' and (resume_term = term or (resume_term, term) in (select src, tgt from rules)))::bigint as insertable from matches group by 1, 2""")
 sql("repeated_terms", f"with {TERMS}, {evidence('terms')} select doc_id, term, mentions::bigint as mentions, case when mentions >= 6 then 'high' else 'moderate' end as level from ev where status = 'MATCHED' and mentions >= 3")
 sql("term_demand", f"""with {POOL}, {evidence('pool')}, w as (select term, count(distinct posting_id) as n_postings from pool group by 1), h as (select term, count(*) as n from ev group by 1)
 select term, n_postings::bigint as n_postings, coalesce(n, 0)::bigint as n_docs, ((select count(*) from documents) - coalesce(n, 0))::bigint as n_missing from w left join h using (term)""")

@@ -237,12 +237,21 @@ def can_substitute(pairs: DataFrame, allow: DataFrame, synonyms: DataFrame) -> D
     return df.withColumn("allowed", same | F.coalesce("_ok", F.lit(False))).drop("_src", "_tgt", "_ok")
 
 
+def with_insertable(matches: DataFrame, allow: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """Adds can_insert: the document's wording may be rewritten to the term. Decided once per distinct pair of words."""
+    pairs = matches.filter("status <> 'MISSING'").select(F.col("resume_term").alias("source"), F.col("term").alias("target")).distinct()
+    ok = can_substitute(pairs, allow, synonyms).filter("allowed").select(F.col("source").alias("resume_term"), F.col("target").alias("term"), F.lit(True).alias("_i"))
+    return matches.join(ok, ["resume_term", "term"], "left").withColumn("can_insert", F.coalesce("_i", F.lit(False))).drop("_i")
+
+
 def match_summary(matches: DataFrame) -> DataFrame:
+    """Counts per pair; ``insertable`` counts synonym hits that may be rewritten to the term."""
     n = F.count(F.lit(1))
     hit = F.count_if(F.col("status") != "MISSING")
     return matches.groupBy("posting_id", "doc_id").agg(
         n.alias("targets"), hit.alias("matched"), F.count_if(F.col("status") == "MATCHED").alias("literal"),
-        F.count_if(F.col("status") == "SYNONYM").alias("via_synonym"), (n - hit).alias("missing"), T.pct(hit, n).alias("coverage"))
+        F.count_if(F.col("status") == "SYNONYM").alias("via_synonym"), (n - hit).alias("missing"), T.pct(hit, n).alias("coverage"),
+        F.count_if((F.col("status") == "SYNONYM") & F.col("can_insert")).alias("insertable"))
 
 
 def repeated_terms(matched: DataFrame, moderate: int = 3, high: int = 6) -> DataFrame:

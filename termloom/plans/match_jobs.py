@@ -16,6 +16,9 @@ from termloom.session import write_once
 from termloom.plans.text_jobs import _long, _vocabulary
 
 
+ALLOWED = {"thing": ["edth"], "thti": ["hation"]}  # source -> targets it may be rewritten to
+
+
 def user_keywords(spark, sf):
     kws = F.array(*[F.lit(k) for k in D.USER_KEYWORDS])
     k = D.postings(spark, sf).select("posting_id", F.posexplode(kws).alias("pos", "keyword"))
@@ -83,6 +86,10 @@ def matches(spark, sf):
     return M.match_status(p, ev, M.candidate_pairs(p, ev))
 
 
+def insertable_matches(spark, sf):
+    return M.with_insertable(matches(spark, sf), dims.substitution_dim(spark, ALLOWED), dims.synonym_dim(spark, D.SYNONYMS))
+
+
 @query
 def match_status(spark, sf):
     return matches(spark, sf).select("posting_id", "doc_id", "term", "source", "priority", "status", _long("mentions"), "resume_term")
@@ -117,13 +124,13 @@ def can_substitute(spark, sf):
     v = expanded(spark, _vocabulary(spark, sf).select(F.col("word").alias("term")))
     pairs = v.select(F.col("variant").alias("source"), F.col("term").alias("target")).unionByName(
         v.select(F.col("term").alias("source"), F.col("variant").alias("target"))).distinct()
-    return M.can_substitute(pairs, dims.substitution_dim(spark, {"thing": ["edth"], "thti": ["hation"]}), dims.synonym_dim(spark, D.SYNONYMS))
+    return M.can_substitute(pairs, dims.substitution_dim(spark, ALLOWED), dims.synonym_dim(spark, D.SYNONYMS))
 
 
 @query
 def match_summary(spark, sf):
-    s = M.match_summary(matches(spark, sf))
-    return s.select("posting_id", "doc_id", *[_long(c) for c in ("targets", "matched", "literal", "via_synonym", "missing", "coverage")])
+    s = M.match_summary(insertable_matches(spark, sf))
+    return s.select("posting_id", "doc_id", *[_long(c) for c in ("targets", "matched", "literal", "via_synonym", "missing", "coverage", "insertable")])
 
 
 @query

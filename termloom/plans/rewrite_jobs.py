@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from termloom import dims
 from termloom import fixed_values as fv
 from termloom.functions import text as T
 from termloom.operators import findings as N
@@ -13,7 +12,7 @@ from termloom.operators import rewrite as R
 from termloom.operators import scores as S
 from termloom.operators import windows as W
 from termloom.plans import corpus as D
-from termloom.plans.match_jobs import matches, pool, pool_evidence
+from termloom.plans.match_jobs import insertable_matches, matches, pool, pool_evidence
 from termloom.plans.posting_jobs import terms
 from termloom.plans.registry import query
 from termloom.plans.score_jobs import ats, bullets, job, roles, skills, titles, wide
@@ -71,12 +70,8 @@ def drop_short(spark, sf):
 
 
 def insertable(spark, sf):
-    m = matches(spark, sf)
-    pairs = m.filter("status <> 'MISSING'").select(F.col("resume_term").alias("source"), F.col("term").alias("target")).distinct()
-    ok = M.can_substitute(pairs, dims.substitution_dim(spark, {"thing": ["edth"], "thti": ["hation"]}), dims.synonym_dim(spark, D.SYNONYMS))
-    ok = ok.filter("allowed").select(F.col("source").alias("resume_term"), F.col("target").alias("term"), F.lit(True).alias("_i"))
     rank = terms(spark, sf).select("posting_id", "term", "rank")
-    return m.join(ok, ["resume_term", "term"], "left").withColumn("can_insert", F.coalesce("_i", F.lit(False))).drop("_i").join(
+    return insertable_matches(spark, sf).join(
         rank, ["posting_id", "term"], "left").withColumn("rank", F.coalesce("rank", F.lit(100)))
 
 

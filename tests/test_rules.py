@@ -79,7 +79,8 @@ def test_match_status_synonym_and_credential(spark, jd):
     assert m[(1, "excel")] == ("SYNONYM", "spreadsheets")
     assert m[(1, "certified supply chain professional")][0] == "SYNONYM"
     assert all(s == "MISSING" for (d, _), (s, _) in m.items() if d == 2)
-    for r in M.match_summary(M.match_status(pool, ev, pairs)).collect():
+    for r in M.match_summary(M.with_insertable(M.match_status(pool, ev, pairs), dims.substitution_dim(spark), dims.synonym_dim(spark))).collect():
+        assert r.insertable == (1 if r.doc_id == 1 else 0)  # spreadsheets may become excel
         assert r.literal + r.via_synonym + r.missing == r.targets
 
 
