@@ -92,7 +92,7 @@ def added_skills(spark, sf):
     words = F.filter(F.split(F.lower("after"), "[^a-z]+"), lambda w: w != "")
     skills = t.select(*K, F.explode(F.array_distinct(words)).alias("item"))
     wanted = skills.select(F.col("item").alias("term")).distinct()
-    hits = M.term_hits(t.select(*K, F.col("before").alias("text")), wanted, 1, K)
+    hits = M.term_hits(t.select(*K, F.col("before").alias("text")), wanted, K)
     allowed = t.select(*K, F.lit("the").alias("term"))
     return V.added_skills(skills, hits, allowed, K).select(*K, "term")
 
