@@ -9,6 +9,7 @@ are put together from their code sequences. Neither texts nor code sequences are
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from termloom.llm.common import bucketed
+from termloom.llm.common import bucketed, give_back, pieces
 
 # A space before a white-space character or at the end: only there does a cut before a space depend on what follows.
 ODD_SPACE = regex.compile(r" (?=\s|$)")
@@ -69,8 +70,8 @@ class _Block(dict):
         super().__init__()
         self.find = regex.compile(pattern).findall
         self.words: dict[str, int] = {}
-        self.ends: list[int] = []
-        self.flat: list[int] = []
+        self.ends = array("q")
+        self.flat = array("q")
 
     def __missing__(self, chunk: str) -> int:
         words = self.words
@@ -97,9 +98,9 @@ class _Block(dict):
 
     def code(self, texts: list[str]) -> list[np.ndarray]:
         got = [np.fromiter(map(self.__getitem__, self.chunks(t)), np.int64) if t else np.empty(0, np.int64) for t in texts]
-        ends = np.array(self.ends, np.int64)
+        ends = np.array(self.ends)
         lens = np.diff(ends, prepend=0)
-        flat = np.array(self.flat, np.int64)
+        flat = np.array(self.flat)
         return [gather(flat, ends - lens, lens, g) for g in got]
 
 
@@ -130,9 +131,11 @@ def unpacked(lens: bytes, flat: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
 
 
-def encode(docs: DataFrame, keys: list[str], text: str, ranks: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def encode(docs: DataFrame, keys: list[str], text: str, ranks: str, pattern: str, block_chars: int = BLOCK_CHARS, decoded: str | None = None) -> DataFrame:
     """Encode every whole text. Returns the keys, n_tokens (long) and ids (binary: ids as little-endian unsigned 32-bit).
 
+    With `decoded`, a column of that name has the bytes that the ids decode to, looked up as in decode().
+
     Null and empty texts have no tokens. Repeated rows and null or repeated keys stay rows of their own:
     a row is addressed by its block, never by key. Other columns of docs are not looked at, so clashing
     names do no harm. The cuts of _Block hold for PLAIN_PATTERN; any other pattern is applied to whole texts.
@@ -171,14 +174,14 @@ def encode(docs: DataFrame, keys: list[str], text: str, ranks: str, pattern: str
             yield pa.RecordBatch.from_arrays(
                 [pa.array(block_, pa.int64()), pa.array(bucket_, pa.int32()), pa.nulls(n, pa.binary()), pa.array(places, pa.binary()), pa.array(lens, pa.binary()), pa.array(flat, pa.binary()), *[pa.nulls(n, t) for t in types]], names)
 
-        for b in batches:
+        for b in pieces(batches):
             types = [c.type for c in b.columns[:-1]]
-            texts = b.column(b.num_columns - 1)
-            sizes = np.fromiter((len(t) if t else 0 for t in texts.to_pylist()), np.int64, b.num_rows)
+            texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
+            sizes = np.fromiter(map(len, texts), np.int64, b.num_rows)
             at = 0
             while at < b.num_rows:
                 n = min(b.num_rows - at, max(1, int(np.searchsorted(np.cumsum(sizes[at:]), block_chars - chars, "right"))))
-                some = [t or "" for t in texts.slice(at, n).to_pylist()]
+                some = texts[at : at + n]
                 if simple:
                     codes = block.code(some)
                 else:
@@ -193,6 +196,8 @@ def encode(docs: DataFrame, keys: list[str], text: str, ranks: str, pattern: str
                     next_id, block, chars = next_id + 1, _Block(pattern), 0
         if types:
             yield from dictionary()
+        del block
+        give_back()
 
     coded = src.mapInArrow(to_blocks, f"block long, bucket int, codes binary, places binary, lens binary, words binary, {kinds}")
     waiting = bucketed(coded, "bpe", n_parts, "block")
@@ -232,13 +237,22 @@ def encode(docs: DataFrame, keys: list[str], text: str, ranks: str, pattern: str
             at += len(f)
         flat = np.concatenate([*flat_of, np.empty(0, np.int64)]).astype("<u4")
         ids = [gather(flat, starts, lens, opened(x)) for x in left.column("codes").to_pylist()]
-        return pa.table(
-            [*[left.column(f"k{i}") for i in range(len(keys))], pa.array([len(i) for i in ids], pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())],
-            [*[f"k{i}" for i in range(len(keys))], "n_tokens", "ids"])
+        out = [pa.array([len(i) for i in ids], pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())]
+        if decoded:
+            out.append(pa.array([spelled(ranks, i) for i in ids], pa.binary()))
+        give_back()
+        return pa.table([*[left.column(f"k{i}") for i in range(len(keys))], *out], [*[f"k{i}" for i in range(len(keys))], "n_tokens", "ids", "decoded"][: len(keys) + len(out)])
 
     texts = waiting.where("bucket is null").select("block", "codes", *[f"k{i}" for i in range(len(keys))])
-    out = texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(assemble, f"{kinds}, n_tokens long, ids binary")
-    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "n_tokens", "ids")
+    out = texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(assemble, f"{kinds}, n_tokens long, ids binary" + (", decoded binary" if decoded else ""))
+    more = [F.col("decoded").alias(decoded)] if decoded else []
+    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "n_tokens", "ids", *more)
+
+
+def spelled(ranks: str, ids: np.ndarray) -> bytes:
+    """The bytes of a sequence of ids, from the token-byte table."""
+    flat, starts, lens = token_bytes(ranks)
+    return gather(flat, starts, lens, ids.astype(np.int64)).tobytes()
 
 
 def decode(tokens: DataFrame, ranks: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -251,9 +265,8 @@ def decode(tokens: DataFrame, ranks: str, ids: str = "ids", to: str = "decoded")
         raise ValueError(f"column {to} exists already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, starts, lens = token_bytes(ranks)
-        for b in batches:
-            out = [gather(flat, starts, lens, np.frombuffer(x or b"", "<u4").astype(np.int64)).tobytes() for x in b.column(at).to_pylist()]
+        for b in pieces(batches):
+            out = [spelled(ranks, np.frombuffer(x or b"", "<u4")) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, to])
 
     return tokens.mapInArrow(run, StructType([*tokens.schema.fields, StructField(to, BinaryType())]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -52,6 +54,22 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that a worker holds few texts as Python strings at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def give_back() -> None:
+    """Return freed memory of a reused Python worker to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def grid_cells(df: DataFrame, keys: list[str], member: Column, most: int) -> DataFrame:
     """Deal the members of each key to cells of a triangular grid, so that no task holds a whole hot key.
 
@@ -76,8 +94,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     unfinished labels.
     """
     e = stored(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    seen = None
-    for _ in range(most_rounds):
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+
+    seen = mark(e)  # stars are done after one round
+    for _ in range(most_rounds if seen[0] else 0):
         sym = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         e = stored(sym.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
@@ -85,9 +106,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         joined = e.join(least, "u")
         pairs = joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("p")).select("p.u", "p.v")
         e = stored(pairs.where("u != v").distinct(), "small")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if tuple(now) == seen:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-                e.select(F.col("v"), F.col("v")).distinct())
-        seen = tuple(now)
-    raise RuntimeError("components did not settle")
+        now = mark(e)
+        if now == seen:
+            break
+        seen = now
+    else:
+        if seen[0]:
+            raise RuntimeError("components did not settle")
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())

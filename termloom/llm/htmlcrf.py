@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termloom.llm.common import pieces
+
 # Fixed values of HTML: elements that hold no text to read, have no end, end a block, or are closed by a sibling.
 UNREAD = frozenset("script style noscript template iframe object svg math canvas select textarea head title".split())
 RAW = frozenset("script style title textarea iframe noscript".split())
@@ -370,7 +372,7 @@ def extract(pages: DataFrame, html: str = "html", carry: list[str] | None = None
     src = pages.select(F.col(html).cast("string").alias("html"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             out = [main_text(p, field) for p in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(out, pa.string())], [*[f"c{i}" for i in range(b.num_columns - 1)], "out"])
 

@@ -21,7 +21,7 @@ WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 LEVEL_BITS = 12
 LEVELS = 3
-FILLS = 2
+MOVES = 3
 
 
 def word_count(text: str) -> Column:
@@ -102,11 +102,11 @@ def _prefix(level: int) -> Column:
 
 
 def plan(sizes: DataFrame, groups: DataFrame, cap: int = MOST_COPIES) -> DataFrame:
-    """Per group: floor (copies of every row), cut (rows with a hash prefix below get one more) and fills (hashes that get one more).
+    """Per group: floor (copies of every row), cut (rows with a hash prefix below get one more), more and less (hashes that get one more or less).
 
     sizes: group, size, h; groups: group, total, target, rate. The cut is found level by level from sums
-    per hash bucket (2 ** 12 a level, 36 bits in all), so no task orders the rows of a source. Then the row
-    that brings the rest nearest to 0 is added, twice.
+    per hash bucket (2 ** 12 a level, 36 bits in all), so no task orders the rows of a source. Then, MOVES
+    times, the row whose copy more or less brings the rest nearest to 0 is changed.
     """
     low = F.least(F.floor(F.col("rate") + 1e-9).cast("long"), F.lit(cap).cast("long"))
     x = groups.withColumn("floor", low).withColumn("need", F.when(F.col("floor") >= cap, F.lit(0).cast("long")).otherwise(F.greatest(F.round(F.col("target")).cast("long") - F.col("floor") * F.col("total"), F.lit(0).cast("long"))))
@@ -122,17 +122,28 @@ def plan(sizes: DataFrame, groups: DataFrame, cap: int = MOST_COPIES) -> DataFra
         x = stored(x.join(hit, "group", "left").withColumns({"at": F.coalesce("s.bucket", F.when(F.col("left") > 0, end).otherwise(first)), "left": F.when(F.col("s").isNull(), F.when(F.col("left") > 0, F.lit(0).cast("long")).otherwise(F.col("left"))).otherwise(F.col("left") - F.col("s.before"))}).drop("s"), "plan")
     x = x.withColumnRenamed("at", "cut").drop("left")
     taken = sizes.join(x.select("group", "cut"), "group").where(_prefix(LEVELS) < F.col("cut")).groupBy("group").agg(F.sum("size").alias("got"))
-    x = stored(x.join(taken, "group", "left").withColumns({"rest": F.col("need") - F.coalesce("got", F.lit(0)), "fills": F.array().cast("array<bigint>")}).drop("got", "need"), "plan")
-    for _ in range(FILLS):
-        y = sizes.join(x.where("rest > 0").select("group", "cut", "rest", "fills"), "group").where((_prefix(LEVELS) >= F.col("cut")) & ~F.array_contains("fills", F.col("h")) & (F.abs(F.col("rest") - F.col("size")) < F.col("rest")))
-        best = y.groupBy("group").agg(F.min(F.struct(F.abs(F.col("rest") - F.col("size")).alias("off"), F.col("h"), F.col("size"))).alias("b"))
-        x = stored(x.join(best, "group", "left").withColumns({"fills": F.when(F.col("b").isNull(), F.col("fills")).otherwise(F.concat("fills", F.array("b.h"))), "rest": F.col("rest") - F.coalesce("b.size", F.lit(0))}).drop("b"), "plan")
+    none = F.array().cast("array<bigint>")
+    x = stored(x.join(taken, "group", "left").withColumns({"rest": F.col("need") - F.coalesce("got", F.lit(0)), "more": none, "less": none}).drop("got", "need"), "plan")
+    for _ in range(MOVES):
+        y = sizes.join(x.select("group", "floor", "cut", "rest", "more", "less"), "group")
+        y = y.where((F.col("rest") != 0) & (F.col("size") > 0) & ~F.array_contains("more", F.col("h")) & ~F.array_contains("less", F.col("h")))
+        up = F.when(copies() < cap, F.abs(F.col("rest") - F.col("size")))
+        down = F.when(copies() > 0, F.abs(F.col("rest") + F.col("size")))
+        y = y.withColumns({"off": F.least(up, down), "up": F.coalesce(up <= F.coalesce(down, up), F.lit(False))}).where(F.col("off") < F.abs("rest"))
+        best = y.groupBy("group").agg(F.min(F.struct("off", "h", "up", "size")).alias("b"))
+        moved = x.join(best, "group", "left")
+        one = F.array("b.h")
+        x = stored(moved.withColumns({
+            "more": F.when(F.col("b.up"), F.concat("more", one)).otherwise(F.col("more")),
+            "less": F.when(~F.col("b.up"), F.concat("less", one)).otherwise(F.col("less")),
+            "rest": F.col("rest") - F.coalesce(F.when(F.col("b.up"), F.col("b.size")).otherwise(-F.col("b.size")), F.lit(0))}).drop("b"), "plan")
     return x
 
 
 def copies() -> Column:
-    """Copies of a row with h, floor, cut and fills."""
-    return (F.col("floor") + ((_prefix(LEVELS) < F.col("cut")) | F.array_contains("fills", F.col("h"))).cast("long")).cast("long")
+    """Copies of a row with h, floor, cut, more and less."""
+    below, more, less = (c.cast("long") for c in (_prefix(LEVELS) < F.col("cut"), F.array_contains("more", F.col("h")), F.array_contains("less", F.col("h"))))
+    return F.col("floor") + below + more - less
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, cap: int = MOST_COPIES) -> tuple[DataFrame, DataFrame]:

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from termloom.llm.common import give_back, pieces
+
 TRAIN_MOST = 20_000
 TREES = 80
 DEPTH = 4
@@ -165,11 +167,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     The bound only limits what is learned from. Null labels teach nothing; several labels of one key all count.
     """
     known = labels.where(F.col(label).isNotNull() & ~held_out(key)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
-    sample = known.orderBy(F.xxhash64("key"), "key", "label").limit(most)
+    n = known.count()
+    if n > most:  # thin out before sorting, so that no task gets `most` rows from each other one
+        known = known.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(1.1 * most / n * (1 << 20)) + 1)
+    sample = known.orderBy(F.pmod(F.xxhash64("key"), F.lit(1 << 20)), "key", "label").limit(most)
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "key").select("label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             x = [features(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
 
@@ -189,11 +194,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", carry: list[str] |
     src = docs.select(F.col(text).cast("string").alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             x = np.array([features(t) for t in b.column(0).to_pylist()], np.float64).reshape(-1, len(FEATURES))
             s = model.scores(x)
             out = pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s)], [*[f"c{i}" for i in range(b.num_columns - 1)], to])
             yield out if least is None else out.filter(pa.array(s >= least))
+        give_back()
 
     schema = StructType([*src.schema.fields[1:], StructField(to, DoubleType())])
     return src.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], to)

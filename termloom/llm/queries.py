@@ -22,7 +22,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from termloom.llm.mixing import copies, mix
 
     sizes, plan = mix(table(spark, sf_dir, "documents"))
-    rows = sizes.select("key", "group", "size", "h").join(plan.select("group", "total", "target", "floor", "cut", "fills"), "group")
+    rows = sizes.select("key", "group", "size", "h").join(plan.select("group", "total", "target", "floor", "cut", "more", "less"), "group")
     return rows.select(F.col("key").alias("doc_id"), "size", F.col("total").alias("source_size"), "target", (copies() * F.col("size")).alias("taken"))
 
 
@@ -61,11 +61,11 @@ def op5_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from termloom.llm.bpe import decode, encode
+    from termloom.llm.bpe import encode
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    tokens = encode(table(spark, sf_dir, "documents"), ["doc_id"], "text", ranks, public_tokenizers.PATTERN)
-    return decode(tokens, ranks).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    tokens = encode(table(spark, sf_dir, "documents"), ["doc_id"], "text", ranks, public_tokenizers.PATTERN, decoded="decoded")
+    return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query

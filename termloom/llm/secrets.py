@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from termloom.llm.common import stored
+from termloom.llm.common import give_back, pieces, stored
 
 
 class Rule(NamedTuple):
@@ -153,18 +153,19 @@ def postings(texts: DataFrame, grams: list[str]) -> DataFrame:
             row, gram = np.divmod(pair, len(codes) + 1)
             return pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.int64)[row]), pa.array(names[gram - 1], pa.string())], ["key", "gram"])
 
-        for b in batches:
+        for b in pieces(batches):
             some, keys, size = [], [], 0
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if text and len(text) > 2:
                     some.append(text.encode().lower())
                     keys.append(key)
                     size += len(some[-1])
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield of(some, keys)
                     some, keys, size = [], [], 0
             if some:
                 yield of(some, keys)
+        give_back()
 
     return texts.mapInArrow(run, "key long, gram string")
 
@@ -222,7 +223,7 @@ def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None, ru
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finders = [(i, r, q is ANY, re.compile(r.pattern, re.ASCII | (re.IGNORECASE if r.any_case else 0)).finditer) for i, (r, q) in enumerate(zip(rules, queries, strict=True))]
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for b in batches:
+        for b in pieces(batches):
             maybe = in_bloom(filter_, bits, b.column(0).to_numpy()) if filter_ is not None else np.zeros(b.num_rows, bool)
             out = []
             for t, cand in zip(b.column(1).to_pylist(), maybe.tolist(), strict=True):
@@ -234,6 +235,7 @@ def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None, ru
                     got.sort()
                 out.append([{"kind": rules[i].kind, "start": s, "end": e} for s, i, e in got])
             yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(out, kind)], [*[f"c{i}" for i in range(b.num_columns - 2)], to])
+        give_back()
 
     src = docs.select(key.alias("key"), F.col(text).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
     span = StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())])

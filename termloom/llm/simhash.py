@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import components, grid_cells, stored
+from termloom.llm.common import components, give_back, grid_cells, pieces, stored
 
 TREE_MOST = 20_000
 SEED = 42
@@ -49,9 +49,10 @@ def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = 4) -> Data
     """(key, fp) per row, fp being the fingerprint's bits as a signed long. Null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["key", "fp"])
+        give_back()
 
     src = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     return src.mapInArrow(run, f"key {src.schema['key'].dataType.simpleString()}, fp long")

@@ -111,7 +111,9 @@ def test_bpe_round_trip(spark, block_chars):
     path = P.path("byte_bpe_50k.tiktoken")
     docs = odd_docs(spark).where("n_chars is null or doc_id is null or doc_id < 10 or doc_id > 10")
     rows = docs.collect()
-    got = decode(encode(docs, ["doc_id", "source"], "text", path, P.PATTERN, block_chars), path).collect()
+    both = decode(encode(docs, ["doc_id", "source"], "text", path, P.PATTERN, block_chars, decoded="at_once"), path)
+    assert both.where("at_once <> decoded").count() == 0
+    got = both.drop("at_once").collect()
     enc = encoder(path, P.PATTERN)
     want = [(r.doc_id, r.source, len(i := enc.encode_ordinary(r.text or "")), bytes(struct.pack(f"<{len(i)}I", *i)), bytes((r.text or "").encode())) for r in rows]
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
