@@ -37,7 +37,9 @@ def train_dictionary(pages: DataFrame, payload: str, size: int = 32_768, sample:
 
     The bounds only limit what the compressor learns from; every record is written and read whole.
     """
-    rows = pages.select(F.substring(payload, 1, most).alias("p"), F.xxhash64(payload).alias("h")).where("p != ''").orderBy("h").limit(sample).collect()
+    hashed = pages.where(F.col(payload) != "").select(F.substring(payload, 1, most).alias("p"), F.xxhash64(payload).alias("h"))
+    least = [r.h for r in hashed.select("h").orderBy("h").limit(sample).collect()]  # numbers first: payloads of all tasks would not fit the driver
+    rows = hashed.where(F.col("h").isin(least)).groupBy("h").agg(F.min("p").alias("p")).orderBy("h").collect() if least else []
     try:
         return zstandard.train_dictionary(size, [r.p.encode() for r in rows]).as_bytes()
     except zstandard.ZstdError:
