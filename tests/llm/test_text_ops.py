@@ -278,3 +278,37 @@ def test_digest_queries_on_a_folder(spark, tmp_path):
         line = ",".join(f"{k}:{a}:{b}" for k, a, b in s)
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[0] == k for x in s) for k in ("assign", "access", "hex"))
         assert r.spans == line and r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+
+
+def test_near_duplicate_stage_against_brute_force(spark):
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(5)
+    texts = []
+    for b in range(40):  # near copies with up to a tenth of the shingles changed, and some below the limit
+        base = [f"w{int(x)}" for x in rng.integers(0, 5_000, 300)]
+        texts.append(base)
+        for changed in (1, 2, 4, 6, 12):
+            near = list(base)
+            for at in rng.choice(300, changed, replace=False):
+                near[at] = f"new{b}x{at}x{changed}"
+            texts.append(near)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, c = group[i], group[j]
+                group = [min(a, c) if g in (a, c) else g for g in group]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "a", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in cp.near_duplicates(spark, docs, "").collect()}
+    want = set(group)
+    assert want <= kept and len(kept - want) <= 0.1 * (len(texts) - len(want))
+
+
+def test_candidates_cross_cells_of_a_hot_block(spark):
+    from termloom.llm.similar import SEEDS, candidates
+
+    nodes = spark.createDataFrame([(n, [n % 2] * SEEDS, n) for n in range(60)], "node long, fps array<long>, part long")
+    got = {(r.a, r.b) for r in candidates(nodes, False, most=16).collect()}
+    assert got == {(a, b) for b in range(60) for a in range(b)}
