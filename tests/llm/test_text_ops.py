@@ -312,3 +312,13 @@ def test_candidates_cross_cells_of_a_hot_block(spark):
     nodes = spark.createDataFrame([(n, [n % 2] * SEEDS, n) for n in range(60)], "node long, fps array<long>, part long")
     got = {(r.a, r.b) for r in candidates(nodes, False, most=16).collect()}
     assert got == {(a, b) for b in range(60) for a in range(b)}
+
+
+def test_rows_of_one_doc_id_with_other_texts_stay(spark):
+    import corpus_pipeline as cp
+
+    one, two, three = (" ".join(f"{w}{i}" for i in range(80)) for w in "abc")
+    rows = [(1, one), (2, one), (2, two), (2, three), (2, three), (3, two), (None, three), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, one), (2, two), (2, three), (None, None)], key=str)
