@@ -34,6 +34,8 @@ SCOPE = frozenset("ul ol dl table tbody thead tfoot div section article aside na
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+QUOTED = re.compile(r"""=\s*(?:"[^"]*"?|'[^']*'?)""")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s/=]|$)", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACES = re.compile(r"\s+")
 MARKS = frozenset(["class", "id", "role"])
@@ -143,7 +145,7 @@ def leaf_blocks(page: str) -> list[Block]:
                     hidden = True
                 elif name == "aria-hidden" and "true" in value.lower():
                     hidden = True
-            hidden = hidden or bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", m[3]))
+            hidden = hidden or bool(HIDDEN.search(QUOTED.sub("=''", m[3])))
         if tag not in INLINE:
             block = None
         if tag in RAW:  # its content is no markup
