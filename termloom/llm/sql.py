@@ -55,3 +55,29 @@ WITH RECURSIVE e AS (
 SELECT m.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, m.vec_id = c.component_id AS kept
 FROM embeddings m JOIN c ON c.node = m.vec_id LEFT JOIN n ON n.a = m.vec_id
 """
+
+
+def _clusters(rounds: int = 10, k: int = 8, dims: int = 64, seed: int = 3) -> str:
+    """Rounds of assignment and exact floor division, one pair of tables per round."""
+    near = """d{r} AS MATERIALIZED (SELECT n, c, d FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY d, c) AS o FROM (
+  SELECT x.n, m.c, sum((x.x - m.x) * (x.x - m.x)) AS d FROM x JOIN c{r} m USING (i) GROUP BY x.n, m.c)) WHERE o = 1)"""
+    move = """s{r} AS (SELECT d.c, x.i, CAST(sum(x.x) AS BIGINT) AS s, count(*) AS n FROM d{r} d JOIN x USING (n) GROUP BY d.c, x.i), c{next} AS MATERIALIZED (
+  SELECT m.c, m.i, CASE WHEN s.n IS NULL THEN m.x ELSE (s.s - ((s.s % s.n + s.n) % s.n)) // s.n END AS x FROM c{r} m LEFT JOIN s{r} s ON s.c = m.c AND s.i = m.i)"""
+    steps = ", ".join(near.format(r=r) + ", " + move.format(r=r, next=r + 1) for r in range(rounds))
+    return f"""
+WITH e AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), x AS MATERIALIZED (SELECT n, unnest(v) AS x, unnest(range({dims})) AS i FROM e
+), c0 AS MATERIALIZED (
+  SELECT o - 1 AS c, unnest(v) AS x, unnest(range({dims})) AS i FROM (SELECT v, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) AS o FROM e) WHERE o <= {k}
+), {steps}, {near.format(r=rounds)}, p AS (
+  SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c
+)
+SELECT e.vec_id, CAST(d.c AS INTEGER) AS cluster, CAST(d.d AS BIGINT) AS distance, CAST(sum(d.d) OVER (PARTITION BY d.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d.d) OVER () AS BIGINT) AS inertia, p.centroid_sha256
+FROM e JOIN d{rounds} d USING (n) JOIN p ON p.c = d.c
+"""
+
+
+SQL["op11_centroids"] = _clusters()
