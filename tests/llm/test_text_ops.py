@@ -309,7 +309,7 @@ def test_near_duplicate_stage_against_brute_force(spark):
 def test_candidates_cross_cells_of_a_hot_block(spark):
     from termloom.llm.similar import SEEDS, candidates
 
-    nodes = spark.createDataFrame([(n, [n % 2] * SEEDS, n) for n in range(60)], "node long, fps array<long>, part long")
+    nodes = spark.createDataFrame([(n, 20, [n % 2] * SEEDS, n) for n in range(60)], "node long, size int, fps array<long>, part long")
     got = {(r.a, r.b) for r in candidates(nodes, False, most=16).collect()}
     assert got == {(a, b) for b in range(60) for a in range(b)}
 
@@ -322,3 +322,38 @@ def test_rows_of_one_doc_id_with_other_texts_stay(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [(r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, "").collect()]
     assert sorted(got, key=str) == sorted([(1, one), (2, two), (2, three), (None, None)], key=str)
+
+
+def test_a_large_group_of_near_copies_costs_rows_not_pairs(spark):
+    from termloom.llm.similar import WIDE, candidates, shingles, similar_groups, sketch
+
+    rng = np.random.default_rng(9)
+    base = [f"w{int(x)}" for x in rng.integers(0, 50_000, 120)]
+    texts = []
+    for n in range(4_000):  # one word changed: alike; four: about 0.5 to each other, 0.7 to the base
+        near = list(base)
+        for at in rng.choice(120, 1 if n % 4 == 0 else 4, replace=False):
+            near[at] = f"new{n}x{at}"
+        texts.append(near)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(8)
+    sets = [shingles([w.encode() for w in t]) for t in texts]
+    wide = [(i, len(h), sketch(h, WIDE).view(np.int64).tolist(), 0 if i % 4 == 0 else i) for i, h in enumerate(sets)]
+    nodes = spark.createDataFrame(wide, "node long, size int, fps array<long>, part long").repartition(8)
+    close, rest = candidates(nodes, True).count(), candidates(nodes, False).count()
+    assert close <= 40 * len(texts) and rest < len(texts) ** 2 / 50
+    got = {r.doc_id: r.component_id for r in similar_groups(docs).collect()}
+    one = {got[i] for i in range(0, 4_000, 4)}
+    assert one == {0}  # all of these are above 0.8 to each other
+    for i in range(1, 400, 4):  # the others link where one of the group is that near
+        near = max(len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) for j in range(4_000) if j != i)
+        assert (got[i] == 0) == (near >= 0.8)
+
+
+def test_similar_groups_of_odd_rows(spark):
+    from termloom.llm.similar import similar_groups
+
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (5, "ONE  two"), (6, "one two three four five six"), (7, "q " * 200_000), (8, "q " * 200_001)]
+    docs = spark.createDataFrame([(*r, 1, "c") for r in rows], "doc_id long, text string, node int, component_id string")
+    got = {r.doc_id: r.component_id for r in similar_groups(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 7}
+    assert similar_groups(docs.limit(0)).count() == 0
