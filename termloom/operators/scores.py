@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from termloom import fixed_values as fv
 from termloom.functions import text as T
 from termloom.operators.windows import top_k
+from termloom.session import write_once
 
 FLAGS = ["w_ats", "w_job", "is_user", "in_dom", "in_req", "in_req_job", "is_high", "is_tech"]
 
@@ -73,6 +74,55 @@ def rank_docs(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
     return top_k(scores, ["posting_id"], [F.desc(score), F.col("doc_id")], k, "rank")
 
 
+def kth_coverage(scored: DataFrame, k: int, held: str, total: str) -> DataFrame:
+    """(posting, floor): the k-th best rounded coverage of the partial sums, 0 where fewer documents have any."""
+    best = top_k(scored.withColumn("_p", T.pct(F.col(held), F.col(total))), ["posting_id"], [F.desc("_p"), F.col("doc_id")], k, "_n")
+    return best.groupBy("posting_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("_p")).otherwise(F.lit(0)).alias("floor"))
+
+
+def hit_lists(flags: DataFrame, ev: DataFrame, weight: str = "w_job") -> DataFrame:
+    """(posting, term, w, total, rest, seen): terms of a posting from rare to frequent.
+
+    rest is the weight of the term and of all more frequent ones that occur, seen the documents of it and of all rarer ones.
+    """
+    wanted = flags.filter(F.col(weight) > 0).select("posting_id", "term", F.col(weight).alias("w"))
+    total = wanted.groupBy("posting_id").agg(F.sum("w").alias("total"))
+    lists = wanted.join(ev.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
+    w = Window.partitionBy("posting_id").orderBy("df", "term")  # the terms of one posting
+    behind = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    rows = lists.withColumns({"rest": F.sum("w").over(behind), "seen": F.sum("df").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    return rows.join(total, "posting_id")
+
+
+def top_candidates(lists: DataFrame, ev: DataFrame, k: int, probe: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(candidates, open lists): documents that can be among the k best of a posting, and the terms still to be looked up for them.
+
+    A threshold algorithm over lists ordered from rare to frequent. The rarest lists, up to about ``probe`` times k documents, give a
+    floor that the k-th best reaches at least. Lists that together cannot lift an unseen document to the floor are not
+    read: they are only looked up for documents whose sum plus all of them reaches it. ``probe`` changes the work, never the rows.
+    """
+    docs = ev.select("doc_id", "term")
+    summed = lambda df: df.groupBy("posting_id", "doc_id", "total").agg(F.sum("w").alias("held"))
+    rare = lists.filter(F.col("seen") - F.col("df") < k * probe)
+    first = kth_coverage(summed(rare.join(docs, "term")), k, "held", "total")
+    split = write_once(lists.join(first, "posting_id", "left").withColumn("read", T.pct(F.col("rest"), F.col("total")) >= F.coalesce("floor", F.lit(0))), "hit_lists")
+    unread = split.filter("not read")
+    most = unread.groupBy("posting_id").agg(F.max("rest").alias("most"))
+    held = write_once(summed(split.filter("read").join(docs, "term")), "held")
+    floor = kth_coverage(held, k, "held", "total")
+    can = held.join(most, "posting_id", "left").join(floor, "posting_id").filter(T.pct(F.col("held") + F.coalesce("most", F.lit(0)), F.col("total")) >= F.col("floor"))
+    return can.select("posting_id", "doc_id", "total", "held"), unread.select("posting_id", "term", "w")
+
+
+def top_docs(flags: DataFrame, ev: DataFrame, k: int, weight: str = "w_job", probe: int = 20) -> DataFrame:
+    """(posting, rank, doc, coverage): the k best of ``weighted_coverage``, ties by document id, without scoring every pair."""
+    can, unread = top_candidates(hit_lists(flags, ev, weight), ev, k, probe)
+    more = can.select("posting_id", "doc_id").join(unread, "posting_id").join(ev.select("doc_id", "term"), ["doc_id", "term"])
+    more = more.groupBy("posting_id", "doc_id").agg(F.sum("w").alias("more"))
+    full = can.join(more, ["posting_id", "doc_id"], "left").withColumn("coverage", T.pct(F.col("held") + F.coalesce("more", F.lit(0)), F.col("total")))
+    return rank_docs(full.select("posting_id", "doc_id", "coverage"), k, "coverage")
+
+
 # --------------------------------------------------------------------- wording of the posting
 def duty_words(posting_lines: DataFrame) -> DataFrame:
     """Words longer than five characters of the responsibility lines, with their count."""

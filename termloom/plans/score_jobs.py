@@ -185,8 +185,7 @@ def corpus_rollup(spark, sf):
 @query
 def rank_docs(spark, sf):
     """Top five documents per posting by weighted term coverage."""
-    c = S.weighted_coverage(flags(spark, sf), pool_evidence(spark, sf))
-    return S.rank_docs(c, 5, "coverage").select("posting_id", _long("rank"), "doc_id", F.col("coverage").cast("long").alias("score"))
+    return S.top_docs(flags(spark, sf), pool_evidence(spark, sf), 5).select("posting_id", _long("rank"), "doc_id", F.col("coverage").cast("long").alias("score"))
 
 
 @query
