@@ -330,3 +330,17 @@ def layout_profile(blocks: DataFrame, key: str = "doc_id", order: str = "block_n
         if c in blocks.columns:
             out = out.join(column_mode(blocks, key, c, order), key, "left")
     return out
+
+
+def text_layout(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tables, columns) of plain text: blocks of lines with two or more bars, and the most parts that wide gaps split three lines or more into.
+
+    Worked out inside the row; a null text has neither.
+    """
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n")
+    barred = lambda s: F.length(s) - F.length(F.replace(s, F.lit("|"), F.lit(""))) >= 2
+    rows = docs.select(key, lines.alias("_l"))
+    starts = F.filter("_l", lambda s, i: barred(s) & ((i == 0) | ~F.coalesce(barred(F.get("_l", i - 1)), F.lit(False))))
+    parts = F.transform("_l", lambda s: F.size(F.split(F.trim(s), r" {4,}|\t+")))
+    wide = F.sort_array(F.filter(parts, lambda n: n > 1), asc=False)
+    return rows.select(key, F.size(starts).alias("n_tables"), F.coalesce(F.get(wide, F.lit(2)), F.lit(1)).alias("columns"))

@@ -57,15 +57,28 @@ def posting_totals(flags: DataFrame) -> DataFrame:
     return flags.groupBy("posting_id").agg(*[F.sum(c).alias(f"t_{c}") for c in FLAGS])
 
 
-def pair_hits(flags: DataFrame, ev: DataFrame) -> DataFrame:
-    """Per (posting, doc): the sums of ``posting_totals`` over evidenced terms only."""
-    return flags.join(ev.select("doc_id", "term"), "term").groupBy("posting_id", "doc_id").agg(*[F.sum(c).alias(f"h_{c}") for c in FLAGS])
+def pair_hits(flags: DataFrame, ev: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Per (posting, doc): the sums of ``posting_totals`` over evidenced terms only.
+
+    Without ``pairs`` every pair that shares a term; with them just those, also where nothing is shared.
+    """
+    keys = ["posting_id", "doc_id"]
+    sums = [F.sum(c).alias(f"h_{c}") for c in FLAGS]
+    if pairs is None:
+        return flags.join(ev.select("doc_id", "term"), "term").groupBy(*keys).agg(*sums)
+    hit = pairs.select(*keys).join(ev.select("doc_id", "term"), "doc_id").join(flags, ["posting_id", "term"]).groupBy(*keys).agg(*sums)
+    return pairs.select(*keys).join(hit, keys, "left").fillna(0, [f"h_{c}" for c in FLAGS])
 
 
-def weighted_coverage(flags: DataFrame, ev: DataFrame, weight: str = "w_job") -> DataFrame:
+def weighted_coverage(flags: DataFrame, ev: DataFrame, weight: str = "w_job", pairs: DataFrame | None = None) -> DataFrame:
+    """Share of the posting's weight that a document covers, for every pair that shares a term, or those of ``pairs`` that do."""
     w = flags.filter(F.col(weight) > 0)
     total = w.groupBy("posting_id").agg(F.sum(weight).alias("t"))
-    hit = w.join(ev.select("doc_id", "term"), "term").groupBy("posting_id", "doc_id").agg(F.sum(weight).alias("h"))
+    if pairs is None:
+        met = w.join(ev.select("doc_id", "term"), "term")
+    else:
+        met = pairs.select("posting_id", "doc_id").join(ev.select("doc_id", "term"), "doc_id").join(w, ["posting_id", "term"])
+    hit = met.groupBy("posting_id", "doc_id").agg(F.sum(weight).alias("h"))
     return hit.join(total, "posting_id").select("posting_id", "doc_id", T.pct(F.col("h"), F.col("t")).alias("coverage"))
 
 
@@ -132,9 +145,12 @@ def duty_words(posting_lines: DataFrame) -> DataFrame:
     return x.groupBy("posting_id", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def duty_hits(duties: DataFrame, docs: DataFrame) -> DataFrame:
-    """Duty words a document contains, as a weighted count per pair."""
+def duty_hits(duties: DataFrame, docs: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Duty words a document contains, as a weighted count per pair (of ``pairs``, if given)."""
     words = docs.select("doc_id", F.explode(F.array_distinct(F.flatten(T.word_pieces("text")))).alias("word"))
+    if pairs is not None:
+        asked = pairs.select("posting_id", "doc_id").join(duties, "posting_id")
+        return asked.join(words, ["doc_id", "word"]).groupBy("posting_id", "doc_id").agg(F.sum("n").alias("h_duty"))
     return words.join(duties, "word").groupBy("posting_id", "doc_id").agg(F.sum("n").alias("h_duty"))
 
 

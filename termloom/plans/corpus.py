@@ -47,6 +47,10 @@ COMPANY_WORDS = ["and", "und", "des"]
 PLACES = ["thor", "ment", "heit"]
 WEAK_HEADINGS = ["the", "de", "of", "der"]
 PRIORITY_WEIGHTS = {"HIGH": 3, "MEDIUM": 2, "LOW": 1}
+# rewriting rules that hit the stored text: weak openers, the level of their verbs, leading words with a past form
+OPENERS = [("was", "made", "do"), ("were", "led", "lead"), ("auf", "an", "do")]
+LEVELS = {"made": "do", "led": "do", "an": "do"}
+TENSES = {"the": ("Then", "do"), "and": ("Ander", "do"), "de": ("Der", "do"), "in": ("Inner", "do")}
 USER_KEYWORDS = ["Thing", "ering", "the ent", "Thing", "tionth"]
 
 

@@ -86,8 +86,12 @@ def matches(spark, sf):
     return M.match_status(p, ev, M.candidate_pairs(p, ev))
 
 
+def insertable_of(spark, rows):
+    return M.with_insertable(rows, dims.substitution_dim(spark, ALLOWED), dims.synonym_dim(spark, D.SYNONYMS))
+
+
 def insertable_matches(spark, sf):
-    return M.with_insertable(matches(spark, sf), dims.substitution_dim(spark, ALLOWED), dims.synonym_dim(spark, D.SYNONYMS))
+    return insertable_of(spark, matches(spark, sf))
 
 
 @query

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-MODULES = ("text_jobs", "structure_jobs", "posting_jobs", "match_jobs", "score_jobs", "version_jobs", "rewrite_jobs", "stream_jobs")
+MODULES = ("text_jobs", "structure_jobs", "posting_jobs", "match_jobs", "score_jobs", "version_jobs", "compose_jobs", "rewrite_jobs", "stream_jobs")
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

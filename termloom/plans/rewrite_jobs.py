@@ -6,16 +6,18 @@ from pyspark.sql import functions as F
 
 from termloom import fixed_values as fv
 from termloom.functions import text as T
+from termloom.operators import entries as E
 from termloom.operators import findings as N
-from termloom.operators import match as M
+from termloom.operators import postings as P
 from termloom.operators import rewrite as R
 from termloom.operators import scores as S
 from termloom.operators import windows as W
+from termloom.plans import compose_jobs as CJ
 from termloom.plans import corpus as D
-from termloom.plans.match_jobs import insertable_matches, matches, pool, pool_evidence
-from termloom.plans.posting_jobs import terms
+from termloom.plans.match_jobs import insertable_matches, pool, pool_evidence
+from termloom.plans.posting_jobs import posting_lines, terms
 from termloom.plans.registry import query
-from termloom.plans.score_jobs import ats, bullets, job, roles, skills, titles, wide
+from termloom.plans.score_jobs import ats, bullets, job, present, roles, skills, wide
 from termloom.plans.text_jobs import _long
 
 PAIR = ["posting_id", "doc_id"]
@@ -106,11 +108,15 @@ def promote_skills(spark, sf):
 
 @query
 def draft_summary(spark, sf):
-    r = roles(spark, sf).groupBy("doc_id").agg(F.min("role").alias("role"))
+    r = roles(spark, sf).groupBy("doc_id").agg(F.min_by("role", "line_no").alias("role"))  # the role that stands first
     return R.draft_summary(r, insertable(spark, sf))
 
 
 def feature_row(spark, sf):
+    return D.stored(spark, sf, "finding_features", lambda: built_features(spark, sf))
+
+
+def built_features(spark, sf):
     m = insertable(spark, sf)
     cat = terms(spark, sf).select("posting_id", "term", "category", "required")
     per = m.join(cat, ["posting_id", "term"], "left")
@@ -127,7 +133,13 @@ def feature_row(spark, sf):
     w = wide(spark, sf).withColumn("verb_pct", S.verb_share()).withColumn("readability", S.readability())
     for part in (counts, a, j, weak):
         w = w.join(part, PAIR)
-    return N.complete(w)
+    docs = D.documents(spark, sf).select("doc_id", "text")
+    asked, held = P.cert_mentions(D.postings(spark, sf), D.CREDENTIALS), P.cert_mentions(docs, D.CREDENTIALS, "doc_id")
+    preferred = terms(spark, sf).filter("preferred").select("posting_id", "term")
+    post = N.posting_inputs(P.years_required(D.postings(spark, sf)), asked, preferred, P.industry_mentions(posting_lines(spark, sf), D.INDUSTRIES))
+    own = N.document_inputs(P.years_required(docs, "doc_id"), held, E.text_layout(docs), present(spark, sf))
+    n = CJ.log(spark, sf).filter("not advice").groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_changes"))
+    return N.assemble(w, post, own, asked, held, CJ.verdicts(spark, sf), n)
 
 
 @query
@@ -150,7 +162,6 @@ def top_findings(spark, sf):
 def years_gap(spark, sf):
     """Customers as documents, orders as postings: span of the entries against the years asked."""
     from termloom.plans.score_jobs import customer_entries
-    from termloom.operators import postings as P
 
     o = D.table(spark, sf, "orders").select(F.col("o_orderkey").alias("posting_id"), F.col("o_custkey").alias("doc_id"), F.concat(
         F.lit("At least "), F.col("o_orderkey") % 12, F.lit(" years")).alias("text"))
@@ -161,9 +172,6 @@ def years_gap(spark, sf):
 
 @query
 def write_report(spark, sf):
-    """Nested report rows as JSON text, the form the sink writes."""
-    comps = ats(spark, sf).unionByName(job(spark, sf)).withColumn("before", F.col("value")).withColumn("after", F.col("value")).withColumn("delta", F.lit(0))
-    a = S.overall(ats(spark, sf), fv.ATS_BANDS, "weak").select(*PAIR, F.col("score").alias("ats_score"))
-    scores = S.overall(job(spark, sf), fv.JOB_BANDS, "low").join(a, PAIR)
-    r = N.build_report(scores, comps, N.top_findings(N.swot_findings(feature_row(spark, sf))), matches(spark, sf), titles(spark, sf))
+    """Nested report rows of the rewritten pairs as JSON text, the form the sink writes."""
+    r = CJ.report(spark, sf, N.top_findings(N.swot_findings(feature_row(spark, sf))))
     return r.select(*PAIR, F.to_json(F.struct(*[c for c in r.columns if c not in PAIR])).alias("report"))

@@ -21,6 +21,7 @@ from termloom.plans.structure_jobs import segmented
 from termloom.plans.text_jobs import _long
 
 PAIR = ["posting_id", "doc_id"]
+RANKED = 5  # documents a posting ranks
 
 
 def flags(spark, sf):
@@ -52,7 +53,7 @@ def features(spark, sf):
 def roles(spark, sf):
     """Short lines stand in for held roles."""
     lines = D.document_lines(spark, sf)
-    return lines.filter(F.length("text") <= 40).select("doc_id", F.col("text").alias("role"))
+    return lines.filter(F.length("text") <= 40).select("doc_id", F.col("text").alias("role"), "line_no")
 
 
 def titles(spark, sf):
@@ -70,6 +71,20 @@ def wide(spark, sf):
     return D.stored(spark, sf, "pair_features", build)
 
 
+def ranked_pairs(spark, sf):
+    """The documents each posting ranks: pairs for what is worked out only where someone looks at it."""
+    return D.stored(spark, sf, "ranked_pairs", lambda: S.top_docs(flags(spark, sf), pool_evidence(spark, sf), RANKED).select(*PAIR))
+
+
+def wide_of(spark, sf, pairs, evidence, docs, doc_features):
+    """The wide feature row of given pairs; the tables may hold versions, keyed as documents."""
+    duties = S.duty_words(posting_lines(spark, sf))
+    duty_total = duties.groupBy("posting_id").agg(F.sum("n").alias("t_duty"))
+    t = S.title_alignment(pairs.select(*PAIR), titles(spark, sf), docs.select("doc_id", "source_id").join(roles(spark, sf).withColumnRenamed("doc_id", "source_id"), "source_id"), D.STOPS)
+    hits = S.pair_hits(flags(spark, sf), evidence, pairs)
+    return S.pair_features(hits, S.posting_totals(flags(spark, sf)), duty_total, S.duty_hits(duties, docs, pairs), t, doc_features)
+
+
 def ats(spark, sf):
     return S.components(wide(spark, sf), S.ats_components(), fv.ATS_WEIGHTS, "ats")
 
@@ -185,7 +200,7 @@ def corpus_rollup(spark, sf):
 @query
 def rank_docs(spark, sf):
     """Top five documents per posting by weighted term coverage."""
-    return S.top_docs(flags(spark, sf), pool_evidence(spark, sf), 5).select("posting_id", _long("rank"), "doc_id", F.col("coverage").cast("long").alias("score"))
+    return S.top_docs(flags(spark, sf), pool_evidence(spark, sf), RANKED).select("posting_id", _long("rank"), "doc_id", F.col("coverage").cast("long").alias("score"))
 
 
 @query
