@@ -26,6 +26,7 @@ from termloom.llm.simhash import Forest
 SEEDS = 10
 BLOCK = 16
 RADIUS = 12  # of 64 bits
+CARRIED = 4  # fingerprints that a text takes into a cell in the first round
 WIDE = 64  # fingerprints in the second round
 SHORT = 16  # shingles: sums of few bits tie often, so these texts may differ in more bits
 CELL_MOST = 4_096
@@ -148,12 +149,19 @@ def cell_pairs(c: dict[str, np.ndarray], closest: bool, least: float) -> tuple[n
 
 
 def candidates(nodes: DataFrame, closest: bool, least: float = 0.8, most: int = CELL_MOST) -> DataFrame:
-    """Pairs (a, b) of nodes (node, size, fps, part) of different parts that meet in a block of a fingerprint, each once."""
-    blocks = F.array(*[F.struct(F.lit(i).alias("seed"), F.lit(s).alias("at"), F.shiftrightunsigned(F.element_at("fps", i + 1), s).bitwiseAND(F.lit((1 << BLOCK) - 1)).cast("int").alias("bits")) for i in range(SEEDS) for s in range(0, 64, BLOCK)])
-    x = nodes.select("node", "part", "size", "fps", F.explode(blocks).alias("_b")).select("node", "part", "size", "fps", "_b.*")
-    x = grid_cells(x, ["seed", "at", "bits"], F.xxhash64("node"), most)
+    """Pairs (a, b) of nodes (node, size, fps, part) of different parts that meet in a block of a fingerprint, each once.
+
+    Without a column part every node is its own. The closest candidates are chosen by CARRIED fingerprints, the first being the
+    cell's; for all candidates a node takes all it has.
+    """
+    fp = lambda i: F.element_at("fps", i % SEEDS + 1)
+    own = lambda i: [F.array(*[fp(i + k) for k in range(1, CARRIED)]).alias("fps")] if closest else []
+    blocks = F.array(*[F.struct(F.lit(i * 64 + s).alias("no"), F.shiftrightunsigned(fp(i), s).bitwiseAND(F.lit((1 << BLOCK) - 1)).cast("int").alias("bits"), fp(i).alias("fp"), *own(i)) for i in range(SEEDS) for s in range(0, 64, BLOCK)])
+    part = ["part"] if "part" in nodes.columns else []
+    x = nodes.select("node", *part, "size", "fps", F.explode(blocks).alias("_b")).select("node", *part, "size", "_b.*", *([] if closest else ["fps"]))
+    x = grid_cells(x, ["no", "bits"], F.xxhash64("node"), most)
     meets = F.when(F.col("_i") == F.col("_j"), 1).when(F.col("_c") == F.col("_i"), 0).otherwise(2)
-    x = x.select(F.xxhash64("seed", "at", "bits", "_i", "_j").alias("cell"), F.element_at("fps", F.col("seed") + 1).alias("fp"), "node", "part", "size", "fps", meets.cast("int").alias("meets"))
+    x = x.select(F.xxhash64("no", "bits", "_i", "_j").alias("cell"), "fp", "node", *part, (F.col("size").cast("long") * 4 + meets).alias("tag"), "fps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -164,6 +172,9 @@ def candidates(nodes: DataFrame, closest: bool, least: float = 0.8, most: int =
             c = {name: t.column(name).to_numpy() for name in t.column_names if name != "fps"}
             c["fp"] = c["fp"].view(np.uint64)
             c["fps"] = t.column("fps").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(t.num_rows, -1)
+            if closest:
+                c["fps"] = np.concatenate([c["fp"][:, None], c["fps"]], 1)
+            c |= {"size": c["tag"] >> 2, "meets": c["tag"] & 3, "part": c.get("part", c["node"])}
             pair = np.unique(np.stack(cell_pairs(c, closest, least), 1), axis=0)
             for at in range(0, len(pair), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(pair[at : at + 100_000, k].copy()) for k in (0, 1)], ["a", "b"])
@@ -238,7 +249,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
     rows = stored(sketches(docs, key, text, shingle), "sketches")
     nodes = stored(rows.groupBy("node").agg(F.min("key").alias("rep"), F.first("size").alias("size"), F.first("fps").alias("fps")), "nodes")
     full = nodes.where("fps is not null")
-    close = stored(candidates(full.withColumn("part", F.col("node")), True, least), "close")
+    close = stored(candidates(full, True, least), "close")
     met = full.join(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")  # the others have no candidate at all
     words = stored(spelled(met, docs, key, text), "words")
     first = stored(verified(close, words, shingle, least), "first")
