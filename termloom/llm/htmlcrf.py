@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -32,7 +33,7 @@ CLOSED_BY = {
 }
 SCOPE = frozenset("ul ol dl table tbody thead tfoot div section article aside nav main header footer form body blockquote figure fieldset details td th".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 QUOTED = re.compile(r"""=\s*(?:"[^"]*"?|'[^']*'?)""")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s/=]|$)", re.I)
@@ -57,6 +58,7 @@ def leaf_blocks(page: str) -> list[Block]:
     """The readable leaf blocks of a page in order; null characters and unclosed tags do no harm."""
     blocks: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], bool]] = []  # tag, marks, hidden
+    opened: Counter[str] = Counter()  # tags on the stack
     block: Block | None = None
     unread = links = 0
 
@@ -80,6 +82,7 @@ def leaf_blocks(page: str) -> list[Block]:
         nonlocal block, unread, links
         while stack:
             t, _, hidden = stack.pop()
+            opened[t] -= 1
             unread -= hidden
             links -= t == "a"
             if t not in INLINE:
@@ -106,7 +109,7 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if m[1]:
-            if any(t == tag for t, _, _ in stack):
+            if opened[tag]:
                 close(tag)
             elif tag == "p" or tag == "br":
                 block = None
@@ -120,14 +123,14 @@ def leaf_blocks(page: str) -> list[Block]:
                 block = None
             continue
         ends = CLOSED_BY.get(tag)
-        if ends:
+        if ends and any(opened[t] for t in ends):
             for t, _, _ in reversed(stack):
                 if t in ends:
                     close(t)
                     break
                 if t in SCOPE:
                     break
-        elif tag not in INLINE:
+        elif not ends and tag not in INLINE and opened["p"]:
             for t, _, _ in reversed(stack):  # a block ends an open paragraph and what it holds
                 if t == "p":
                     close("p")
@@ -158,6 +161,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if m[3].rstrip().endswith("/") and tag in ("svg", "math"):
             continue
         stack.append((tag, tuple(marks), hidden))
+        opened[tag] += 1
         unread += hidden
         links += tag == "a"
     return [b for b in blocks if b.text]

@@ -65,6 +65,24 @@ PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>
 <section class="comments"><h3>Comments</h3><div class="comment"><b>joe</b><p>I liked this, a long comment on it all.</p></div></section><footer>&copy; 2020 Site</footer></body></html>"""
 
 
+def test_quotes_count_only_behind_an_equals_sign():
+    from termloom.llm.htmlcrf import leaf_blocks
+
+    page = "<article><p data-x=it's>one two</p><p title='a > b' id=\"q\">three</p><p 'odd>four</p><p a = 'x>y'>five</p><p a=>six</p></article>"
+    assert [b.text for b in leaf_blocks(page)] == ["one two", "three", "four", "five", "six"]
+
+
+def test_many_open_tags_close_in_linear_time():
+    import time
+
+    from termloom.llm.htmlcrf import leaf_blocks
+
+    start = time.time()
+    assert [b.text for b in leaf_blocks("<div>" * 50_000 + "<p>deep</p>" + "</span></div>" * 50_000 + "<p>end</p>")] == ["deep", "end"]
+    assert [b.text for b in leaf_blocks("<b>" * 50_000 + "x" + "</i><li>" * 20_000 + "y")] == ["x", "y"]
+    assert time.time() - start < 20
+
+
 def test_html_main_text(spark):
     from termloom.llm.htmlcrf import extract
 
