@@ -250,7 +250,8 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
     nodes = stored(rows.groupBy("node").agg(F.min("key").alias("rep"), F.first("size").alias("size"), F.first("fps").alias("fps")), "nodes")
     full = nodes.where("fps is not null")
     close = stored(candidates(full, True, least), "close")
-    met = full.join(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")  # the others have no candidate at all
+    # the others have no candidate at all; written, so that Spark knows its size before it moves any text
+    met = stored(full.join(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), "met")
     words = stored(spelled(met, docs, key, text), "words")
     first = stored(verified(close, words, shingle, least), "first")
     parted = met.drop("fps").join(widened(words, shingle), "node").join(components(first), "node", "left").withColumn("part", F.coalesce("component", "node"))
