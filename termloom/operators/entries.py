@@ -15,6 +15,7 @@ from termloom import dims
 from termloom import fixed_values as fv
 from termloom.functions import terms as K
 from termloom.functions import text as T
+from termloom.operators import lines as L
 
 LIST_SPLIT = r"\s*(?:,|;|\||\x{2022}|\x{2023}|\x{25AA}|\n)\s*|\s+/\s+"
 SKILL_LABEL = r"^([^:]{1,33}):\s*(.*)$"
@@ -56,8 +57,7 @@ def entry_boundaries(
     caps = (F.length("text") <= 48) & (F.size(F.split("text", " ")) <= 5) & (F.length(letters) >= 3) & (letters == F.upper(letters))
     df = lines.filter(F.col("is_bullet") | ~(sub | caps))
     if has_font:
-        mid = lines.filter("font_size > 0").groupBy(*keys).agg(F.sort_array(F.collect_list("font_size")).alias("_s"))
-        df = df.join(mid.select(*keys, F.get("_s", F.floor(F.size("_s") / 2).cast("int")).alias("_body")), keys, "left")
+        df = df.join(L.upper_median(lines.filter("font_size > 0"), keys, "font_size", "_body"), keys, "left")
     else:
         df = df.withColumn("_body", F.lit(None).cast("double"))
 
@@ -316,16 +316,20 @@ def column_mode(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
 
 def layout_profile(blocks: DataFrame, key: str = "doc_id", order: str = "block_no") -> DataFrame:
     """Base, heading and name size, most frequent font / alignment / colour, tables and columns."""
-    size = F.when((F.col("font_size") > 4) & (F.col("font_size") < 40), F.struct(F.col(order).alias("o"), F.col("font_size").alias("s")))
-    sizes = blocks.groupBy(key).agg(
-        F.sort_array(F.collect_list(size)).alias("_z"),
+    counts = blocks.groupBy(key).agg(
         F.count_if(F.col("kind") == "table").alias("n_tables"),
         F.max(F.coalesce(F.col("columns"), F.lit(1)) if "columns" in blocks.columns else F.lit(1)).alias("columns"))
-    med = lambda a: F.get(F.array_sort(a), F.floor(F.size(a) / 2).cast("int"))
-    out = sizes.withColumn("_a", F.transform("_z", lambda z: z["s"])).withColumn("base_size", med(F.col("_a")))
-    bigger = lambda f: T.let(F.col("base_size"), lambda m: F.filter("_a", lambda s: s > m * f))
-    out = out.withColumn("heading_size", F.coalesce(med(bigger(1.12)), F.col("base_size") * 1.14))
-    out = out.withColumn("name_size", F.coalesce(F.array_max(bigger(1.45)), F.col("base_size") * 2.1)).drop("_z", "_a")
+    runs = L.running_sizes(blocks.filter((F.col("font_size") > 4) & (F.col("font_size") < 40)), [key], "font_size")
+    w = Window.partitionBy(key)
+    size, n = F.col("font_size"), F.col("n")
+    runs = runs.withColumn("base_size", F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), size)).over(w))
+    big = size > F.col("base_size") * 1.12
+    below = F.sum(F.when(~big, n).otherwise(0)).over(w)  # sizes that are no headings come first in the running sum
+    upper = (F.col("upto") - below) > F.floor((F.col("total") - below) / 2)
+    sizes = runs.withColumn("_upper", upper).groupBy(key, "base_size").agg(
+        F.coalesce(F.min(F.when(big & F.col("_upper"), size)), F.col("base_size") * 1.14).alias("heading_size"),
+        F.coalesce(F.max(F.when(size > F.col("base_size") * 1.45, size)), F.col("base_size") * 2.1).alias("name_size"))
+    out = counts.join(sizes, key, "left")
     for c in ("font", "align", "color"):
         if c in blocks.columns:
             out = out.join(column_mode(blocks, key, c, order), key, "left")

@@ -6,6 +6,8 @@ keyed by document and only ever hold what one stored text held.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +39,21 @@ def normalize_heading(c: Column | str) -> Column:
     return F.lower(T.collapse_ws(F.regexp_replace(T.col(c), r"[:._|*#\x{2022}\x{2013}\x{2014}-]+", " ")))
 
 
-def upper_median(c: Column) -> Column:
-    """s[n/2] of the sorted values: the upper one of the two middle values."""
-    s = F.sort_array(F.collect_list(c))
-    return F.get(s, F.floor(F.size(s) / 2).cast("int"))
+def running_sizes(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, value, n, upto, total): how often each value occurs, with a running sum from the least value; nulls do not count.
+
+    Only the distinct values of a key meet in a task, however many rows have them.
+    """
+    keys = list(keys)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*keys)
+    return counts.withColumns({"upto": F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(w)})
+
+
+def upper_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """(keys, name): the value at n/2 of the sorted ones, the upper one of two middle values; keys without a value have no row."""
+    beyond = F.col("upto") > F.floor(F.col("total") / 2)
+    return running_sizes(df, keys, value).groupBy(*keys).agg(F.min(F.when(beyond, F.col(value))).alias(name))
 
 
 def heading_flag(lines: DataFrame, aliases: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -55,8 +68,7 @@ def heading_flag(lines: DataFrame, aliases: DataFrame, key: str = "doc_id") -> D
     df = df.join(names, "heading_key", "left")
     hit = F.coalesce("_alias", F.lit(False))
     if "font_size" in lines.columns:
-        body = lines.filter(~F.col("is_bullet") & F.col("font_size").isNotNull()).groupBy(key).agg(
-            upper_median(F.col("font_size")).alias("_body"))
+        body = upper_median(lines.filter(~F.col("is_bullet")), [key], "font_size", "_body")
         df = df.join(body, key, "left")
         n = F.length("heading_key")
         hit = hit | F.coalesce((F.col("font_size") >= F.col("_body") * 1.06) & n.between(3, 60), F.lit(False))

@@ -135,40 +135,82 @@ def version_pair(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> Da
 
 
 # --------------------------------------------------------------------- bullets
-def pair_bullets(pairs: DataFrame, keys: Sequence[str], threshold: float = 0.34) -> DataFrame:
-    """Best partner of each bullet between two versions, accepted where it is mutual.
+PAIR_BLOCK = 128  # texts of one side that meet as many of the other in one row
 
-    Expects arrays ``before`` and ``after`` of the bullets of one entry.  They come
-    out of two stored rows, so the comparison stays inside one row and no pair
-    table is built.  Ties go to the lower position.
+
+def _blocks(texts: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """(keys, settled, texts): the distinct texts of an entry in lists of about ``block``, dealt by their hash."""
+    sizes = texts.groupBy(*keys, "settled").agg(F.ceil(F.count(F.lit(1)) / block).alias("_m"))
+    dealt = texts.join(sizes, [*keys, "settled"]).withColumn("_c", F.pmod(F.xxhash64("text"), F.col("_m")))
+    return dealt.groupBy(*keys, "settled", "_c").agg(F.collect_list(F.struct("no", F.trim(F.lower("text")).alias("t"))).alias("texts")).drop("_c")
+
+
+def _block_best(a: DataFrame, b: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(keys, side, no, sim, partner): best partner above the threshold that each text meets in the blocks, ties to the lower one.
+
+    Blocks of two settled lists do not meet. The distance is only worked out up to the largest that is accepted.
     """
-    num = lambda a: F.transform(a, lambda t, i: F.struct(i.alias("no"), t.alias("text"), T.normalize_keyword(t).alias("key")))
-    df = pairs.select(*keys, num(F.col("before")).alias("b"), num(F.col("after")).alias("a"))
-    sim = lambda x, y: F.when(x["key"] == y["key"], F.lit(1.0)).otherwise(T.similarity(x["text"], y["text"]))
-    best = lambda arr, x: F.array_max(F.transform(arr, lambda y: F.struct(sim(y, x).alias("sim"), (-y["no"]).alias("neg"))))
-    df = df.withColumn("ab", F.transform("a", lambda x: best(F.col("b"), x))).withColumn("ba", F.transform("b", lambda x: best(F.col("a"), x)))
-    partner = lambda m: -m["neg"]
-    null_s = F.lit(None).cast("string")
-
-    def to_row(x: Column) -> Column:
-        m = F.get("ab", x["no"])
-        back = F.get("ba", partner(m))
-        ok = F.coalesce((m["sim"] > threshold) & (partner(back) == x["no"]), F.lit(False))
-        frm = F.get("b", partner(m))
-        kind = F.when(~ok, "added").when(frm["text"] == x["text"], "unchanged").otherwise("rewritten")
-        return F.struct(kind.alias("kind"), F.when(ok, frm["no"]).alias("from_no"), x["no"].alias("to_no"),
-                        F.when(ok, frm["text"]).otherwise(null_s).alias("from"), x["text"].alias("to"),
-                        F.when(ok, F.floor(m["sim"] * 100 + 0.5) / 100.0).alias("sim"))
-
-    def lost(x: Column) -> Column:
-        m = F.get("ba", x["no"])
-        back = F.get("ab", partner(m))
-        return ~F.coalesce((m["sim"] > threshold) & (partner(back) == x["no"]), F.lit(False))
-
-    gone = F.transform(F.filter("b", lost), lambda x: F.struct(
-        F.lit("removed").alias("kind"), x["no"].alias("from_no"), F.lit(None).cast("int").alias("to_no"), x["text"].alias("from"),
-        null_s.alias("to"), F.lit(None).cast("double").alias("sim")))
-    return df.select(*keys, F.explode(F.concat(F.transform("a", to_row), gone)).alias("r")).select(*keys, "r.*")
+    met = a.select(*keys, F.col("settled").alias("_sa"), F.col("texts").alias("A")).join(
+        b.select(*keys, F.col("settled").alias("_sb"), F.col("texts").alias("B")), keys).filter("not (_sa and _sb)")
+
+    def sim(x: Column, y: Column) -> Column:
+        longest = F.greatest(F.length(x), F.length(y))
+        most = F.floor(longest * (1 - threshold)).cast("int") + 1
+        s = F.lit(1.0) - F.call_function("levenshtein", x, y, most) / longest
+        ok = (F.least(F.length(x), F.length(y)) > longest * threshold) & (s > threshold) & (s <= 1.0)
+        return F.when(ok, s)
+
+    grid = F.transform("A", lambda x: F.transform("B", lambda y: sim(x["t"], y["t"])))
+    top = lambda s, y: F.when(s.isNotNull(), F.struct(s.alias("sim"), (-y["no"]).alias("neg")))
+    row = lambda side, x, best: F.struct(F.lit(side).alias("side"), x["no"].alias("no"), F.array_max(best).alias("m"))
+    both = T.let(grid, lambda g: F.concat(
+        F.transform("A", lambda x, i: row("a", x, F.zip_with(F.get(g, i), "B", top))),
+        F.transform("B", lambda y, j: row("b", y, F.zip_with(F.transform(g, lambda r: F.get(r, j)), "A", top)))))
+    rows = met.select(*keys, F.explode(both).alias("r")).filter("r.m is not null")
+    best = rows.groupBy(*keys, "r.side", "r.no").agg(F.max("r.m").alias("m"))
+    return best.select(*keys, "side", "no", F.col("m.sim").alias("sim"), (-F.col("m.neg")).alias("partner"))
+
+
+def pair_bullets(pairs: DataFrame, keys: Sequence[str], threshold: float = 0.34, block: int = PAIR_BLOCK) -> DataFrame:
+    """Best partner of each bullet between two versions, accepted where it is mutual; ties go to the lower position.
+
+    Expects arrays ``before`` and ``after`` of the bullets of one entry; ``keys`` name a row of ``pairs``.  Bullets
+    with equal normalised text are settled by an equi-join.  At so low a threshold no gram has to be shared, so the
+    distinct texts of the rest meet the other side in blocks: a row holds two lists of about ``block`` texts and
+    yields the best of each, so an entry of any size spreads over tasks and no pair leaves its row.  A null array is
+    empty; a null bullet and a bullet under a null key pair with nothing.
+    """
+    keys = list(keys)
+
+    def side(c: str) -> DataFrame:
+        rows = pairs.select(*keys, F.posexplode(c).alias("no", "text"))
+        return write_once(rows.withColumn("key", T.normalize_keyword("text")), f"bullets_{c}")
+
+    sides = {"a": side("after"), "b": side("before")}
+    firsts = {s: x.groupBy(*keys, "key").agg(F.min("no").alias("equal_no")) for s, x in sides.items()}
+    held = {s: write_once(sides[s].join(firsts["b" if s == "a" else "a"], [*keys, "key"], "left"), f"settled_{s}") for s in "ab"}
+    texts = {s: x.filter("text is not null").groupBy(*keys, "text").agg(
+        F.min("no").alias("no"), F.first("equal_no").isNotNull().alias("settled")) for s, x in held.items()}
+    best = write_once(_block_best(_blocks(texts["a"], keys, block), _blocks(texts["b"], keys, block), keys, threshold), "block_best")
+
+    def choice(s: str) -> DataFrame:
+        """(keys, own, other, sim) of the bullets of a side that have a best partner."""
+        mine = best.filter(F.col("side") == s).join(texts[s].select(*keys, "no", "text"), [*keys, "no"]).select(*keys, "text", "sim", "partner")
+        free = held[s].filter("equal_no is null").join(mine, [*keys, "text"]).select(*keys, F.col("no").alias("own"), F.col("partner").alias("other"), "sim")
+        return held[s].filter("equal_no is not null").select(*keys, F.col("no").alias("own"), F.col("equal_no").alias("other"), F.lit(1.0).alias("sim")).unionByName(free)
+
+    of_a = choice("a").select(*keys, F.col("own").alias("to_no"), F.col("other").alias("from_no"), "sim")
+    of_b = choice("b").select(*keys, F.col("other").alias("to_no"), F.col("own").alias("from_no"))
+    matched = write_once(of_a.join(of_b, [*keys, "to_no", "from_no"]), "matched")
+    a = sides["a"].select(*keys, F.col("no").alias("to_no"), F.col("text").alias("to"))
+    b = sides["b"].select(*keys, F.col("no").alias("from_no"), F.col("text").alias("from"))
+    kept = a.join(matched.join(b, [*keys, "from_no"]), [*keys, "to_no"], "left")
+    kind = F.when(F.col("from_no").isNull(), "added").when(F.col("from") == F.col("to"), "unchanged").otherwise("rewritten")
+    cols = [*keys, "kind", "from_no", "to_no", "from", "to", "sim"]
+    kept = kept.withColumns({"kind": kind, "sim": F.floor(F.col("sim") * 100 + 0.5) / 100.0}).select(*cols)
+    gone = b.join(matched, [*keys, "from_no"], "left_anti")
+    gone = gone.withColumns({"kind": F.lit("removed"), "to_no": F.lit(None).cast("int"), "to": F.lit(None).cast("string"), "sim": F.lit(None).cast("double")})
+    return kept.unionByName(gone.select(*cols))
 
 
 GRAM = 5
