@@ -73,9 +73,9 @@ select doc_id, term, (case when sum(n) filter (where literal) > 0 then sum(n) fi
 sql("term_hits_unordered", f"with {T0}, {X.grams_cte('documents', 'doc_id', 'text', 1)}, {unordered('documents', 'dt')} select doc_id, term from uh")
 
 
-def evidence(src: str) -> str:
+def evidence(src: str, docs: str = "documents") -> str:
     """CTEs ending in ev(doc_id, term, status, mentions, resume_term)."""
-    return f"""{expand(src)}, vs as (select distinct variant as term from ex), {word_hits('documents', 'doc_id', 'vs')}, {unordered('documents', 'vs')},
+    return f"""{expand(src)}, vs as (select distinct variant as term from ex), {word_hits(docs, 'doc_id', 'vs')}, {unordered(docs, 'vs')},
 ah as (select doc_id, variant, max(mentions) as mentions from (select doc_id, term as variant, mentions from hits union all select doc_id, term, 0 from uh) group by 1, 2),
 ev0 as (select doc_id, term, coalesce(max(mentions) filter (where ord = 0), 0) as lit, arg_min(variant, ord) as fv, arg_min(mentions, ord) as fm from ah join ex using (variant) group by 1, 2),
 ev as (select doc_id, term, case when lit > 0 then 'MATCHED' else 'SYNONYM' end as status, case when lit > 0 then lit else fm end as mentions, case when lit > 0 then term else fv end as resume_term from ev0)"""
