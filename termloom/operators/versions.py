@@ -139,10 +139,10 @@ PAIR_BLOCK = 128  # texts of one side that meet as many of the other in one row
 
 
 def _blocks(texts: DataFrame, keys: list[str], block: int) -> DataFrame:
-    """(keys, settled, texts): the distinct texts of an entry in lists of about ``block``, dealt by their hash."""
+    """(keys, settled, _c, texts): the distinct texts of an entry in lists of about ``block``, dealt by their hash."""
     sizes = texts.groupBy(*keys, "settled").agg(F.ceil(F.count(F.lit(1)) / block).alias("_m"))
     dealt = texts.join(sizes, [*keys, "settled"]).withColumn("_c", F.pmod(F.xxhash64("text"), F.col("_m")))
-    return dealt.groupBy(*keys, "settled", "_c").agg(F.collect_list(F.struct("no", F.trim(F.lower("text")).alias("t"))).alias("texts")).drop("_c")
+    return dealt.groupBy(*keys, "settled", "_c").agg(F.collect_list(F.struct("no", F.trim(F.lower("text")).alias("t"))).alias("texts"))
 
 
 def _block_best(a: DataFrame, b: DataFrame, keys: list[str], threshold: float) -> DataFrame:
@@ -150,8 +150,11 @@ def _block_best(a: DataFrame, b: DataFrame, keys: list[str], threshold: float) -
 
     Blocks of two settled lists do not meet. The distance is only worked out up to the largest that is accepted.
     """
-    met = a.select(*keys, F.col("settled").alias("_sa"), F.col("texts").alias("A")).join(
-        b.select(*keys, F.col("settled").alias("_sb"), F.col("texts").alias("B")), keys).filter("not (_sa and _sb)")
+    met = a.select(*keys, F.col("settled").alias("_sa"), F.col("_c").alias("_ca"), F.col("texts").alias("A")).join(
+        b.select(*keys, F.col("settled").alias("_sb"), F.col("_c").alias("_cb"), F.col("texts").alias("B")), keys).filter("not (_sa and _sb)")
+    # rows are small for the work in them: dealt by a given number, so that no task is put together by bytes
+    n = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.repartition(n, *keys, "_sa", "_ca", "_sb", "_cb")
 
     def sim(x: Column, y: Column) -> Column:
         longest = F.greatest(F.length(x), F.length(y))
