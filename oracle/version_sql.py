@@ -18,7 +18,7 @@ TURNS = "turns as (select a.conv_id, a.turn, a.text as before, b.text as after f
 def numbers(x: str) -> str:
     n, u = (f"regexp_extract_all({x}, {X.lit(V.NUMBER)}, {g})" for g in (1, 2))
     return (f"list_distinct(list_transform(list_zip({n}, {u}), lambda z: {X.rr('z[1]', '[.,]+$', '')} || "
-            f"case when lower(trim(z[2])) in {X.words_in(V.UNITS)} then lower(z[2]) else '' end))")
+            f"case when lower(trim(z[2])) in {X.words_in(fv.NUMBER_UNITS)} then lower(z[2]) else '' end))")
 
 
 def entities(x: str) -> str:

@@ -121,3 +121,15 @@ JOB_WEIGHTS = {
 ATS_BANDS = [(85, "strong"), (70, "good"), (55, "fair")]
 JOB_BANDS = [(85, "excellent"), (70, "strong"), (55, "partial"), (40, "weak")]
 SEVERITY_RANK = {"high": 0, "medium": 1, "low": 2}
+
+# units that belong to a number (fixed values)
+NUMBER_UNITS = ["%", "percent", "x", "times", "k", "m", "bn", "million", "billion", "thousand", "usd", "eur", "gbp", "inr", "aud", "cad", "zar", "sgd"]
+# a named posting title, and a first line that may stand for one (fixed values, lengths included)
+TITLE_NAMED = r"(?i)(?:job title|position|role|title)\s*[:-]\s*([^\n]{2,80})"
+TITLE_LINE = r"^[A-Z].{4,70}$"
+# words that mark a degree and a school (fixed values)
+DEGREE = (
+    r"(?i)(^|[^a-z0-9_])(bachelor|master|ph\.?d|doctorate|diploma|b\.?sc|m\.?sc|b\.?a|m\.?a|b\.?com|b\.?tech|m\.?tech"
+    r"|mba|associate|postgraduate|undergraduate|honou?rs)([^a-z0-9_]|$)"
+)
+SCHOOL = r"(?i)university|college|school|institute|academy|polytechnic"

@@ -20,11 +20,6 @@ from termloom.operators import lines as L
 LIST_SPLIT = r"\s*(?:,|;|\||\x{2022}|\x{2023}|\x{25AA}|\n)\s*|\s+/\s+"
 SKILL_LABEL = r"^([^:]{1,33}):\s*(.*)$"
 YEAR_ONLY = rf"^\s*{fv.YEAR}\s*$"
-DEGREE = (
-    r"(?i)(^|[^a-z0-9_])(bachelor|master|ph\.?d|doctorate|diploma|b\.?sc|m\.?sc|b\.?a|m\.?a|b\.?com|b\.?tech|m\.?tech"
-    r"|mba|associate|postgraduate|undergraduate|honou?rs)([^a-z0-9_]|$)"
-)
-SCHOOL = r"(?i)university|college|school|institute|academy|polytechnic"
 
 
 def split_list(c: Column) -> Column:
@@ -238,8 +233,8 @@ def parse_education(
     x = rows.select(*keys, "line_no", "is_bullet", "_d", F.size("_segs").alias("_n"), F.posexplode_outer("_segs").alias("_i", "_seg"))
     at = F.struct("line_no", "_i")
     head = ~F.col("is_bullet") & F.col("_seg").isNotNull()
-    degree = head & F.col("_seg").rlike(DEGREE)
-    school = head & F.col("_seg").rlike(SCHOOL)
+    degree = head & F.col("_seg").rlike(fv.DEGREE)
+    school = head & F.col("_seg").rlike(fv.SCHOOL)
     other = head & ~degree & ~school & ~K.looks_like_location("_seg", places)
     pick = lambda cond: F.min_by(F.when(cond, F.col("_seg")), F.when(cond, at))
     agg = x.groupBy(*keys).agg(

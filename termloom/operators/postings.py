@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom import dims
@@ -15,6 +15,7 @@ from termloom.functions import text as T
 from termloom.operators.windows import sticky_mode, top_k
 
 GAP = "\x01"
+Phrases = Sequence[str] | dict[str, str] | DataFrame  # phrases, phrase to label, or a table (phrase, label)
 
 
 @dataclass(frozen=True)
@@ -75,10 +76,9 @@ def posting_excerpts(posting_lines: DataFrame, limits: dict[str, int], key: str
 def posting_title(text: Column | str) -> Column:
     """``title: X``, else the first capitalised line; a trailing place or work model is cut."""
     t = T.col(text)
-    named = r"(?i)(?:job title|position|role|title)\s*[:-]\s*([^\n]{2,80})"
     lines = F.transform(F.split(t, "\n"), lambda x: F.regexp_replace(x, f"^{fv.WS}+|{fv.WS}+$", ""))
-    first = F.get(F.filter(lines, lambda x: x.rlike("^[A-Z].{4,70}$")), F.lit(0))
-    raw = F.coalesce(F.nullif(F.regexp_extract(t, named, 1), F.lit("")), first, F.lit(""))
+    first = F.get(F.filter(lines, lambda x: x.rlike(fv.TITLE_LINE)), F.lit(0))
+    raw = F.coalesce(F.nullif(F.regexp_extract(t, fv.TITLE_NAMED, 1), F.lit("")), first, F.lit(""))
     head = F.get(F.split(raw, r"\s+[-\x{2013}\x{2014}|]\s+|\s*[-(]"), F.lit(0))
     return F.trim(F.regexp_replace(T.collapse_ws(head), "[.,;]$", ""))
 
@@ -179,29 +179,43 @@ def padded(c: Column | str) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(T.col(c)), "[^a-z0-9+#/&-]+", " ")), F.lit(" "))
 
 
-def phrase_hits(c: Column | str, phrases: Sequence[str]) -> Column:
-    """Array of the phrases (a short argument list) the text contains as whole words."""
-    known = F.array(*[F.lit(p) for p in phrases])
-    return T.let(padded(c), lambda hay: F.filter(known, lambda p: hay.contains(F.concat(F.lit(" "), p, F.lit(" ")))))
+def phrase_table(spark: SparkSession, phrases: Phrases) -> DataFrame:
+    """(phrase, label) of a dictionary: a short list or mapping inline, or a table of any size as it is."""
+    if isinstance(phrases, DataFrame):
+        return phrases.select("phrase", "label").distinct()
+    pairs = phrases.items() if isinstance(phrases, dict) else [(p, p) for p in phrases]
+    return dims.small_table(spark, list(pairs), "phrase string, label string").distinct()
 
 
-def cert_mentions(postings: DataFrame, credentials: dict[str, str], key: str = "posting_id") -> DataFrame:
-    """Known credentials by acronym (reported by full name), and ``XYZ certified``."""
-    names = F.create_map(*[F.lit(x) for kv in credentials.items() for x in kv])
-    known = F.transform(phrase_hits("text", list(credentials)), lambda a: names[a])
+def phrase_mentions(rows: DataFrame, phrases: Phrases, keys: Sequence[str], text: str = "text") -> DataFrame:
+    """Distinct (keys, label) of the phrases that stand in the text as whole words.
+
+    Grams of the lengths that occur in the dictionary meet it by equality, so its size is no part of the plan:
+    Spark broadcasts it while it is small and shuffles grams by phrase beyond that.  A null text mentions nothing.
+    """
+    table = phrase_table(rows.sparkSession, phrases)
+    lengths = sorted(r["n"] for r in table.select(F.size(F.split("phrase", " ")).alias("n")).distinct().collect()) or [1]
+    words = F.filter(F.split(F.trim(padded(text)), " "), lambda w: w != "")
+    grams = T.let(words, lambda ws: F.array_distinct(T.grams_of(ws, max(lengths), lengths)))
+    return rows.select(*keys, F.explode(grams).alias("phrase")).join(table, "phrase").select(*keys, "label").distinct()
+
+
+def cert_mentions(postings: DataFrame, credentials: Phrases, key: str = "posting_id") -> DataFrame:
+    """Known credentials by acronym (reported by full name), and ``XYZ certified``; each once per key."""
     explicit = F.transform(
         F.regexp_extract_all(F.col("text"), F.lit(r"(?:^|[^A-Za-z0-9_])([A-Z]{2,6}\s+(?:certification|certified))"), 1), F.lower)
-    return postings.select(key, F.explode(F.array_distinct(F.concat(known, explicit))).alias("term"))
+    known = phrase_mentions(postings, credentials, [key]).withColumnRenamed("label", "term")
+    return known.unionByName(postings.select(key, F.explode(explicit).alias("term"))).distinct()
 
 
-def soft_skill_mentions(posting_lines: DataFrame, soft: Sequence[str], key: str = "posting_id") -> DataFrame:
-    return posting_lines.select(key, F.explode(phrase_hits("text", soft)).alias("term")).distinct()
+def soft_skill_mentions(posting_lines: DataFrame, soft: Phrases, key: str = "posting_id") -> DataFrame:
+    return phrase_mentions(posting_lines, soft, [key]).withColumnRenamed("label", "term")
 
 
-def industry_mentions(posting_lines: DataFrame, industries: Sequence[str], key: str = "posting_id") -> DataFrame:
+def industry_mentions(posting_lines: DataFrame, industries: Phrases, key: str = "posting_id") -> DataFrame:
     kept = posting_lines.filter(F.col("bucket").isin("required", "responsibilities", "qualifications", "general"))
-    hits = kept.select(key, F.explode(phrase_hits("text", industries)).alias("industry"))
-    return hits.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("industry")), ",").alias("industries"))
+    hits = phrase_mentions(kept, industries, [key])
+    return hits.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("label")), ",").alias("industries"))
 
 
 def action_verbs(posting_lines: DataFrame, verbs: Sequence[str], key: str = "posting_id") -> DataFrame:

@@ -112,23 +112,31 @@ def skills_by_demand(skills: DataFrame, matches: DataFrame, keys: Sequence[str]
     return df.withColumn("position", F.row_number().over(w)).drop("_t", "_r")
 
 
-def promote_skills(matches: DataFrame, body_hits: DataFrame, skills: DataFrame, roles: DataFrame, body_tokens: DataFrame) -> DataFrame:
+def token_ends(tokens: Column | str, terms: Column | str) -> Column:
+    """The terms that are the start or the end of a longer token."""
+    def ends(sizes: Column) -> Column:
+        return F.flatten(F.transform(T.col(tokens), lambda t: F.flatten(F.transform(
+            F.filter(sizes, lambda n: n < F.length(t)), lambda n: F.array(F.substring(t, F.lit(1), n), F.substring(t, F.length(t) - n + 1, n))))))
+
+    return F.array_intersect(T.let(F.array_distinct(F.transform(T.col(terms), lambda w: F.length(w))), ends), T.col(terms))
+
+
+def promote_skills(matches: DataFrame, body_hits: DataFrame, skills: DataFrame, roles: DataFrame, bodies: DataFrame) -> DataFrame:
     """Matched HIGH / MEDIUM / user terms proven in the body: promoted, or skipped with the reason.
 
-    ``body_tokens`` (doc, token): a term that is only the start or end of a longer
-    token is a fragment; prefixes and suffixes of the tokens are joined by equality.
+    ``bodies`` (doc, tokens): a term that also is the start or end of a longer token is a fragment.  The wanted
+    terms of a document go to its one row, where only ends of their lengths are looked up: what is shuffled
+    grows with the wanted terms, not with the ends of all tokens.  A null or empty list of tokens has no fragments.
     """
     wanted = matches.filter((F.col("status") != "MISSING") & F.col("can_insert") & (F.col("priority").isin("HIGH", "MEDIUM") | (F.col("source") != "jd")))
     wanted = wanted.filter(F.length("term") >= 2).join(
         skills.select("doc_id", T.normalize_keyword("item").alias("term")).distinct(), ["doc_id", "term"], "left_anti")
     mark = lambda df, name: df.select("doc_id", "term").distinct().withColumn(name, F.lit(True))
-    tok = F.col("token")
-    ends = F.flatten(F.transform(F.sequence(F.lit(2), F.greatest(F.length(tok) - 1, F.lit(2))), lambda n: F.array(
-        F.substring(tok, F.lit(1), n), F.substring(tok, F.length(tok) - n + 1, n))))
-    frags = body_tokens.filter(F.length("token") >= 3).select("doc_id", F.explode(F.array_distinct(ends)).alias("term"))
+    asked = wanted.groupBy("doc_id").agg(F.collect_set("term").alias("_terms"))
+    frags = bodies.join(asked, "doc_id").select("doc_id", F.explode(token_ends("tokens", "_terms")).alias("term"))
     df = wanted.join(mark(body_hits, "_hit"), ["doc_id", "term"], "left")
     df = df.join(mark(roles.select("doc_id", T.normalize_keyword("role").alias("term")), "_role"), ["doc_id", "term"], "left")
-    df = df.join(mark(frags.join(wanted.select("doc_id", "term"), ["doc_id", "term"], "left_semi"), "_frag"), ["doc_id", "term"], "left")
+    df = df.join(mark(frags, "_frag"), ["doc_id", "term"], "left")
     reason = F.when(F.col("_hit").isNull(), "not in the body").when(F.col("_role"), "a job title").when(F.col("_frag"), "part of a longer term")
     return df.select("posting_id", "doc_id", "term", reason.isNull().alias("promoted"), F.coalesce(reason, F.lit("")).alias("reason"))
 

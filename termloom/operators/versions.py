@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom import fixed_values as fv
 from termloom.functions import text as T
 from termloom.session import write_once
 
 NUMBER = r"(?:^|[^a-zA-Z0-9_])((?:[$\x{20AC}\x{00A3}\x{20B9}]\s?)?\d[\d,.]*)((?:\s?[a-zA-Z%]+)?)"
-UNITS = ["%", "percent", "x", "times", "k", "m", "bn", "million", "billion", "thousand", "usd", "eur", "gbp", "inr", "aud", "cad", "zar", "sgd"]
 ENTITY = r"(?:^|[^a-zA-Z0-9_])([A-Z][a-zA-Z0-9]*(?:\s+[A-Z][a-zA-Z0-9]*)+)"
 
 
@@ -27,7 +28,7 @@ def numbers(c: Column | str) -> Column:
     """Distinct numbers with their unit, normalised."""
     n = F.regexp_extract_all(T.col(c), F.lit(NUMBER), 1)
     u = F.regexp_extract_all(T.col(c), F.lit(NUMBER), 2)
-    join = lambda a, b: F.concat(F.regexp_replace(a, "[.,]+$", ""), F.when(F.lower(F.trim(b)).isin(UNITS), F.lower(b)).otherwise(""))
+    join = lambda a, b: F.concat(F.regexp_replace(a, "[.,]+$", ""), F.when(F.lower(F.trim(b)).isin(fv.NUMBER_UNITS), F.lower(b)).otherwise(""))
     return F.array_distinct(F.zip_with(n, u, join))
 
 
@@ -217,29 +218,54 @@ def pair_bullets(pairs: DataFrame, keys: Sequence[str], threshold: float = 0.34,
 
 
 GRAM = 5
-TO_LOW, FROM_LOW = 1, 2
+SHORTEST = 11  # similarity counts only for texts of more than ten characters
+CLASS_BUCKETS = 1 << 16
 
 
-def _probes(s: Column, n: Column, low_mark: int, any_mark: int) -> Column:
-    """Gram hashes of which two texts with similarity above 0.9 share at least one.
+def _most_edits(n: int, threshold: float) -> int:
+    return math.floor(n * (1 - threshold) / threshold + 1e-9)
 
-    A pair within the bound differs in at most n/9 edits, each destroying at
-    most GRAM grams, so the smallest GRAM*ceil(n/9)+1 grams under any common
-    order must meet (a hash collision can only add a candidate).  The argument
-    needs more distinct grams than that; a text too repetitive carries
-    ``low_mark`` and meets the ``any_mark`` every text of the other side carries.
-    """
+
+def _gram_length(threshold: float) -> int:
+    """Longest gram, up to GRAM, of which every text has more than the edits within the threshold can destroy."""
+    for q in range(GRAM, 0, -1):
+        rate = q * (1 - threshold) / threshold
+        if rate < 1 and all(q * _most_edits(n, threshold) <= n - q for n in range(SHORTEST, max(SHORTEST, math.ceil(q / (1 - rate))) + 2)):
+            return q
+    raise ValueError(f"near duplicates need a similarity above one half, not {threshold}")
+
+
+def _text_grams(s: Column, q: int) -> Column:
+    """Hashes of all grams of q characters, repeats included."""
     # characters once as an array: substring would walk the text again for every gram
-    grams = T.let(F.split(s, ""), lambda ch: F.array_distinct(F.transform(
-        F.sequence(F.lit(0), F.greatest(n - GRAM, F.lit(0))), lambda i: F.xxhash64(*[F.get(ch, i + k) for k in range(GRAM)]))))
-    keep = (F.ceil(n / 9) * GRAM).cast("int")
-    mark = lambda m: F.array(F.lit(m).cast("long"))
+    return T.let(F.split(s, ""), lambda ch: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(ch) - q, F.lit(0))), lambda i: F.xxhash64(*[F.get(ch, i + k) for k in range(q)])))
+
 
-    def pick(g: Column) -> Column:
-        head = F.concat(F.slice(F.sort_array(g), F.lit(1), keep + 1), mark(any_mark))
-        return F.when(F.size(g) <= keep, F.concat(head, mark(low_mark))).otherwise(head)
+def _gram_classes(rows: DataFrame) -> Column:
+    """Literal array: how frequent (as a power of two) the grams of each of CLASS_BUCKETS hash buckets are in all rows.
 
-    return T.let(grams, pick)
+    A histogram of fixed size; it decides the order in which grams are probed and never which pairs are found.
+    """
+    seen = rows.select(F.explode("grams").alias("g")).groupBy(F.pmod("g", F.lit(CLASS_BUCKETS)).cast("int").alias("b")).count().collect()
+    classes = [0] * CLASS_BUCKETS
+    for r in seen:
+        classes[r["b"]] = r["count"].bit_length()
+    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<int>")
+
+
+def _probes(grams: Column, n: Column, q: int, threshold: float, classes: Column) -> Column:
+    """Gram hashes of which two texts above the threshold share at least one, rare ones first.
+
+    A near pair differs in at most d = n * (1 - threshold) / threshold edits, each of which destroys at most q
+    grams.  The grams are a multiset: under any common order the smallest q * d + 1 of both sides, repeats
+    counted, have to meet, and every text has that many.  Rare grams stand first, so what all lines of a document
+    have in common seldom is a probe (a shared hash can only add a candidate).
+    """
+    keep = (F.floor(n * ((1 - threshold) / threshold) + 1e-9) * q + 1).cast("int")
+    ranked = F.transform(grams, lambda g: F.shiftleft(F.get(classes, F.pmod(g, F.lit(CLASS_BUCKETS)).cast("int")).cast("long"), 57)
+                         .bitwiseOR(F.shiftrightunsigned(g, 7)))
+    return F.array_distinct(F.slice(F.sort_array(ranked), F.lit(1), keep))
 
 
 def near_dup_bullets(bullets: DataFrame, keys: Sequence[str] = ("doc_id",), order: str = "bullet_no", threshold: float = 0.9) -> DataFrame:
@@ -249,8 +275,9 @@ def near_dup_bullets(bullets: DataFrame, keys: Sequence[str] = ("doc_id",), orde
     aggregate; only for the second are candidates formed, between texts that
     share a probe.  Of rows with equal text only the best ranked is offered as a
     partner: it dominates its copies, so a line copied a million times is met once.
+    A null text, and a row under a null key, is no duplicate of another text.
     """
-    keys = list(keys)
+    keys, q = list(keys), _gram_length(threshold)
     rank = F.struct(F.length("text").alias("len"), (-F.col(order)).alias("neg"))
     b = bullets.withColumn("_key", T.normalize_keyword("text")).withColumn("_rank", rank).withColumn("_s", F.trim(F.lower("text")))
     same = F.coalesce(F.nullif("_key", F.lit("")), F.when(F.length("_s") > 10, F.col("_s")))
@@ -259,11 +286,11 @@ def near_dup_bullets(bullets: DataFrame, keys: Sequence[str] = ("doc_id",), orde
     b = b.join(by_key, [*keys, "_key"], "left")
     b = b.withColumn("_d", F.coalesce(F.col("_rank") < F.col("_best_key"), F.lit(False)))
     n = F.length("_s")
-    rows = write_once(b.filter(n > 10).groupBy(*keys, "_s").agg(F.max_by(F.struct(F.col(order).alias("no"), F.length("text").alias("len"), F.col("_d")), "_rank").alias("_t")).select(
-        *keys, "_t.no", n.alias("n"), "_t.len", "_t._d", "_s"), "near_rows")
-    probe = lambda lo, al: F.explode(_probes(F.col("_s"), F.col("n"), lo, al)).alias("tok")
-    x = rows.filter(~F.col("_d")).select(*keys, F.col("no").alias("x"), F.col("n").alias("xn"), F.col("len").alias("xl"), probe(FROM_LOW, TO_LOW))
-    y = rows.select(*keys, F.col("no").alias("y"), F.col("n").alias("yn"), F.col("len").alias("yl"), probe(TO_LOW, FROM_LOW))
+    rows = write_once(b.filter(n >= SHORTEST).groupBy(*keys, "_s").agg(F.max_by(F.struct(F.col(order).alias("no"), F.length("text").alias("len"), F.col("_d")), "_rank").alias("_t")).select(
+        *keys, "_t.no", n.alias("n"), "_t.len", "_t._d", "_s", _text_grams(F.col("_s"), q).alias("grams")), "near_rows")
+    probe = F.explode(_probes(F.col("grams"), F.col("n"), q, threshold, _gram_classes(rows))).alias("tok")
+    x = rows.filter(~F.col("_d")).select(*keys, F.col("no").alias("x"), F.col("n").alias("xn"), F.col("len").alias("xl"), probe)
+    y = rows.select(*keys, F.col("no").alias("y"), F.col("n").alias("yn"), F.col("len").alias("yl"), probe)
     better = (F.col("yl") > F.col("xl")) | ((F.col("yl") == F.col("xl")) & (F.col("y") < F.col("x")))
     cand = x.join(y, [*keys, "tok"]).filter(better & (F.least("xn", "yn") > F.greatest("xn", "yn") * threshold))
     cand = cand.select(*keys, "x", "y").distinct()

@@ -54,7 +54,7 @@ def summaries(spark, sf):
 
 def promoted(spark, sf):
     docs = D.documents(spark, sf).join(ranked_docs(spark, sf), "doc_id", "left_semi")
-    tok = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9+#/]+"))).alias("token"))
+    tok = docs.select("doc_id", F.array_distinct(F.split(F.lower("text"), "[^a-z0-9+#/]+")).alias("tokens"))
     p = R.promote_skills(pair_matches(spark, sf), pool_evidence(spark, sf).filter("mentions > 0"), skills(spark, sf), roles(spark, sf), tok)
     return p.filter("promoted").select(*PAIR, "term")
 

@@ -101,7 +101,7 @@ def skills_by_demand(spark, sf):
 @query
 def promote_skills(spark, sf):
     docs = D.documents(spark, sf)
-    tok = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9+#/]+"))).alias("token"))
+    tok = docs.select("doc_id", F.array_distinct(F.split(F.lower("text"), "[^a-z0-9+#/]+")).alias("tokens"))
     p = R.promote_skills(insertable(spark, sf), pool_evidence(spark, sf).filter("mentions > 0"), skills(spark, sf), roles(spark, sf), tok)
     return p.select(*PAIR, "term", "promoted", "reason")
 
