@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from termloom import dims
 from termloom import fixed_values as fv
 from termloom.functions import text as T
+from termloom.session import write_once
 
 
 def clean_text(c: Column | str, rules: Sequence[tuple[str, str]] = tuple(dims.CLEANUP_RULES)) -> Column:
@@ -64,12 +65,17 @@ def normalize_tense(bullets: DataFrame, verbs: dict[str, tuple[str, str]] | None
     return bullets.withColumn("tensed", F.when(to.isNotNull(), F.concat(to, rest)).otherwise(F.col("text")))
 
 
-def _swap_first(text: Column, source: Column, target: Column) -> Column:
-    """First whole-word occurrence of source replaced, capital kept."""
+def _place(text: Column, source: Column) -> Column:
+    """Position of the first whole-word occurrence of source, 0 if there is none."""
     padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]", " "), F.lit(" "))
     plain = F.regexp_replace(F.lower(source), "[^a-z0-9]", " ")
     # the pad shifts positions by one and the searched phrase carries its own blank: both cancel out
-    at = F.call_function("instr", padded, F.concat(F.lit(" "), plain, F.lit(" ")))
+    return F.call_function("instr", padded, F.concat(F.lit(" "), plain, F.lit(" ")))
+
+
+def _swap_first(text: Column, source: Column, target: Column) -> Column:
+    """First whole-word occurrence of source replaced, capital kept."""
+    at = _place(text, source)
     old = F.substring(text, at, F.length(source))
     new = F.when(old.rlike("^[A-Z]"), F.concat(F.upper(F.substring(target, 1, 1)), F.substring(target, F.lit(2), F.length(target)))).otherwise(target)
     swapped = F.concat(F.substring(text, F.lit(1), at - 1), new, F.substring(text, at + F.length(source), F.length(text)))
@@ -89,13 +95,61 @@ def align_terms(bullets: DataFrame, allowed: DataFrame, keys: Sequence[str] = ("
     return df.withColumn("aligned", out).drop("_swaps")
 
 
+def swap_surroundings(docs: DataFrame, swaps: DataFrame, reach: int) -> DataFrame:
+    """(doc, source, target, near_before, near_after, words_before, words_after) of the swaps a document holds.
+
+    ``near_*``: what the swap changes in the normalised text with ``reach`` characters on both sides; ``words_*``:
+    the words it changes.  All else stands in both texts, so a phrase of at most ``reach`` characters, or a word,
+    that is in both or in neither of them is as present after the swap as before.
+    """
+    j = swaps.join(docs.select("doc_id", "text"), "doc_id").withColumn("_at", _place(F.col("text"), F.col("source"))).filter("_at > 0")
+    j = j.withColumns({"_b": T.soft_normalize("text"), "_a": T.soft_normalize(_swap_first(F.col("text"), F.col("source"), F.col("target")))})
+    short = F.least(F.length("_b"), F.length("_a"))
+    # both ends are kept as normalised by themselves, less a few characters that may depend on what follows; then compared
+    kept = lambda c: F.least(F.greatest(F.length(T.soft_normalize(c)) - 4, F.lit(0)), short)
+    j = j.withColumns({"_p": kept(F.substring("text", F.lit(1), F.col("_at") - 1)), "_s": kept(F.substring("text", F.col("_at") + F.length("source"), F.length("text")))})
+    left = lambda c: F.substring(c, F.lit(1), F.col("_p"))
+    right = lambda c: F.substring(c, F.length(c) - F.col("_s") + 1, F.col("_s"))
+    j = j.withColumn("_p", F.when(left("_b") == left("_a"), F.col("_p")).otherwise(0))
+    j = j.withColumn("_s", F.when((right("_b") == right("_a")) & (F.col("_p") + F.col("_s") <= short), F.col("_s")).otherwise(0))
+    first = F.substring_index(left("_b"), " ", -1)
+    last = F.substring_index(right("_b"), " ", 1)
+    middle = lambda c: F.substring(c, F.col("_p") + 1, F.length(c) - F.col("_p") - F.col("_s"))
+    start = F.greatest(F.col("_p") - reach, F.lit(0))
+    near = lambda c: F.substring(c, start + 1, F.length(c) - F.greatest(F.col("_s") - reach, F.lit(0)) - start)
+    words = lambda c: F.array_distinct(F.split(F.concat(first, middle(c), last), " "))
+    return j.select("doc_id", "source", "target", near("_b").alias("near_before"), near("_a").alias("near_after"),
+                    words("_b").alias("words_before"), words("_a").alias("words_after"))
+
+
+def _may_change(term: Column) -> Column:
+    """A form of the term, or one of its words, is on one side of the surroundings only."""
+    phrase = lambda f: F.col("near_before").contains(f) != F.col("near_after").contains(f)
+    word = lambda t: F.array_contains("words_before", t) != F.array_contains("words_after", t)
+    return (phrase(term) | phrase(T.singularize(term)) | phrase(T.pluralize(term))
+            | F.exists(F.split(term, " "), lambda t: word(t) | word(T.singularize(t))))
+
+
 def substitution_gain(docs: DataFrame, candidates: DataFrame, pool: DataFrame, stop_words: Sequence[str]) -> DataFrame:
-    """Per (posting, doc, swap): covered terms after minus before; only gains stay, the best first."""
-    j = candidates.join(docs.select("doc_id", "text"), "doc_id").withColumn("_after", _swap_first(F.col("text"), F.col("source"), F.col("target")))
-    j = j.withColumn("_b", T.soft_normalize("text")).withColumn("_a", T.soft_normalize("_after"))
-    j = j.join(pool.select("posting_id", "term"), "posting_id")
-    hit = lambda c: T.mentioned_in(F.col(c), F.col("term"), stop_words).cast("int")
-    gain = j.groupBy("posting_id", "doc_id", "source", "target").agg(F.sum(hit("_a") - hit("_b")).alias("gain")).filter("gain > 0")
+    """Per (posting, doc, swap): covered terms after minus before; only gains stay, the best first.
+
+    Terms are first held against the surroundings of a swap; only those it may change are looked up in the text,
+    which is read once for a swap of a document, however many postings and terms ask.  A null text, source or target gains nothing.
+    """
+    candidates = candidates.select("posting_id", "doc_id", "source", "target").distinct()
+    pool = pool.select("posting_id", "term").distinct()
+    reach = (pool.agg(F.max(F.length("term"))).first()[0] or 0) + 2  # a plural adds two characters
+    swaps = candidates.select("doc_id", "source", "target").distinct()
+    near = write_once(swap_surroundings(docs, swaps, reach), "surroundings")
+    swap = ["doc_id", "source", "target"]
+    asked = candidates.join(near, swap).join(pool, "posting_id").filter(_may_change(F.col("term"))).select("posting_id", *swap, "term")
+    asked = write_once(asked, "asked")
+    terms = asked.groupBy(*swap).agg(F.collect_set("term").alias("_terms")).join(docs.select("doc_id", "text"), "doc_id")
+    terms = terms.withColumns({"_b": T.soft_normalize("text"), "_a": T.soft_normalize(_swap_first(F.col("text"), F.col("source"), F.col("target")))})
+    hit = lambda c, t: T.mentioned_in(F.col(c), t, stop_words).cast("int")
+    moved = F.transform("_terms", lambda t: F.struct(t.alias("term"), (hit("_a", t) - hit("_b", t)).alias("d")))
+    moved = terms.select(*swap, F.explode(F.filter(moved, lambda m: m["d"] != 0)).alias("m")).select(*swap, "m.*")
+    gain = asked.join(moved, [*swap, "term"]).groupBy("posting_id", *swap).agg(F.sum("d").alias("gain")).filter("gain > 0")
     w = Window.partitionBy("posting_id", "doc_id").orderBy(F.desc("gain"), "source", "target")
     return gain.withColumn("rank", F.row_number().over(w))
 

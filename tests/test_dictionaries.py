@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from termloom.functions import text as T
 from termloom.operators import postings as P
 from termloom.operators import rewrite as R
 from termloom.operators import versions as V
@@ -135,3 +136,31 @@ def test_near_duplicates_of_empty_and_null_texts(spark):
     got = {r.bullet_no: r.dropped for r in V.near_dup_bullets(b).collect()}
     assert got == {1: False, 2: False, 3: False, 4: False, 5: False, 6: True}
     assert V.near_dup_bullets(b.filter("doc_id = 9")).count() == 0
+
+
+def test_gain_by_surroundings_against_whole_texts(spark):
+    """Every swap held against every pool term in the whole texts, before and after."""
+    rnd = random.Random(5)
+    words = ["stock", "stocks", "plan", "planning", "plans", "it's", "'s", "s", "The", "of", "box", "boxes", "Big", "x's's", "  ", "\n", "a-b", "parties", "party", ",", "ΣΣ"]
+    text = lambda n: rnd.choice([" ", "", " "]).join(rnd.choice(words) for _ in range(n)) if rnd.random() < 0.2 else " ".join(rnd.choice(words) for _ in range(n))
+    docs = [(i, text(rnd.randint(0, 14))) for i in range(150)] + [(150, None), (151, ""), (152, "plan")]
+    swaps = [("plan", "planning"), ("stock", "box"), ("it's", "its"), ("the", "big plan"), ("planning", "plan of"), ("box", ""), ("a-b", "party"), (None, "x"), ("big", None)]
+    cand = [(p, d, s, t) for p in ("p", "q") for d, _ in docs for s, t in swaps if rnd.random() < 0.7]
+    pool = [("p", t) for t in ["stock planning", "plan", "stock", "big plan", "of the", "lan o", "box", "party", "s s", ""]] + [("q", "planning stock"), ("q", "x"), ("q", "boxes of stock")]
+    docs = spark.createDataFrame(docs, "doc_id int, text string")
+    cand = spark.createDataFrame(cand, "posting_id string, doc_id int, source string, target string")
+    pool = spark.createDataFrame(pool, "posting_id string, term string")
+    got = rows_of(R.substitution_gain(docs, cand, pool, ["of"]).select("posting_id", "doc_id", "source", "target", "gain"))
+    j = cand.join(docs, "doc_id").withColumn("_after", R._swap_first(F.col("text"), F.col("source"), F.col("target"))).join(pool, "posting_id")
+    hit = lambda c: T.mentioned_in(T.soft_normalize(c), F.col("term"), ["of"]).cast("int")
+    plain = j.groupBy("posting_id", "doc_id", "source", "target").agg(F.sum(hit("_after") - hit("text")).alias("gain")).filter("gain > 0")
+    want = rows_of(plain.select("posting_id", "doc_id", "source", "target", "gain"))
+    assert got == want and len(want) > 40
+
+
+def test_gain_asks_the_text_only_for_terms_a_swap_may_change(spark):
+    docs = spark.createDataFrame([(1, "purchasing of parts " + "and much other text " * 5000)], "doc_id int, text string")
+    swaps = spark.createDataFrame([(1, "purchasing", "procurement")], "doc_id int, source string, target string")
+    near = R.swap_surroundings(docs, swaps, 12).first()
+    assert near.near_before.startswith("purchasing of parts") and len(near.near_before) < 40 and near.words_before[0] == "purchasing"
+    assert near.near_after.startswith("procurement of parts") and near.words_after[0] == "procurement"
