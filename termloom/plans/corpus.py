@@ -55,7 +55,9 @@ USER_KEYWORDS = ["Thing", "ering", "the ent", "Thing", "tionth"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_docs(spark, f"{sf_dir}/{name}.parquet")
+    """A table of the folder; ``spark.termloom.partitions``, if the caller sets it, deals its rows over as many tasks."""
+    partitions = spark.conf.get("spark.termloom.partitions", None)
+    return read_docs(spark, f"{sf_dir}/{name}.parquet", partitions=int(partitions) if partitions else None)
 
 
 _stored: dict[tuple[str, str, str], DataFrame] = {}

@@ -17,15 +17,20 @@ HTML_OPEN = r"(?i)<(" + BLOCK_TAGS + r")(?:[^a-z0-9>][^>]*)?>"
 HTML_CLOSE = r"(?i)</(?:" + BLOCK_TAGS + r")[^>]*>"
 
 
-def read_docs(spark: SparkSession, path: str, fmt: str = "parquet", text_as_file: bool = False) -> DataFrame:
-    """Already extracted text: a table, or one document per text file."""
+def read_docs(spark: SparkSession, path: str, fmt: str = "parquet", text_as_file: bool = False, partitions: int | None = None) -> DataFrame:
+    """Already extracted text: a table, or one document per text file.
+
+    ``partitions`` deals the rows over that many tasks, for a caller who knows that the files hold few splits.
+    """
     if fmt == "text" and text_as_file:
-        return (
+        df = (
             spark.read.text(path, wholetext=True)
             .select(F.input_file_name().alias("source"), F.col("value").alias("text"))
             .select(F.xxhash64("source").alias("doc_id"), "text", "source")
         )
-    return spark.read.format(fmt).load(path)
+    else:
+        df = spark.read.format(fmt).load(path)
+    return df if partitions is None else df.repartition(partitions)
 
 
 def triage_files(files: DataFrame) -> DataFrame:
