@@ -218,3 +218,8 @@ def test_one_line_copied_very_often(spark):
 @pytest.mark.parametrize("raw,want", [("my my team", "Team."), ("I and our own plan", "And own plan."), ("A apple and an plan", "An apple and a plan."), ("ran it on a daily basis", "Ran it daily.")])
 def test_clean_bullets(spark, raw, want):
     assert R.clean_bullets(spark.createDataFrame([(1, raw)], "bullet_no int, text string")).first().clean == want
+
+
+@pytest.mark.parametrize("raw,want", [("ßend it", "ẞend it."), ("ﬁnd it", "ﬁnd it."), ("ŉ it", "ŉ it."), ("école", "École.")])
+def test_first_letter_stays_one_character(spark, raw, want):
+    assert R.clean_bullets(spark.createDataFrame([(1, raw)], "bullet_no int, text string")).first().clean == want
