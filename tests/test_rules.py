@@ -223,3 +223,8 @@ def test_clean_bullets(spark, raw, want):
 @pytest.mark.parametrize("raw,want", [("ßend it", "ẞend it."), ("ﬁnd it", "ﬁnd it."), ("ŉ it", "ŉ it."), ("école", "École.")])
 def test_first_letter_stays_one_character(spark, raw, want):
     assert R.clean_bullets(spark.createDataFrame([(1, raw)], "bullet_no int, text string")).first().clean == want
+
+
+def test_name_case_character_by_character(spark):
+    s = F.lit("İßa ΑΣ")
+    assert one(spark, F.array(T.title_case(s), T.sentence_case(s), T.capitalize_first(F.lit("ßa")))) == ["IßA ασ", "ißa ΑΣ", "ẞa"]
