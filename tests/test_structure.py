@@ -105,6 +105,15 @@ def test_skills_certs_languages_education(spark):
     assert (ed.degree, ed.institution, ed.dates) == ("BSc Trade", "University of York", "2015 - 2019")
 
 
+@pytest.mark.parametrize("raw,want", [("BSc Trade | University 1900 | 1996", ("BSc Trade", "University 1900", "1900")), ("BSc Trade | University 2026 | 06/1997", ("BSc Trade", "University 2026", "2026")),
+                                      ("BSc Trade | University 1996 | 1996", ("BSc Trade", "University 1996", "1996")),
+                                      ("BSc Trade | University of York 2015", ("BSc Trade", "University of York", "2015"))])
+def test_year_in_the_name_of_a_school(spark, raw, want):
+    lines = L.annotate_lines(spark.createDataFrame([("d", 0, raw)], "doc_id string, line_no int, text string"))
+    ed = E.parse_education(lines.withColumn("section_no", F.lit(1))).first()
+    assert (ed.degree, ed.institution, ed.dates) == want
+
+
 def test_summary_goes_before_the_body(spark):
     p = spark.createDataFrame([("d", "skills", 1), ("d", "languages", 2)], "doc_id string, section_id string, position int")
     out = L.insert_summary(p, spark.createDataFrame([("d",)], "doc_id string")).orderBy("position").collect()
