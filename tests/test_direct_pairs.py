@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from termloom.operators import match as M
 from termloom.operators import rewrite as R
+from termloom.operators import versions as V
 from termloom.plans import corpus as D
 from termloom.plans import score_jobs
 
@@ -48,3 +49,14 @@ def test_components_of_terms_need_no_titles_or_document_features(spark):
         q(spark, SF)
     assert not {n for _, _, n in D._stored} & {"pair_features", "features", "segmented"}
     D.forget()
+
+
+def test_grams_are_no_stored_column_and_only_shared_probes_are_joined(spark, monkeypatch):
+    seen = {}
+    keep = V.write_once
+    monkeypatch.setattr(V, "write_once", lambda df, name: seen.setdefault(name, keep(df, name)))
+    text = "the quick brown fox jumps over the lazy dog again and again"
+    b = spark.createDataFrame([(1, 0, text), (1, 1, text + "s"), (1, 2, "short line of words"), (2, 0, text)], "doc_id int, bullet_no int, text string")
+    assert [(r.doc_id, r.bullet_no) for r in V.near_dup_bullets(b).filter("dropped").collect()] == [(1, 0)]
+    assert "grams" not in seen["near_rows"].columns
+    assert {(r.doc_id, r.no) for r in seen["shared_probes"].collect()} == {(1, 0), (1, 1)}
