@@ -7,6 +7,7 @@ from termloom.operators import rewrite as R
 from termloom.operators import versions as V
 from termloom.plans import corpus as D
 from termloom.plans import score_jobs
+from termloom.plans.structure_jobs import segmented
 
 SF = "/root/testdata/sf0.001"
 rows = lambda df, *cols: sorted(tuple(r) for r in df.select(*cols).collect())
@@ -51,6 +52,17 @@ def test_components_of_terms_need_no_titles_or_document_features(spark):
     D.forget()
 
 
+def test_lines_are_not_shuffled_by_heading(spark, monkeypatch):
+    D.forget()
+    plans = {}
+    keep = D.write_once
+    monkeypatch.setattr(D, "write_once", lambda df, name: plans.setdefault(name, df) and keep(df, name))
+    segmented(spark, SF)
+    plan = plans["segmented"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate posexplode") == 1  # the texts are read once, not again for each table of headings
+    D.forget()
+
+
 def test_grams_are_no_stored_column_and_only_shared_probes_are_joined(spark, monkeypatch):
     seen = {}
     keep = V.write_once
