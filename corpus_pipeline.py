@@ -17,7 +17,7 @@ from termloom.llm.bpe import encode
 from termloom.llm.common import shared_dir, stored, table
 from termloom.llm.mixing import copies, mix, row_marks
 from termloom.llm.quality import fit, score
-from termloom.llm.secrets import redacted, scan
+from termloom.llm.secrets import bloom, filter_bits, passes, redacted, scan
 from termloom.llm.similar import similar_groups
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -44,7 +44,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     named = docs.select(*COLUMNS, name.alias("_name"))
     groups = stored(similar_groups(named, "_name", "text").withColumnRenamed("_name", "name"), "groups")
     gone = stored(groups.where("name != component_id").select(F.col("name").alias("_name")).distinct(), "gone")
-    kept = named.join(gone, "_name", "left_anti")
+    # texts are moved only where a filter of the names that go may hold theirs
+    bits = filter_bits(gone.count())
+    may_go = passes(bloom(gone.select(F.xxhash64("_name").alias("key")), bits), bits, F.xxhash64("_name"))
+    kept = named.where(~may_go).union(named.where(may_go).join(gone, "_name", "left_anti").select(*named.columns))
     n, d = groups.agg(F.count("name"), F.count_distinct("name")).first()
     if n != d:
         kept = kept.dropDuplicates(["_name"])

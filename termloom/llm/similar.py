@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.common import components, give_back, grid_cells, pieces, stored
+from termloom.llm.secrets import bloom, filter_bits, in_bloom
 from termloom.llm.simhash import Forest
 
 SEEDS = 10
@@ -199,17 +200,25 @@ def candidates(nodes: DataFrame, closest: bool, least: float = 0.8, most: int =
 
 
 def spelled(nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(node, words): the compressed text of every node (node, rep)."""
-    one = nodes.select("node", F.col("rep").alias(key))
+    """(node, words): the compressed text of every node (node, rep).
+
+    Texts are compressed before they are moved, and only those whose key passes a Bloom filter of the named keys; a
+    false positive is only extra work, which the join drops.
+    """
+    one = nodes.select("node", F.col("rep").alias("key"))
+    bits = filter_bits(one.count())
+    filter_ = bloom(one.select(F.xxhash64("key").alias("key")), bits)
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
-        for b in pieces(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack((t or "").encode().lower()) for t in b.column(1).to_pylist()], pa.binary())], ["node", "words"])
+        for b in batches:
+            for part in pieces(iter([b.filter(pa.array(in_bloom(filter_, bits, b.column(2).to_numpy())))])):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack((t or "").encode().lower()) for t in part.column(1).to_pylist()], pa.binary())], ["key", "words"])
 
+    src = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.xxhash64(key).alias("_h"))
     # rows that are equal in their key are equal in their text here, or one of them names the node
-    found = docs.select(key, F.col(text).cast("string").alias("text")).join(one, key).select("node", "text")
-    return found.mapInArrow(squeeze, "node long, words binary").groupBy("node").agg(F.min("words").alias("words"))
+    found = src.mapInArrow(squeeze, f"key {src.schema['key'].dataType.simpleString()}, words binary").join(one, "key")
+    return found.groupBy("node").agg(F.min("words").alias("words"))
 
 
 def widened(words: DataFrame, shingle: int) -> DataFrame:

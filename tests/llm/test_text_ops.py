@@ -357,3 +357,24 @@ def test_similar_groups_of_odd_rows(spark):
     got = {r.doc_id: r.component_id for r in similar_groups(docs).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 7}
     assert similar_groups(docs.limit(0)).count() == 0
+
+
+def test_near_dup_moves_few_texts(spark):
+    """Without broadcasts, as at size: only texts that have a candidate or go are shuffled."""
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(13)
+    texts = [" ".join(f"w{int(x)}" for x in rng.integers(0, 10**9, 3_000)) for _ in range(240)]
+    texts += [t.replace("w1", "v1", 3) for t in texts[:6]]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    sc, was = spark.sparkContext, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    none = sc._jvm.java.util.ArrayList()
+    moved = lambda: sum(s.shuffleWriteBytes() for s in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = moved()
+        kept = {r.doc_id for r in cp.near_duplicates(spark, docs, "").collect()}
+        assert kept == set(range(240))
+        assert moved() - before < sum(map(len, texts)) / 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
