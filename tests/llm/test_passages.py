@@ -152,3 +152,16 @@ def test_words_of_many_texts_get_numbers_once():
     known = _Numbers()
     x, y = word_ids(b"a b a", known), word_ids(b"c b d", known)
     assert x.tolist() == [0, 1, 0] and y.tolist() == [2, 1, 3] and word_ids(b"", known).tolist() == []
+
+
+def test_all_texts_of_a_repeated_key_are_aligned(spark):
+    from termloom.llm.passages import repeated_passages
+
+    r = random.Random(5)
+    fresh = lambda n: [f"w{r.randrange(10**7)}" for _ in range(n)]
+    p, q = fresh(70), fresh(90)
+    texts = [(1, fresh(10) + p), (1, fresh(12) + q), (1, fresh(5)), (2, p + fresh(9)), (3, q + fresh(9)), (3, q + fresh(3))]
+    rows = [(d, " ".join(w)) for d, w in texts]
+    got = repeated_passages(spark.createDataFrame(rows + rows[:2], "doc_id long, text string")).collect()
+    assert {(x.doc_id, x.start_word, x.end_word) for x in got} == {(1, 10, 80), (1, 12, 102), (2, 0, 70), (3, 0, 90)}
+    assert {x.other_id for x in got if x.doc_id == 2} == {1}
